@@ -13,6 +13,7 @@ packing known is best-fit decreasing.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,25 +36,53 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: The tokenizer's own parts of a text of Latin-1 characters in lower case, and its white space.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+
+
 class Chunks(dict):
-    """White-space-free chunks of text to the bytes of their token ids. The tokenizer drops white space, and nothing it does
-    reaches across it, so a text's ids are those of its chunks. Only short chunks are kept, up to a bounded number."""
+    """Parts of texts to the bytes of their token ids; a text's ids are those of its parts.
 
-    def __init__(self, path: str, most: int = 300_000):
+    In Latin-1 the parts are the tokenizer's own (nothing there changes under NFC, and letters have one lower case). Any other
+    text, or one that may hold a special token, is taken in chunks between spaces: the tokenizer drops white space, and nothing
+    it does reaches across it. Only short parts are kept, up to a bounded number.
+    """
+
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= 40:
-            if len(self) >= self.most:
-                self.clear()
-            self[chunk] = ids
+    def __missing__(self, part: str) -> bytes:
+        ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(part) <= 40:
+            self[part] = ids
         return ids
 
+    def learn(self, parts: list[str]) -> None:
+        """The ids of parts without white space, from one call."""
+        got = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
+        ids = np.array(got.ids, "<u4")
+        ends = np.searchsorted(np.array(got.word_ids), np.arange(len(parts) + 1))
+        for part, a, b in zip(parts, ends[:-1].tolist(), ends[1:].tolist()):
+            self[part] = ids[a:b].tobytes()
+
     def ids(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
+        if not text:
+            return b""
+        if len(self) >= self.most:
+            self.clear()
+        try:
+            text.encode("latin-1")
+            plain = "<|" not in text
+        except UnicodeEncodeError:
+            plain = False
+        if not plain:
+            return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        parts = _PARTS.findall(text.lower())
+        if new := [p for p in set(parts) if p not in self and len(p) <= 40]:
+            self.learn(new)
+        return b"".join(map(self.__getitem__, parts))
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, tokenizer: str | None = None, ids: bool = True) -> DataFrame:
