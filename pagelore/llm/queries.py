@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from .decontaminate import op10_decontaminate
+from .language import op6_language
 from .pack import op1_pack
+from .pii import op2_pii
 from .shard import op3_shard
 from .simhash import op7_simhash
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pack, op3_shard, op7_simhash)}
+    return {f.__name__: f for f in (op1_pack, op2_pii, op3_shard, op6_language, op7_simhash, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

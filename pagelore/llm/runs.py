@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -64,3 +68,23 @@ def join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def texts(column: pa.Array) -> Iterator[str | None]:
     """A column's strings one by one, so that only one long text at a time is held twice."""
     return (x.as_py() for x in column)
+
+
+def with_columns(docs: DataFrame, text_col: str, make: Callable[[], Callable[[Iterator[str | None]], list[pa.Array]]], new: str, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` (all columns by default) and the columns that ``make()`` computes from the texts of a batch. ``new`` is their schema.
+
+    ``make`` is called once in each task. Kept columns with the name of a new one give way to it.
+    """
+    added = T.StructType.fromDDL(new)
+    fields = [f for f in docs.schema if f.name not in added.names and (keep is None or f.name in keep)]
+    names = [*(f.name for f in fields), *added.names]
+    kinds = [to_arrow_type(f.dataType) for f in added]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for b in batches:
+            made = compute(texts(b.column(len(fields))))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(fields))), *(x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(made, kinds))], names=names)
+
+    into = docs.select(*(F.col(f"`{f.name}`") for f in fields), F.col(text_col).cast("string").alias("__text"))
+    return into.mapInArrow(run, T.StructType([*fields, *added]))
