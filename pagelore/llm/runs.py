@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .store import written
+
 
 def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """The rows again, in tables that never cut a run of equal keys; a run that goes past its batch is carried over."""
@@ -49,6 +51,24 @@ def pairs(key: np.ndarray, left: np.ndarray, most: int) -> Iterator[tuple[np.nda
         lo = hi
 
 
+def split_runs(rows: DataFrame, key: str, by: str, block: int) -> DataFrame:
+    """``rows`` with ``run`` and ``side``, so that no run has many more than twice ``block`` rows and each pair of a key meets once.
+
+    A key with more rows is dealt into blocks by a hash of ``by``; each pair of blocks is a run of its own. side 0: compare with
+    all of the run; 1 and 2: compare with the other side only.
+    """
+    hot = written(rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__parts")).where("__parts > 1"))
+    if hot.isEmpty():
+        return rows.withColumns({"run": F.col(key), "side": F.lit(0)})
+    parts = F.coalesce("__parts", F.lit(1))
+    own = F.pmod(F.xxhash64(by, F.lit("block")), parts).cast("int")
+    dealt = rows.join(hot, key, "left").withColumn("__own", own).withColumn("__other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    low, high = F.least("__own", "__other"), F.greatest("__own", "__other")
+    run = F.when(F.col("__parts").isNull(), F.col(key)).otherwise(F.xxhash64(key, low, high))
+    side = F.when(low == high, 0).when(F.col("__own") == low, 1).otherwise(2)
+    return dealt.withColumns({"run": run, "side": side}).drop("__parts", "__own", "__other")
+
+
 def join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Union of linked indices: each index's label is the smallest index of its set. ``label`` holds such labels already."""
     while True:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .runs import join_labels, pairs, texts, whole_runs
+from .runs import join_labels, pairs, split_runs, texts, whole_runs
 from .store import written
 
 SEED = 42
@@ -106,8 +106,11 @@ def cells(fp: np.ndarray, distance: int, groups: int) -> Iterator[tuple[np.ndarr
             yield own[at] + np.uint64(shift & 0xFFFFFFFFFFFFFFFF) + name, at, False
 
 
-def links(reps: DataFrame, distance: int = 4, groups: int = 3) -> DataFrame:
-    """(fp, rep) with distinct fingerprints to (a, b): links between reps that connect whatever is within ``distance`` bits."""
+def links(reps: DataFrame, distance: int = 4, groups: int = 3, block: int = 1 << 17) -> DataFrame:
+    """(fp, rep) with distinct fingerprints to (a, b): links between reps that connect whatever is within ``distance`` bits.
+
+    A cell with more than ``block`` fingerprints is compared in pairs of blocks, each a run of its own.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,17 +119,18 @@ def links(reps: DataFrame, distance: int = 4, groups: int = 3) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(np.full(len(at), own)), pa.array(fp[at]), pa.array(rep[at])], names=["cell", "own", "fp", "rep"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_runs(batches, "cell"):
-            cell, own, fp, rep = (t.column(k).to_numpy() for k in range(4))
+        for t in whole_runs(batches, "run"):
+            run, own, fp, rep, side = (t.column(k).to_numpy() for k in ("run", "own", "fp", "rep", "side"))
             fp, label = fp.view(np.uint64), np.arange(len(fp))
-            for i, j in pairs(cell, own, 1 << 21):
-                near = np.bitwise_count(fp[i] ^ fp[j]) <= distance
+            for i, j in pairs(run, own, 1 << 21):
+                near = (np.bitwise_count(fp[i] ^ fp[j]) <= distance) & ((side[i] == 0) | (side[i] != side[j]))
                 label = join_labels(label, i[near], j[near])
             at = np.flatnonzero(label != np.arange(len(label)))
             yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(rep[label[at]])], names=["a", "b"])
 
     dealt = reps.select("fp", "rep").where("rep is not null").mapInArrow(deal, "cell long, own boolean, fp long, rep long")
-    return dealt.repartition("cell").sortWithinPartitions("cell", F.desc("own")).mapInArrow(verify, "a long, b long")
+    runs = split_runs(dealt, "cell", "fp", block).drop("cell")
+    return runs.repartition("run").sortWithinPartitions("run", F.desc("own")).mapInArrow(verify, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, distance: int = 4, groups: int = 3) -> DataFrame:
