@@ -14,6 +14,8 @@ packing known is best-fit decreasing.
 from __future__ import annotations
 
 import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -45,15 +47,27 @@ class Chunks(dict):
 
     In Latin-1 the parts are the tokenizer's own (nothing there changes under NFC, and letters have one lower case). Any other
     text, or one that may hold a special token, is taken in chunks between spaces: the tokenizer drops white space, and nothing
-    it does reaches across it. Only short parts are kept, up to a bounded number.
+    it does reaches across it. Only short parts are kept, up to a bounded number: when ``most`` are reached they become the old
+    ones, of which those still in use come back.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
+
+    @classmethod
+    def of_worker(cls, path: str) -> Chunks:
+        """The Python worker's own, which its later tasks use again."""
+        kept = sys.modules.setdefault("_pagelore_chunks", types.ModuleType("_pagelore_chunks")).__dict__
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
 
     def __missing__(self, part: str) -> bytes:
+        if part in self.old:
+            self[part] = ids = self.old[part]
+            return ids
         ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
         if len(part) <= 40:
             self[part] = ids
@@ -71,6 +85,7 @@ class Chunks(dict):
         if not text:
             return b""
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
         try:
             text.encode("latin-1")
@@ -80,7 +95,7 @@ class Chunks(dict):
         if not plain:
             return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
         parts = _PARTS.findall(text.lower())
-        if new := [p for p in set(parts) if p not in self and len(p) <= 40]:
+        if new := [p for p in set(parts) if p not in self and p not in self.old and len(p) <= 40]:
             self.learn(new)
         return b"".join(map(self.__getitem__, parts))
 
@@ -93,7 +108,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path = tokenizer or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, end = Chunks(path), np.array([end_id], "<u4").tobytes()
+        chunks, end = Chunks.of_worker(path), np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows: list[list] = [[], [], [], [], [], []]
             held = 0
