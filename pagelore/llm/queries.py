@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from .decontaminate import op10_decontaminate
+from .embeddings import op8_embedding_dedup
 from .language import op6_language
+from .licenses import op4_license_scan
+from .lm import op9_lm_score
 from .pack import op1_pack
 from .pii import op2_pii
+from .quality import op5_quality
 from .shard import op3_shard
 from .simhash import op7_simhash
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pack, op2_pii, op3_shard, op6_language, op7_simhash, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_pack, op2_pii, op3_shard, op4_license_scan, op5_quality, op6_language, op7_simhash, op8_embedding_dedup, op9_lm_score, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
