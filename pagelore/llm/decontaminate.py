@@ -2,8 +2,8 @@
 
 Features are the benchmark's words, weighted by IDF over all documents. A randomised SVD of the benchmark's TF-IDF passages,
 computed in two distributed passes, gives the latent space; overlapping windows of every document are folded in and compared by
-cosine with the benchmark's passages. A window is folded in only if the share of its weight in benchmark words allows the cosine
-at all (Cauchy-Schwarz), which loses nothing. Candidates are verified on the words themselves: longest common subsequence with
+cosine with the benchmark's passages. A window is folded in only if its words' weights, each with the largest that any passage
+gives it, can add up to the cosine at all. Candidates are verified on the words themselves: longest common subsequence with
 the item, and for paraphrases the item's answer (its last words).
 
 The benchmark is taken in blocks of about ``block`` items, each of bounded size, so nothing that is sent to executors grows with
@@ -13,6 +13,7 @@ the documents.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,21 @@ COSINE, SURE, LIKELY, ANSWER = 0.4, 0.8, 0.5, 0.5
 MOST = 4.0
 
 
+class Known(dict):
+    """Word ids; other words have the id ``unknown``, and a bounded number of them is kept."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        super().__init__(vocabulary)
+        self.vocabulary, self.unknown = vocabulary, len(vocabulary)
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > self.unknown + 500_000:
+            self.clear()
+            self.update(self.vocabulary)
+        self[word] = self.unknown
+        return self.unknown
+
+
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
@@ -115,9 +131,15 @@ def common(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
-def verified(item: list[str], region: list[str]) -> tuple[float, float]:
-    """(LCS as a share of the item, share of its answer's words there) in the best stretch of the region not much longer than the item."""
+def verified(item: list[str], own: Counter, region: list[str]) -> tuple[float, float]:
+    """(LCS as a share of the item, share of its answer's words there) in the best stretch of the region not much longer than the item.
+
+    own: the item's words, counted.
+    """
     n = len(item)
+    there = Counter(region)
+    if sum(min(c, there[w]) for w, c in own.items() if w in there) < LIKELY * n:  # the subsequence can't be longer than that
+        return 0.0, 0.0
     answer = item[-max(2, n // 4) :]
     length, best = n + n // 4 + 4, (0.0, 0.0)
     for at in range(0, max(1, len(region) - length + max(1, n // 4)), max(1, n // 4)):
@@ -159,42 +181,77 @@ def _block(docs: DataFrame, items: list[tuple[int, list[str]]], id_col: str, tex
     weights = [idf[i] / np.sqrt((idf[i] ** 2).sum()) for i in ids]
     table = spark.createDataFrame([(i.tolist(), w.tolist()) for i, w in zip(ids, weights)], "ids array<int>, weights array<double>")
     space = latent_space(table, len(vocabulary), min(rank, len(passages), len(vocabulary)))
-    fold = (space * idf[:, None]).astype(np.float32)  # a word's weighted latent vector
+    fold = np.vstack((space * idf[:, None], np.zeros((1, space.shape[1])))).astype(np.float32)  # a word's weighted latent vector
     targets = np.array([w @ space[i] for i, w in zip(ids, weights)])
     targets = (targets / np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-12)).astype(np.float32)
     owner = np.array([k for k, _ in passages])
-    mass = np.append(idf**2, rare**2)
-    unknown = len(vocabulary)
+    most = np.zeros(len(vocabulary))  # the largest weight that any passage gives a word
+    for i, w in zip(ids, weights):
+        distinct, at = np.unique(i, return_inverse=True)
+        most[distinct] = np.maximum(most[distinct], np.bincount(at, w))
+    mass, bound = np.append(idf**2, rare**2), np.append(idf * most, 0)
+    unknown, counts = len(vocabulary), [Counter(ws) for _, ws in items]
+
+    def windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word, end and norm of the windows whose weights allow the cosine with some passage."""
+        starts = np.arange(0, max(1, len(at) - STRIDE), STRIDE)
+        ends = np.minimum(starts + WINDOW, len(at))
+        total, most = (np.concatenate(([0], np.cumsum(x[at]))) for x in (mass, bound))
+        norm = np.sqrt(total[ends] - total[starts])
+        w = most[ends] - most[starts] >= COSINE * norm
+        return starts[w], ends[w], norm[w]
+
+    def retrieved(at: np.ndarray, starts: np.ndarray, ends: np.ndarray, norm: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(window, item, cosine) of the windows that are near a passage of the item; ``at`` has the words of all, end to end."""
+        size = ends - starts
+        begin = np.cumsum(size) - size
+        vectors = np.zeros((len(size), fold.shape[1]), np.float32)
+        for k in range(WINDOW):
+            vectors += fold[np.where(k < size, at[np.minimum(begin + k, len(at) - 1)], unknown)]
+        cos = (vectors @ targets.T) / norm[:, None].astype(np.float32)
+        for w, p in zip(*(x.tolist() for x in np.nonzero(cos >= COSINE))):
+            yield w, int(owner[p]), float(cos[w, p])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = vocabulary.get
-        for b in batches:
+        get = Known(vocabulary).__getitem__
+        held: list[tuple[int | None, list[str], np.ndarray, tuple]] = []
+
+        def out() -> pa.RecordBatch:
             found: list[list] = [[], [], [], [], []]
+            starts, ends, norm = (np.concatenate([h[3][k] for h in held]) for k in range(3))
+            of = np.repeat(np.arange(len(held)), [len(h[3][0]) for h in held])
+            words = np.concatenate([h[2][a:z] for h in held for a, z in zip(*(x.tolist() for x in h[3][:2]))])
+            near: dict[tuple[int, int, int], float] = {}
+            for w, k, cos in retrieved(words, starts, ends, norm):
+                key = (int(of[w]), k, w)
+                near[key] = max(near.get(key, 0.0), cos)
+            hits: dict[tuple[int, int], tuple[float, float, float]] = {}
+            for (doc, k, w), cos in near.items():
+                item, ws = items[k][1], held[doc][1]
+                lcs, answer = verified(item, counts[k], ws[max(0, int(starts[w]) - len(item)) : int(ends[w]) + len(item)])
+                if lcs >= SURE or lcs >= LIKELY and answer >= ANSWER:
+                    hits[doc, k] = max(hits.get((doc, k), (0.0, 0.0, 0.0)), (lcs, answer, cos))
+            for (doc, k), (lcs, answer, cos) in sorted(hits.items()):
+                for column, value in zip(found, (held[doc][0], items[k][0], min(cos, 1.0), lcs, answer)):
+                    column.append(value)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], names=["doc_id", "item_id", "similarity", "lcs", "answer"])
+
+        waiting = 0
+        for b in batches:
             for doc, text in zip(b.column(0), texts(b.column(1))):
                 ws = words_of(text)
                 if not ws:
                     continue
-                at = np.fromiter((get(w, unknown) for w in ws), np.int64, len(ws))
-                m = mass[at]
-                known = np.where(at < unknown, m, 0)
-                starts = np.arange(0, max(1, len(ws) - STRIDE), STRIDE)
-                ends = np.minimum(starts + WINDOW, len(ws))
-                total, part = (np.concatenate(([0], np.cumsum(x))) for x in (m, known))
-                total, part = total[ends] - total[starts], part[ends] - part[starts]
-                hits: dict[int, tuple[float, float, float]] = {}
-                for w in np.flatnonzero(part >= COSINE**2 * total):
-                    a, z = int(starts[w]), int(ends[w])
-                    own = at[a:z]
-                    cos = targets @ fold[own[own < unknown]].sum(axis=0) / np.float32(np.sqrt(total[w]))
-                    for k in {int(owner[p]) for p in np.flatnonzero(cos >= COSINE)}:
-                        item = items[k][1]
-                        lcs, answer = verified(item, ws[max(0, a - len(item)) : z + len(item)])
-                        if lcs >= SURE or lcs >= LIKELY and answer >= ANSWER:
-                            hits[k] = max(hits.get(k, (0.0, 0.0, 0.0)), (lcs, answer, float(cos[owner == k].max())))
-                for k, (lcs, answer, cos) in sorted(hits.items()):
-                    for column, value in zip(found, (doc.as_py(), items[k][0], min(cos, 1.0), lcs, answer)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], names=["doc_id", "item_id", "similarity", "lcs", "answer"])
+                at = np.fromiter(map(get, ws), np.int64, len(ws))
+                chosen = windows(at)
+                if len(chosen[0]):
+                    held.append((doc.as_py(), ws, at, chosen))
+                    waiting += len(chosen[0])
+                if waiting > 2000:
+                    yield out()
+                    held, waiting = [], 0
+        if held:
+            yield out()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
