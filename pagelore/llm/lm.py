@@ -25,13 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runs import texts
+from .runs import texts, whole_runs
 from .store import written
 
 WORD = re.compile(r"[^\W_]+")
 BACKOFF, BYTES_A_WORD, FREQUENT = 0.4, 1 << 21, 512
 UNK, START = 0, 1
-FLUSH = 2_000_000  # tokens that a task holds before it writes them
+FLUSH = 800_000  # tokens that a task holds before it writes them
+STEP = 1 << 19  # postings that are scored at once
 
 
 @dataclass
@@ -56,7 +57,7 @@ class Ids(dict):
         self.known = {h: k + 2 for k, h in enumerate(words.hashes.tolist())}
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = k = self.known.get(_hash(word), UNK)
         return k
@@ -84,7 +85,7 @@ def count_words(docs: DataFrame) -> Words:
                 n += 1
                 if t:
                     seen.update(WORD.findall(t.lower()))
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 250_000:
                         yield out()
         if seen:
             yield out()
@@ -187,36 +188,41 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     frequent = table.where("p = -2").select("keys", "counts").mapInArrow(unpack, "key long, n long").groupBy("key").agg(F.sum("n")).orderBy("key").collect()
     common_keys, common_totals = np.array([r[0] for r in frequent], np.int64), np.array([r[1] for r in frequent], np.int64)
 
+    def numbers(column: pa.Array, k: int, kind: type = np.int32) -> np.ndarray:
+        return np.frombuffer(column[k].as_buffer(), kind)
+
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                keys, doc, n = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["docs"], np.int32), np.frombuffer(r["n"], np.int32)
-                total = common_totals[np.searchsorted(common_keys, keys)] if len(keys) else keys
-                sums = np.bincount(doc, _score(keys, n, total, words), len(r["doc_ids"]))
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(r["lengths"], pa.int64()), pa.array(sums)], names=["doc_id", "n_tokens", "score"])
+            keys, docs, n, ids, lengths = b.columns
+            for k in range(b.num_rows):
+                key, own = numbers(keys, k, np.int64), numbers(n, k)
+                total = common_totals[np.searchsorted(common_keys, key)] if len(key) else key
+                sums = np.bincount(numbers(docs, k), _score(key, own, total, words), len(ids[k]))
+                yield pa.RecordBatch.from_arrays([ids[k].values, lengths[k].values, pa.array(sums)], names=["doc_id", "n_tokens", "score"])
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[int, list] = {}
-        for b in batches:
-            for r in b.to_pylist():
-                rows.setdefault(r["p"], []).append(r)
-        for group in rows.values():
-            distinct = [np.frombuffer(r["keys"], np.int64) for r in group]
-            spread = [np.frombuffer(r["counts"], np.int32) for r in group]
-            n = np.concatenate([np.frombuffer(r["n"], np.int32) for r in group])
-            every, at = np.unique(np.concatenate(distinct), return_inverse=True)
-            at = np.repeat(at, np.concatenate(spread))
-            total = np.bincount(at, n, len(every))[at]
-            score = _score(every[at], n, total, words)
-            sizes = [len(r["doc_ids"]) for r in group]
-            doc = np.concatenate([np.frombuffer(r["docs"], np.int32) + base for r, base in zip(group, np.cumsum(sizes) - sizes)])
-            sums = np.bincount(doc, score, sum(sizes))
-            ids = [d for r in group for d in r["doc_ids"]]
-            group.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.zeros(len(ids), np.int64)), pa.array(sums)], names=["doc_id", "n_tokens", "score"])
+        for table in whole_runs(batches, "p"):
+            part = table.column("p").to_numpy()
+            for lo, hi in zip(*(np.searchsorted(part, np.unique(part), side) for side in ("left", "right"))):
+                keys, counts, docs, n, ids = (table.column(c).slice(lo, hi - lo) for c in ("keys", "counts", "docs", "n", "doc_ids"))
+                rows = range(len(keys))
+                every, at = np.unique(np.concatenate([numbers(keys, k, np.int64) for k in rows]), return_inverse=True)
+                at = np.repeat(at.astype(np.int32), np.concatenate([numbers(counts, k) for k in rows]))
+                own = np.concatenate([numbers(n, k) for k in rows])
+                total = np.bincount(at, own, len(every))
+                size = np.array([len(x) for x in ids])
+                doc = np.concatenate([numbers(docs, k) + base for k, base in zip(rows, (np.cumsum(size) - size).tolist())])
+                sums = np.zeros(size.sum())
+                for s in range(0, len(own), STEP):
+                    e = slice(s, s + STEP)
+                    sums += np.bincount(doc[e], _score(every[at[e]], own[e], total[at[e]], words), len(sums))
+                names = pa.concat_arrays([x.values for x in ids])
+                for s in range(0, len(sums), 10_000):
+                    made = sums[s : s + 10_000]
+                    yield pa.RecordBatch.from_arrays([names.slice(s, len(made)), pa.array(np.zeros(len(made), np.int64)), pa.array(made)], names=["doc_id", "n_tokens", "score"])
 
     kind = "doc_id long, n_tokens long, score double"
-    met = table.where("p >= 0").select("p", "keys", "counts", "docs", "n", "doc_ids").repartition(parts, "p").mapInArrow(far, kind)
+    met = table.where("p >= 0").select("p", "keys", "counts", "docs", "n", "doc_ids").repartition(parts, "p").sortWithinPartitions("p").mapInArrow(far, kind)
     sums = table.where("p = -1").select("keys", "docs", "n", "doc_ids", "lengths").mapInArrow(near, kind).union(met)
     out = sums.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("score").alias("log10_score"))
     return out.withColumn("mean_score", F.col("log10_score") / F.nullif("n_tokens", F.lit(0)))
