@@ -175,7 +175,7 @@ def _block(docs: DataFrame, items: list[tuple[int, list[str]]], id_col: str, tex
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws in items for w in ws}))}
     df, n = document_frequencies(docs, vocabulary, text_col)
     idf = np.minimum(np.log((1 + n) / (1 + df)) + 0.1, MOST)  # so that rare words around a leak don't drown an item of frequent words
-    rare = float(min(np.log(1 + n) + 0.1, MOST))  # of a word outside the benchmark
+    rare = float(np.median(idf))  # of a word outside the benchmark
     passages = [(k, ws[at : at + WINDOW]) for k, (_, ws) in enumerate(items) for at in range(0, max(1, len(ws) - STRIDE), STRIDE)]
     ids = [np.array([vocabulary[w] for w in p]) for _, p in passages]
     weights = [idf[i] / np.sqrt((idf[i] ** 2).sum()) for i in ids]

@@ -198,7 +198,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 key, own = numbers(keys, k, np.int64), numbers(n, k)
                 total = common_totals[np.searchsorted(common_keys, key)] if len(key) else key
                 sums = np.bincount(numbers(docs, k), _score(key, own, total, words), len(ids[k]))
-                yield pa.RecordBatch.from_arrays([ids[k].values, lengths[k].values, pa.array(sums)], names=["doc_id", "n_tokens", "score"])
+                yield pa.RecordBatch.from_arrays([ids[k].values, lengths[k].values, pa.array(sums, pa.float64())], names=["doc_id", "n_tokens", "score"])
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "p"):
@@ -219,7 +219,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 names = pa.concat_arrays([x.values for x in ids])
                 for s in range(0, len(sums), 10_000):
                     made = sums[s : s + 10_000]
-                    yield pa.RecordBatch.from_arrays([names.slice(s, len(made)), pa.array(np.zeros(len(made), np.int64)), pa.array(made)], names=["doc_id", "n_tokens", "score"])
+                    yield pa.RecordBatch.from_arrays([names.slice(s, len(made)), pa.array(np.zeros(len(made), np.int64)), pa.array(made, pa.float64())], names=["doc_id", "n_tokens", "score"])
 
     kind = "doc_id long, n_tokens long, score double"
     met = table.where("p >= 0").select("p", "keys", "counts", "docs", "n", "doc_ids").repartition(parts, "p").sortWithinPartitions("p").mapInArrow(far, kind)

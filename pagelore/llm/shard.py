@@ -64,7 +64,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", te
     """``docs`` with size (UTF-8 bytes of the text, none for null, plus 16), text_crc32, law, shard, slot and grown_shard.
 
     Columns of those names are replaced. slot is gapless from 0 in each shard. Null texts are one group of equal texts; repeated
-    rows get slots of their own; null ids hash like any value. Without rows there are no shards' rows.
+    rows get slots of their own; null ids hash like any value. Without rows there are no shards' rows. ``docs`` is read twice and has
+    to give the same rows each time (so no limit without an order).
     """
     docs = docs.withColumns({
         "size": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + ROW_BYTES,
