@@ -5,16 +5,18 @@ of the counts that it is scored with. S(w | v) = (c(vw) - own) / c(v) if that is
 
 1. Words are counted over all texts. Those with at least one occurrence in every 2^21 bytes of the corpus are the vocabulary (at
    most 2^20 words, whatever the corpus); all others are one class, <unk>.
-2. Texts are exploded to bigrams. Tasks write, for each hash partition, their distinct bigrams with the documents and counts.
+2. Texts are exploded to bigrams. Batches of documents write, for each hash partition, their distinct bigrams with documents and counts.
    Bigrams of two very frequent words (one in 512 tokens, so at most 512 words) are known to fit in memory: their counts are
    summed apart, so the documents of such a bigram don't meet in one task.
 3. Rows of a partition meet once: counts are summed, joined to the partition's documents and turned into scores.
-4. Scores are summed for each document.
+4. A batch's scores come back together and are summed for each document, so that no step makes more rows than there are documents,
+   or pairs of a batch and a partition.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +34,6 @@ WORD = re.compile(r"[^\W_]+")
 BACKOFF, BYTES_A_WORD, FREQUENT = 0.4, 1 << 21, 512
 UNK, START = 0, 1
 FLUSH = 800_000  # tokens that a task holds before it writes them
-STEP = 1 << 19  # postings that are scored at once
 
 
 @dataclass
@@ -114,8 +115,8 @@ def _score(keys: np.ndarray, own: np.ndarray, total: np.ndarray, words: Words) -
 
 
 def postings(docs: DataFrame, words: Words, parts: int) -> DataFrame:
-    """Per task and partition: distinct bigrams (keys, documents of each) and their (doc, n). Partition -1: frequent bigrams with all
-    documents' ids and lengths, by document; -2: the counts of those bigrams."""
+    """Per batch and partition: distinct bigrams (keys, documents of each) and their (place of the document in the batch, n).
+    Partition -1: frequent bigrams by document, with all documents' ids and lengths; -2: the counts of those bigrams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, often = Ids(words), words.frequent()
@@ -138,11 +139,12 @@ def postings(docs: DataFrame, words: Words, parts: int) -> DataFrame:
             for p in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
                 s = slice(edges[p], edges[p + 1])
                 distinct, counts = np.unique(keys[s], return_counts=True)
-                used, local = np.unique(doc[s], return_inverse=True)
-                rows.append((p, distinct, counts, local, n[s], [names[i] for i in used.tolist()], None))
+                rows.append((p, distinct, counts, doc[s], n[s], None, None))
             held.clear()
+            batch = uuid.uuid4().int >> 65
             pack = lambda x, kind: None if x is None else np.asarray(x).astype(kind).tobytes()
             return pa.RecordBatch.from_arrays([
+                pa.array([batch] * len(rows), pa.int64()),
                 pa.array([r[0] for r in rows], pa.int32()),
                 pa.array([pack(r[1], "<i8") for r in rows], pa.binary()),
                 pa.array([pack(r[2], "<i8" if r[0] < 0 else "<i4") for r in rows], pa.binary()),
@@ -150,7 +152,7 @@ def postings(docs: DataFrame, words: Words, parts: int) -> DataFrame:
                 pa.array([pack(r[4], "<i4") for r in rows], pa.binary()),
                 pa.array([r[5] for r in rows], pa.list_(pa.int64())),
                 pa.array([r[6] for r in rows], pa.list_(pa.int64())),
-            ], names=["p", "keys", "counts", "docs", "n", "doc_ids", "lengths"])
+            ], names=["batch", "p", "keys", "counts", "docs", "n", "doc_ids", "lengths"])
 
         waiting = 0
         for b in batches:
@@ -166,7 +168,7 @@ def postings(docs: DataFrame, words: Words, parts: int) -> DataFrame:
         if held:
             yield out()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "p int, keys binary, counts binary, docs binary, n binary, doc_ids array<long>, lengths array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "batch long, p int, keys binary, counts binary, docs binary, n binary, doc_ids array<long>, lengths array<long>")
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,37 +195,49 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, docs, n, ids, lengths = b.columns
+            names, keys, docs, n, ids, lengths = b.columns
+            sums = []
             for k in range(b.num_rows):
                 key, own = numbers(keys, k, np.int64), numbers(n, k)
                 total = common_totals[np.searchsorted(common_keys, key)] if len(key) else key
-                sums = np.bincount(numbers(docs, k), _score(key, own, total, words), len(ids[k]))
-                yield pa.RecordBatch.from_arrays([ids[k].values, lengths[k].values, pa.array(sums, pa.float64())], names=["doc_id", "n_tokens", "score"])
+                sums.append(np.bincount(numbers(docs, k), _score(key, own, total, words), len(ids[k])).astype(np.float64).tobytes())
+            yield pa.RecordBatch.from_arrays([names, pa.nulls(len(sums), pa.binary()), pa.array(sums, pa.binary()), ids, lengths], names=["batch", "docs", "sums", "doc_ids", "lengths"])
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "p"):
             part = table.column("p").to_numpy()
             for lo, hi in zip(*(np.searchsorted(part, np.unique(part), side) for side in ("left", "right"))):
-                keys, counts, docs, n, ids = (table.column(c).slice(lo, hi - lo) for c in ("keys", "counts", "docs", "n", "doc_ids"))
+                names, keys, counts, docs, n = (table.column(c).slice(lo, hi - lo) for c in ("batch", "keys", "counts", "docs", "n"))
                 rows = range(len(keys))
                 every, at = np.unique(np.concatenate([numbers(keys, k, np.int64) for k in rows]), return_inverse=True)
                 at = np.repeat(at.astype(np.int32), np.concatenate([numbers(counts, k) for k in rows]))
-                own = np.concatenate([numbers(n, k) for k in rows])
-                total = np.bincount(at, own, len(every))
-                size = np.array([len(x) for x in ids])
-                doc = np.concatenate([numbers(docs, k) + base for k, base in zip(rows, (np.cumsum(size) - size).tolist())])
-                sums = np.zeros(size.sum())
-                for s in range(0, len(own), STEP):
-                    e = slice(s, s + STEP)
-                    sums += np.bincount(doc[e], _score(every[at[e]], own[e], total[at[e]], words), len(sums))
-                names = pa.concat_arrays([x.values for x in ids])
-                for s in range(0, len(sums), 10_000):
-                    made = sums[s : s + 10_000]
-                    yield pa.RecordBatch.from_arrays([names.slice(s, len(made)), pa.array(np.zeros(len(made), np.int64)), pa.array(made, pa.float64())], names=["doc_id", "n_tokens", "score"])
-
-    kind = "doc_id long, n_tokens long, score double"
-    met = table.where("p >= 0").select("p", "keys", "counts", "docs", "n", "doc_ids").repartition(parts, "p").sortWithinPartitions("p").mapInArrow(far, kind)
-    sums = table.where("p = -1").select("keys", "docs", "n", "doc_ids", "lengths").mapInArrow(near, kind).union(met)
+                total = np.bincount(at, np.concatenate([numbers(n, k) for k in rows]), len(every))
+                begin, used, sums = 0, [], []
+                for k in rows:
+                    own = numbers(n, k)
+                    mine = at[begin : begin + len(own)]
+                    begin += len(own)
+                    there, place = np.unique(numbers(docs, k), return_inverse=True)
+                    used.append(there.astype("<i4").tobytes())
+                    sums.append(np.bincount(place, _score(every[mine], own, total[mine], words)).astype(np.float64).tobytes())
+                yield pa.RecordBatch.from_arrays([names.combine_chunks(), pa.array(used, pa.binary()), pa.array(sums, pa.binary()), pa.nulls(len(used), pa.list_(pa.int64())), pa.nulls(len(used), pa.list_(pa.int64()))], names=["batch", "docs", "sums", "doc_ids", "lengths"])
+
+    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, "batch"):
+            name = table.column("batch").to_numpy()
+            for lo, hi in zip(*(np.searchsorted(name, np.unique(name), side) for side in ("left", "right"))):
+                docs, sums, ids, lengths = (table.column(c).slice(lo, hi - lo) for c in ("docs", "sums", "doc_ids", "lengths"))
+                whole = next(k for k in range(hi - lo) if ids[k].is_valid)
+                total = numbers(sums, whole, np.float64).copy()
+                for k in range(hi - lo):
+                    if k != whole:
+                        total[numbers(docs, k)] += numbers(sums, k, np.float64)
+                yield pa.RecordBatch.from_arrays([ids[whole].values, lengths[whole].values, pa.array(total, pa.float64())], names=["doc_id", "n_tokens", "score"])
+
+    kind = "batch long, docs binary, sums binary, doc_ids array<long>, lengths array<long>"
+    met = table.where("p >= 0").select("batch", "p", "keys", "counts", "docs", "n").repartition(parts, "p").sortWithinPartitions("p").mapInArrow(far, kind)
+    every = table.where("p = -1").select("batch", "keys", "docs", "n", "doc_ids", "lengths").mapInArrow(near, kind).union(met)
+    sums = every.repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(combined, "doc_id long, n_tokens long, score double")
     out = sums.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("score").alias("log10_score"))
     return out.withColumn("mean_score", F.col("log10_score") / F.nullif("n_tokens", F.lit(0)))
 

@@ -25,10 +25,9 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("flush,step,frequent", [(800_000, 1 << 19, 512), (200, 7, 512), (200, 7, 4)])
-def test_scores(docs, rows, monkeypatch, flush, step, frequent):
+@pytest.mark.parametrize("flush,frequent", [(800_000, 512), (200, 512), (200, 4)])
+def test_scores(docs, rows, monkeypatch, flush, frequent):
     monkeypatch.setattr(L, "FLUSH", flush)
-    monkeypatch.setattr(L, "STEP", step)
     monkeypatch.setattr(L, "FREQUENT", frequent)
     got = {r.doc_id: r for r in L.scores(docs).collect()}
     want = brute([(r[0], r[1]) for r in rows])
