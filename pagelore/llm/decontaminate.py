@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,21 +31,6 @@ COSINE, SURE, LIKELY, ANSWER = 0.45, 0.8, 0.5, 0.5
 MOST = 4.0
 
 
-class Known(dict):
-    """Word ids; other words have the id ``unknown``, and a bounded number of them is kept."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        super().__init__(vocabulary)
-        self.vocabulary, self.unknown = vocabulary, len(vocabulary)
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > self.unknown + 500_000:
-            self.clear()
-            self.update(self.vocabulary)
-        self[word] = self.unknown
-        return self.unknown
-
-
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
@@ -213,7 +199,6 @@ def _block(docs: DataFrame, items: list[tuple[int, list[str]]], id_col: str, tex
             yield w, int(owner[p]), float(cos[w, p])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = Known(vocabulary).__getitem__
         held: list[tuple[int | None, list[str], np.ndarray, tuple]] = []
 
         def out() -> pa.RecordBatch:
@@ -242,7 +227,7 @@ def _block(docs: DataFrame, items: list[tuple[int, list[str]]], id_col: str, tex
                 ws = words_of(text)
                 if not ws:
                     continue
-                at = np.fromiter(map(get, ws), np.int64, len(ws))
+                at = np.fromiter(map(vocabulary.get, ws, repeat(unknown)), np.int64, len(ws))
                 chosen = windows(at)
                 if len(chosen[0]):
                     held.append((doc.as_py(), ws, at, chosen))

@@ -33,7 +33,7 @@ from .store import written
 WORD = re.compile(r"[^\W_]+")
 BACKOFF, BYTES_A_WORD, FREQUENT = 0.4, 1 << 21, 512
 UNK, START = 0, 1
-FLUSH = 800_000  # tokens that a task holds before it writes them
+FLUSH = 400_000  # tokens that a task holds before it writes them
 
 
 @dataclass
@@ -122,7 +122,7 @@ def postings(docs: DataFrame, words: Words, parts: int) -> DataFrame:
         ids, often = Ids(words), words.frequent()
         held: list[tuple[int | None, int, np.ndarray, np.ndarray]] = []
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
             doc = np.repeat(np.arange(len(held)), [len(k) for _, _, k, _ in held])
             keys, n = (np.concatenate(x) for x in zip(*((k, c) for _, _, k, c in held)))
             common = often[keys // words.size] & often[keys % words.size]
@@ -143,16 +143,18 @@ def postings(docs: DataFrame, words: Words, parts: int) -> DataFrame:
             held.clear()
             batch = uuid.uuid4().int >> 65
             pack = lambda x, kind: None if x is None else np.asarray(x).astype(kind).tobytes()
-            return pa.RecordBatch.from_arrays([
-                pa.array([batch] * len(rows), pa.int64()),
-                pa.array([r[0] for r in rows], pa.int32()),
-                pa.array([pack(r[1], "<i8") for r in rows], pa.binary()),
-                pa.array([pack(r[2], "<i8" if r[0] < 0 else "<i4") for r in rows], pa.binary()),
-                pa.array([pack(r[3], "<i4") for r in rows], pa.binary()),
-                pa.array([pack(r[4], "<i4") for r in rows], pa.binary()),
-                pa.array([r[5] for r in rows], pa.list_(pa.int64())),
-                pa.array([r[6] for r in rows], pa.list_(pa.int64())),
-            ], names=["batch", "p", "keys", "counts", "docs", "n", "doc_ids", "lengths"])
+            for at in range(0, len(rows), 16):  # small record batches
+                part = rows[at : at + 16]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([batch] * len(part), pa.int64()),
+                    pa.array([r[0] for r in part], pa.int32()),
+                    pa.array([pack(r[1], "<i8") for r in part], pa.binary()),
+                    pa.array([pack(r[2], "<i8" if r[0] < 0 else "<i4") for r in part], pa.binary()),
+                    pa.array([pack(r[3], "<i4") for r in part], pa.binary()),
+                    pa.array([pack(r[4], "<i4") for r in part], pa.binary()),
+                    pa.array([r[5] for r in part], pa.list_(pa.int64())),
+                    pa.array([r[6] for r in part], pa.list_(pa.int64())),
+                ], names=["batch", "p", "keys", "counts", "docs", "n", "doc_ids", "lengths"])
 
         waiting = 0
         for b in batches:
@@ -163,10 +165,10 @@ def postings(docs: DataFrame, words: Words, parts: int) -> DataFrame:
                 held.append((doc.as_py(), len(ws), keys, n))
                 waiting += len(ws) + 50
                 if waiting > FLUSH:
-                    yield out()
+                    yield from out()
                     waiting = 0
         if held:
-            yield out()
+            yield from out()
 
     return docs.select("doc_id", "text").mapInArrow(run, "batch long, p int, keys binary, counts binary, docs binary, n binary, doc_ids array<long>, lengths array<long>")
 

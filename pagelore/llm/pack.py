@@ -51,7 +51,7 @@ class Chunks(dict):
     ones, of which those still in use come back.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 230_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
