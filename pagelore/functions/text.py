@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space, the same in every function: also the no-break and other Unicode spaces. For use inside a character class.
 SPACE = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -15,13 +16,13 @@ CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F
 QUOTES = dict(zip("‘’ʼ“”‐‑‒–—", "'''\"\"-----"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkd(s: pd.Series) -> pd.Series:
     """Compatibility decomposition."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKD", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))

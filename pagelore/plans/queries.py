@@ -126,7 +126,7 @@ LAID = f"""
     (SELECT *, CAST(floor(p0 / 60) AS BIGINT) % 50 AS row, CAST(floor(p0 / 3000) AS INT) + 1 AS page FROM
         (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p0
          FROM {_word_rows("doc_id", "documents")}))"""
-EDGE = "(row * (792.0 / 50) + 792.0 / 50 * 0.8 <= 79.2 OR row * (792.0 / 50) >= 792.0 * 0.9)"
+EDGE = "(row * (792e0 / 50) + 792e0 / 50 * 8e-1 <= 792e0 * 1e-1 OR row * (792e0 / 50) >= 792e0 * 9e-1)"
 
 
 @query(f"""
