@@ -180,7 +180,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     document of its own in the counts. Null and empty texts have no tokens; an empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a partition is held as arrays, so small ones
     words = count_words(docs)
     table = written(postings(docs, words, parts))
 
