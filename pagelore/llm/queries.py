@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import embeddings, lm
 from .decontaminate import op10_decontaminate
 from .embeddings import op8_embedding_dedup
 from .language import op6_language
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_embedding_dedup": embeddings.SQL, "op9_lm_score": lm.SQL}
