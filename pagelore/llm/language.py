@@ -6,7 +6,6 @@ about ``sample`` training rows in all, dealt evenly over the languages and chose
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,7 +20,6 @@ DIMS, ORDERS, BLOCK = 8192, (2, 3), 1 << 20
 #: A text is rejected under this share of the lowest cosine that a sampled text of its language has.
 REJECT = 0.25
 _KEEP = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -134,7 +132,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
                 held.clear()
 
             for t in batch:
-                held.append(t if t and _LETTER.search(t) else None)
+                held.append(t if t and any(map(str.isalpha, t)) else None)
                 if len(held) == 256:
                     flush()
             if held:

@@ -114,6 +114,20 @@ def _score(keys: np.ndarray, own: np.ndarray, total: np.ndarray, words: Words) -
     return own * np.log10(np.where(others > 0, seen, backoff))
 
 
+def _packed(x: np.ndarray | None) -> bytes | None:
+    """Counts or places (not negative) in the fewest bytes each that hold them all."""
+    if x is None:
+        return None
+    most = int(x.max(initial=0))
+    return x.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<i8").tobytes()
+
+
+def _unpacked(data: pa.Scalar, n: int) -> np.ndarray:
+    """n numbers."""
+    data = data.as_buffer()
+    return np.frombuffer(data, {1: "<u1", 2: "<u2", 8: "<i8"}[len(data) // n] if n else "<u1").astype(np.int64)
+
+
 def postings(docs: DataFrame, words: Words, parts: int) -> DataFrame:
     """Per batch and partition: distinct bigrams (keys, documents of each) and their (place of the document in the batch, n).
     Partition -1: frequent bigrams by document, with all documents' ids and lengths; -2: the counts of those bigrams."""
@@ -142,16 +156,13 @@ def postings(docs: DataFrame, words: Words, parts: int) -> DataFrame:
                 rows.append((p, distinct, counts, doc[s], n[s], None, None))
             held.clear()
             batch = uuid.uuid4().int >> 65
-            pack = lambda x, kind: None if x is None else np.asarray(x).astype(kind).tobytes()
             for at in range(0, len(rows), 16):  # small record batches
                 part = rows[at : at + 16]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([batch] * len(part), pa.int64()),
                     pa.array([r[0] for r in part], pa.int32()),
-                    pa.array([pack(r[1], "<i8") for r in part], pa.binary()),
-                    pa.array([pack(r[2], "<i8" if r[0] < 0 else "<i4") for r in part], pa.binary()),
-                    pa.array([pack(r[3], "<i4") for r in part], pa.binary()),
-                    pa.array([pack(r[4], "<i4") for r in part], pa.binary()),
+                    pa.array([r[1].astype("<i8").tobytes() for r in part], pa.binary()),
+                    *(pa.array([_packed(r[k]) for r in part], pa.binary()) for k in (2, 3, 4)),
                     pa.array([r[5] for r in part], pa.list_(pa.int64())),
                     pa.array([r[6] for r in part], pa.list_(pa.int64())),
                 ], names=["batch", "p", "keys", "counts", "docs", "n", "doc_ids", "lengths"])
@@ -180,19 +191,20 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     document of its own in the counts. Null and empty texts have no tokens; an empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a partition is held as arrays, so small ones
+    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a partition is held as arrays, so small ones
     words = count_words(docs)
     table = written(postings(docs, words, parts))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for keys, counts in zip(b.column(0), b.column(1)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64)) for x in (keys, counts)], names=["key", "n"])
+                key = np.frombuffer(keys.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(_unpacked(counts, len(key)))], names=["key", "n"])
 
     frequent = table.where("p = -2").select("keys", "counts").mapInArrow(unpack, "key long, n long").groupBy("key").agg(F.sum("n")).orderBy("key").collect()
     common_keys, common_totals = np.array([r[0] for r in frequent], np.int64), np.array([r[1] for r in frequent], np.int64)
 
-    def numbers(column: pa.Array, k: int, kind: type = np.int32) -> np.ndarray:
+    def numbers(column: pa.Array, k: int, kind: type = np.int64) -> np.ndarray:
         return np.frombuffer(column[k].as_buffer(), kind)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,9 +212,10 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             names, keys, docs, n, ids, lengths = b.columns
             sums = []
             for k in range(b.num_rows):
-                key, own = numbers(keys, k, np.int64), numbers(n, k)
+                key = numbers(keys, k)
+                own, place = _unpacked(n[k], len(key)), _unpacked(docs[k], len(key))
                 total = common_totals[np.searchsorted(common_keys, key)] if len(key) else key
-                sums.append(np.bincount(numbers(docs, k), _score(key, own, total, words), len(ids[k])).astype(np.float64).tobytes())
+                sums.append(np.bincount(place, _score(key, own, total, words), len(ids[k])).astype(np.float64).tobytes())
             yield pa.RecordBatch.from_arrays([names, pa.nulls(len(sums), pa.binary()), pa.array(sums, pa.binary()), ids, lengths], names=["batch", "docs", "sums", "doc_ids", "lengths"])
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,16 +224,18 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             for lo, hi in zip(*(np.searchsorted(part, np.unique(part), side) for side in ("left", "right"))):
                 names, keys, counts, docs, n = (table.column(c).slice(lo, hi - lo) for c in ("batch", "keys", "counts", "docs", "n"))
                 rows = range(len(keys))
-                every, at = np.unique(np.concatenate([numbers(keys, k, np.int64) for k in rows]), return_inverse=True)
-                at = np.repeat(at.astype(np.int32), np.concatenate([numbers(counts, k) for k in rows]))
-                total = np.bincount(at, np.concatenate([numbers(n, k) for k in rows]), len(every))
+                key = [numbers(keys, k) for k in rows]
+                spread = [_unpacked(counts[k], len(x)) for k, x in zip(rows, key)]
+                every, at = np.unique(np.concatenate(key), return_inverse=True)
+                at = np.repeat(at.astype(np.int32), np.concatenate(spread))
+                owns = [_unpacked(n[k], int(x.sum())) for k, x in zip(rows, spread)]
+                total = np.bincount(at, np.concatenate(owns), len(every))
                 begin, used, sums = 0, [], []
-                for k in rows:
-                    own = numbers(n, k)
+                for k, own in zip(rows, owns):
                     mine = at[begin : begin + len(own)]
                     begin += len(own)
-                    there, place = np.unique(numbers(docs, k), return_inverse=True)
-                    used.append(there.astype("<i4").tobytes())
+                    there, place = np.unique(_unpacked(docs[k], len(own)), return_inverse=True)
+                    used.append(_packed(there))
                     sums.append(np.bincount(place, _score(every[mine], own, total[mine], words)).astype(np.float64).tobytes())
                 yield pa.RecordBatch.from_arrays([names.combine_chunks(), pa.array(used, pa.binary()), pa.array(sums, pa.binary()), pa.nulls(len(used), pa.list_(pa.int64())), pa.nulls(len(used), pa.list_(pa.int64()))], names=["batch", "docs", "sums", "doc_ids", "lengths"])
 
@@ -233,7 +248,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 total = numbers(sums, whole, np.float64).copy()
                 for k in range(hi - lo):
                     if k != whole:
-                        total[numbers(docs, k)] += numbers(sums, k, np.float64)
+                        own = numbers(sums, k, np.float64)
+                        total[_unpacked(docs[k], len(own))] += own
                 yield pa.RecordBatch.from_arrays([ids[whole].values, lengths[whole].values, pa.array(total, pa.float64())], names=["doc_id", "n_tokens", "score"])
 
     kind = "batch long, docs binary, sums binary, doc_ids array<long>, lengths array<long>"

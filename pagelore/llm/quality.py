@@ -25,7 +25,7 @@ from .store import written
 
 _SYMBOLS = re.compile(r"[^\w\s.,;:'\"?!()-]|_")
 _MARKS = re.compile(r"[!?]{2,}")
-FEATURES = 14
+FEATURES = 13
 
 
 def features(text: str) -> list[float]:
@@ -51,7 +51,6 @@ def features(text: str) -> list[float]:
         min(1.0, sum(map(len, words)) / n / 20),
         words.count("|") / n,
         sum(w[-1:] in ".!?" for w in words) / n,
-        sum(map(str.isdigit, text)) / chars,
     ]
 
 
