@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import attributes, text
-from ..operators import align, forms, geometry, report, review, structure, tagtree, verify, words
-from ..sources.readers import read_table
+from ..functions.register import speak_math
+from ..operators import align, audit, content, forms, geometry, raster, report, review, structure, tagtree, verify, words
+from ..sources.readers import checked_pages, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -104,10 +105,10 @@ def page_reports(spark, sf_dir):
 @query(f"SELECT doc_id, len(l) AS words, len(list_distinct([{NORM.format('x')} for x in l])) AS norms FROM (SELECT doc_id, {WORDS} AS l FROM documents)")
 def doc_tokens(spark, sf_dir):
     """Words and distinct normalised words of each document."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    w = docs.select("doc_id", F.explode(text.split_words(F.col("text"))).alias("w")).select("doc_id", text.normalize(F.col("w.text")).alias("norm"))
-    counts = w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.countDistinct("norm").alias("norms"))
-    return docs.select("doc_id").join(counts, "doc_id", "left").na.fill(0)
+    listed = F.transform(text.split_words(F.col("text")), lambda w: w["text"])
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", listed.alias("l"))
+    each = docs.select("doc_id", F.size("l").cast("bigint").alias("words"), F.explode_outer(F.array_distinct("l")).alias("w"))
+    return each.groupBy("doc_id", "words").agg(F.countDistinct(text.normalize(F.col("w"))).alias("norms"))
 
 
 @query(f"SELECT {NORM.format('text')} AS norm, count(*) AS n FROM {_word_rows('doc_id', 'documents')} GROUP BY 1")
@@ -484,3 +485,148 @@ def pixel_differences(spark, sf_dir):
     rows = [(1, 6, 5, bytes(a), bytes(b), []), (2, 6, 5, bytes(a), bytes(c), [(0.0, 0.0, 1.0, 1.0)])]
     pairs = spark.createDataFrame(rows, "page int, w int, h int, before binary, after binary, changed array<struct<x0:double,y0:double,x1:double,y1:double>>")
     return verify.compare_pixels(pairs, "page")
+
+
+HEADINGS = ("(1, 1, 'H1', 'a', 1), (1, 2, 'H2', 'b \"q\"', 1), (1, 3, 'P', 'x', 1), (1, 4, 'H2', 'c', 2), (1, 5, 'H3', 'd', 4), (2, 1, 'H', 'e', 2)", "doc_id, node_id, type, text, page")
+PAGES = ("(1, 1), (1, 2), (1, 3), (1, 4), (1, 5), (2, 1), (2, 2), (2, 3)", "doc_id, page")
+
+
+@query(f"""
+    WITH h AS (SELECT *, type || ' ' || CAST(to_json(text) AS VARCHAR) AS s FROM {_from(HEADINGS)} WHERE regexp_matches(type, '^H[1-6]?$')),
+    k AS (SELECT p.doc_id, p.page, h.s, h.node_id, row_number() OVER (PARTITION BY p.doc_id, p.page ORDER BY h.page DESC, h.node_id DESC) AS k FROM {_from(PAGES).replace(" AS t(", " AS p(")} LEFT JOIN h ON h.doc_id = p.doc_id AND h.page < p.page)
+    SELECT doc_id, page, coalesce(string_agg(s, ' | ' ORDER BY k DESC), '') AS headings FROM k WHERE k <= 3 GROUP BY doc_id, page""")
+def heading_context(spark, sf_dir):
+    """The last three headings before each page."""
+    out = tagtree.headings_before(_values(spark, HEADINGS), _values(spark, PAGES), most=3)
+    return out.select("doc_id", "page", F.array_join("headings", " | ").alias("headings"))
+
+
+CODES = ("(1, 0, 0, 'a', 1), (1, 0, 1, 'b', 1), (1, 0, 2, 'c', 2), (1, 1, 3, 'd', 2), (1, NULL, 4, 'z', 2), (2, 0, 0, 'e', 1), (2, 0, 1, 'f', 3)", "page, mcid, char_ord, c, line")
+
+
+@query(f"""SELECT page, mcid, string_agg(x, '' ORDER BY char_ord) AS text FROM
+    (SELECT *, CASE WHEN lag(line) OVER (PARTITION BY page, mcid ORDER BY char_ord) <> line THEN ' ' ELSE '' END || c AS x FROM {_from(CODES)} WHERE mcid IS NOT NULL) GROUP BY page, mcid""")
+def marked_text(spark, sf_dir):
+    return tagtree.marked_text(_values(spark, CODES), "page")
+
+
+OPERATORS = (", ".join(f"({p}, {k}, '{o}')" for p, s in enumerate(("q BT ET Q", "Q q", "BT BT ET ET", "q BDC Q", "q", "q q BT Tj ET Q Q", "ET BT"), 1) for k, o in enumerate(s.split())), "page, op_ord, op")
+
+
+@query(f"""
+    WITH d AS (SELECT *, sum(CASE op WHEN 'q' THEN 1 WHEN 'Q' THEN -1 ELSE 0 END) OVER w AS q, sum(CASE op WHEN 'BT' THEN 1 WHEN 'ET' THEN -1 ELSE 0 END) OVER w AS t FROM {_from(OPERATORS)} WINDOW w AS (PARTITION BY page ORDER BY op_ord))
+    SELECT page, min(q) >= 0 AND min(t) >= 0 AND max(t) <= 1 AND arg_max(q, op_ord) = 0 AND arg_max(t, op_ord) = 0 AND NOT bool_or(op IN ('BI', 'BMC', 'BDC', 'EMC', 'MP', 'DP')) AS safe FROM d GROUP BY page""")
+def safe_content(spark, sf_dir):
+    return audit.safe_content(_values(spark, OPERATORS).withColumn("args", F.array().cast("array<string>")), "page")
+
+
+CONTROLS = ("(1, 0, 'own', 'y', 'radio'), (1, 1, 'own', 'n', 'radio'), (1, 2, 'name', NULL, 'text'), (1, 3, 'gone', NULL, 'text'), (1, 4, 'name', NULL, 'text'), (1, 5, 'name', NULL, 'text')", "doc, control_ord, name, value, type")
+TAKEN = ("(1, 10, 'own', 'n'), (1, 11, 'own', 'y'), (1, 12, 'name', ''), (1, 13, 'name', '')", "doc, widget_ord, name, state")
+
+
+@query(f"""
+    WITH c AS (SELECT *, row_number() OVER (PARTITION BY doc, name, v ORDER BY control_ord) AS k FROM (SELECT *, CASE WHEN type IN ('radio', 'checkbox') AND value IS NOT NULL THEN value ELSE '' END AS v FROM {_from(CONTROLS)})),
+    w AS (SELECT *, row_number() OVER (PARTITION BY doc, name, state ORDER BY widget_ord) AS k FROM {_from(TAKEN)})
+    SELECT c.doc, c.control_ord, CAST(w.widget_ord AS VARCHAR) AS widget FROM c LEFT JOIN w ON w.doc = c.doc AND w.name = c.name AND w.state = c.v AND w.k = c.k""")
+def control_widgets(spark, sf_dir):
+    """Controls of the HTML with the form's widgets of their name and state, each widget taken once."""
+    widgets = _values(spark, TAKEN).withColumn("on_states", F.when(F.col("state") == "", F.array().cast("array<string>")).otherwise(F.array("state"))).drop("state")
+    return forms.controls_to_widgets(_values(spark, CONTROLS), widgets, "doc").select("doc", "control_ord", F.col("widget_ord").cast("string").alias("widget"))
+
+
+BASES = ("(1, 0, 'a.b'), (1, 1, 'x'), (1, 2, 'a-b'), (1, 3, 'x'), (1, 4, 'x'), (2, 0, 'x')", "doc, o, base")
+
+
+@query(f"SELECT doc, o, b || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS name FROM (SELECT doc, o, replace(base, '.', '-') AS b, row_number() OVER (PARTITION BY doc, replace(base, '.', '-') ORDER BY o) AS k FROM {_from(BASES)})")
+def unique_names(spark, sf_dir):
+    return forms.unique_names(_values(spark, BASES), "base", "o", "doc").select("doc", "o", "name")
+
+
+GIVEN_PAGES = ("(1, 1.0, '<p>x'), (1, 1.0, 'y'), (1, 2.5, 'z'), (1, 2.0, '<h1>k'), (1, 3.0, NULL), (1, 4.0, 'w'), (2, 1.0, 'v'), (2, 0.0, 'u'), (2, NULL, 't')", "doc, source_page, html")
+
+
+@query(f"""
+    SELECT doc, CAST(source_page AS DOUBLE) AS source_page, code FROM (SELECT *, CASE WHEN source_page IS NULL OR source_page <> floor(source_page) OR source_page NOT BETWEEN 1 AND 3 THEN 'page_out_of_range'
+        WHEN html IS NULL THEN 'page_without_html' WHEN count(*) OVER (PARTITION BY doc, source_page) > 1 THEN 'page_given_twice' END AS code FROM {_from(GIVEN_PAGES)}) WHERE code IS NOT NULL""")
+def page_errors(spark, sf_dir):
+    """Pages of an input that can't be taken: numbers out of range or given twice, no HTML."""
+    pages = _values(spark, GIVEN_PAGES).withColumn("source_page", F.col("source_page").cast("double"))
+    return checked_pages(pages, F.lit(3), "doc")[1]
+
+
+SHARED = ("(1, 5, 0, 'ab', 0.0, 10.0), (1, 5, 1, 'abc', 0.0, 10.0), (1, 6, 2, 'x', 20.0, 24.0), (2, 5, 0, 'wxyz', 1.0, 9.0), (2, 5, 1, 'w', 1.0, 9.0), (2, 5, 2, 'wxy', 1.0, 9.0)", "page, tok, word_ord, text, x0, x1")
+
+
+@query(f"""
+    SELECT page, word_ord, x0 + (x1 - x0) / n * before AS x0, x0 + (x1 - x0) / n * (before + length(text)) AS x1 FROM
+    (SELECT page, word_ord, text, CAST(x0 AS DOUBLE) AS x0, CAST(x1 AS DOUBLE) AS x1, coalesce(sum(length(text)) OVER (PARTITION BY page, tok ORDER BY word_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(length(text)) OVER (PARTITION BY page, tok) AS n FROM {_from(SHARED)})""")
+def word_shares(spark, sf_dir):
+    """Words that one drawn word holds, with their parts of its box."""
+    box = F.struct(F.col("x0").cast("double").alias("x0"), F.lit(0.0).alias("y0"), F.col("x1").cast("double").alias("x1"), F.lit(1.0).alias("y1"))
+    out = geometry.shares(_values(spark, SHARED).withColumn("box", box), "page", "tok")
+    return out.select("page", "word_ord", F.col("box.x0").alias("x0"), F.col("box.x1").alias("x1"))
+
+
+FORMULAS = (
+    ("<msup><mi>x</mi><mn>2</mn></msup>", "x squared"),
+    ("<mfrac><mrow><mi>a</mi><mo>+</mo><mn>1</mn></mrow><mi>b</mi></mfrac>", "fraction a + 1 over b end fraction"),
+    ("<msqrt><mi>x</mi></msqrt>", "square root of x end root"),
+    ("<mroot><mi>x</mi><mn>3</mn></mroot>", "root with index 3 of x end root"),
+    ("<msubsup><mi>M</mi><mn>2</mn><mi>G</mi></msubsup>", "M sub 2 to the power G"),
+    ("<mover><mi>x</mi><mo>→</mo></mover>", "x vector"),
+    ("<munder><mo>lim</mo><mrow><mi>n</mi><mo>→</mo><mn>0</mn></mrow></munder>", "lim under n → 0 end under"),
+    ("<msup><mi>x</mi></msup>", ""),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{s}')" for k, (_, s) in enumerate(FORMULAS)) + ") AS t(k, spoken)")
+def math_speech(spark, sf_dir):
+    rows = spark.createDataFrame([(k, f"<math>{m}</math>") for k, (m, _) in enumerate(FORMULAS)], "k int, html string")
+    return rows.select("k", speak_math("html").alias("spoken"))
+
+
+@query("""SELECT * FROM (VALUES (1, 0, 'q', ''), (1, 1, 'cm', '1 0 0 1 5 6'), (1, 2, 'Tj', '(a(b)\\) c)'), (1, 3, 'BI', ''), (1, 4, 'Q', ''), (2, 0, 'BDC', '/P << /MCID 7 >>'), (2, 1, 'EMC', '')) AS t(page, op_ord, op, args)""")
+def content_operators(spark, sf_dir):
+    """Operators of two content streams, with their operands."""
+    streams = [(1, bytearray(b"q % note (\n1 0 0 1 5 6 cm (a(b)\\) c) Tj BI /W 1 ID \x00 EI\x01 EI Q")), (2, bytearray(b"/P<</MCID 7>>BDC EMC"))]
+    out = content.operator_rows(spark.createDataFrame(streams, "page int, content binary"), "content", "page")
+    return out.select("page", "op_ord", "op", F.array_join("args", " ").alias("args"))
+
+
+@query("SELECT * FROM (VALUES (0, '8'), (1, NULL), (2, '7')) AS t(link_ord, annotation)")
+def link_annotations(spark, sf_dir):
+    """Links with the page's annotations: by place first, then by address, each annotation once."""
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    a = spark.createDataFrame([(1, 0, "u", [(0.0, 0.0, 10.0, 10.0)]), (1, 1, "v", []), (1, 2, "u", [])], f"page int, link_ord long, href string, boxes array<{box}>")
+    b = spark.createDataFrame([(1, 7, "u", (50.0, 0.0, 60.0, 10.0)), (1, 8, "x", (0.0, 0.0, 9.0, 10.0))], f"page int, annot_ord long, uri string, box {box}")
+    out = geometry.links_to_annotations(a, b, ["page"])
+    return out.select(F.col("link_ord").cast("int").alias("link_ord"), F.col("annot_ord").cast("string").alias("annotation"))
+
+
+@query()
+def raster_fields(spark, sf_dir):
+    """Blanks found on a drawn page: an underline beside a label, a check box left of one."""
+    import numpy as np
+
+    p = np.full((200, 300), 255, np.uint8)
+    p[60, 80:220] = 0
+    p[[104, 118], 50:65] = 0
+    p[104:119, [50, 64]] = 0
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    rows = [(1, 300, 200, bytearray(p.tobytes()), [], [(0, "text", (10.0, 44.0, 70.0, 60.0)), (1, "checkbox", (75.0, 103.0, 130.0, 120.0)), (2, "text", (10.0, 150.0, 60.0, 166.0))])]
+    pages = spark.createDataFrame(rows, f"page int, w int, h int, gray binary, words array<{box}>, controls array<struct<control_ord:int,type:string,label:{box}>>")
+    return raster.place_fields(pages, "page")
+
+
+@query(f"""
+    WITH w AS {_word_rows("doc_id", "documents")}, v AS (SELECT DISTINCT {NORM.format("text")} AS norm FROM {_word_rows("item_id", "benchmark")}),
+    m AS (SELECT doc_id, {NORM.format("text")} AS norm, n FROM w)
+    SELECT doc_id, count(*) FILTER (WHERE hit) AS matched, count(*) FILTER (WHERE NOT hit AND norm <> '') AS added_from_html, count(*) AS words, count(*) FILTER (WHERE NOT hit AND edge) AS furniture, count(*) FILTER (WHERE NOT hit AND NOT edge) AS lost, 0 AS unmapped
+    FROM (SELECT m.doc_id, m.norm, v.norm IS NOT NULL AND m.norm <> '' AS hit, m.n < 3 AS edge FROM m LEFT JOIN v USING (norm)) GROUP BY doc_id""")
+def page_counters(spark, sf_dir):
+    """Report counters of each document as one page: a word counts as matched if the benchmark has it; the first three are edge words."""
+    norm = text.normalize(F.col("text"))
+    distinct = _words(read_table(spark, sf_dir, "benchmark"), "item_id").select(norm.alias("norm")).distinct().where("norm <> ''").withColumn("matched", F.lit(True))
+    w = _words(read_table(spark, sf_dir, "documents"), "doc_id").withColumn("norm", norm).join(distinct, "norm", "left")
+    marked = w.select("doc_id", "text", "norm", F.coalesce("matched", F.lit(False)).alias("matched"), (F.col("n") < 3).alias("furniture"))
+    return words.page_report(marked, marked.toDF(*marked.columns), "doc_id").withColumn("unmapped", F.col("unmapped").cast("int"))
