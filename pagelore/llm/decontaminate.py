@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runs import texts
+from .runs import read, texts
 
 WORD = re.compile(r"[^\W_]+")
 WINDOW, STRIDE = 24, 12
@@ -242,4 +242,4 @@ def _block(docs: DataFrame, items: list[tuple[int, list[str]]], id_col: str, tex
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
-    return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return leaks(read(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

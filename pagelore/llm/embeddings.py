@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .runs import join_labels, pairs, split_runs, whole_runs
+from .runs import join_labels, pairs, read, split_runs, whole_runs
 from .store import written
 
 
@@ -111,4 +111,4 @@ SQL = """
 
 
 def op8_embedding_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return near_duplicates(read(spark, sf_dir, "embeddings"))

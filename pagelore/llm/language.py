@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runs import texts, with_columns
+from .runs import read, texts, with_columns
 
 DIMS, ORDERS, BLOCK = 8192, (2, 3), 1 << 20
 #: A text is rejected under this share of the lowest cosine that a sampled text of its language has.
@@ -153,6 +153,6 @@ def learned(docs: DataFrame, id_col: str = "doc_id") -> Model:
 
 
 def op6_language(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     out = identify(docs.withColumn("held_out", held_out()), learned(docs), keep=["doc_id", "held_out"])
     return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")

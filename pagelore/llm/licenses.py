@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .license_texts import TEMPLATES
-from .runs import texts
+from .runs import read, texts
 
 WORD = re.compile(r"[^\W_]+")
 SIZE, CONTAINED, BANDS = 5, 0.8, 24
@@ -186,4 +186,4 @@ def _spans(text: str) -> list[tuple[int, int]]:
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan(read(spark, sf_dir, "documents"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runs import texts, whole_runs
+from .runs import read, texts, whole_runs
 from .store import written
 
 WORD = re.compile(r"[^\W_]+")
@@ -277,6 +277,6 @@ SQL = rf"""
 
 def op9_lm_score(spark, sf_dir: str) -> DataFrame:
     """Scores rounded half up, so that the order of summing doesn't show."""
-    out = scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = scores(read(spark, sf_dir, "documents"))
     half_up = lambda c, k: (F.floor(F.col(c) * k + 0.5) / k).alias(c)
     return out.select("doc_id", "n_tokens", half_up("log10_score", 1e4), half_up("mean_score", 1e6))

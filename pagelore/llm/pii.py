@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runs import texts, with_columns
+from .runs import read, texts, with_columns
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "id")
@@ -259,5 +259,5 @@ def redact(docs: DataFrame, accept: np.ndarray, text_col: str = "text") -> DataF
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return find(docs, train(docs), keep=["doc_id"])

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runs import with_columns
+from .runs import read, with_columns
 from .store import written
 
 _SYMBOLS = re.compile(r"[^\w\s.,;:'\"?!()-]|_")
@@ -124,5 +124,5 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
     """A document's host is its source. Documents have no URL here; their language within the source stands for the path."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     return classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.col("source"), F.col("lang"))

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -14,6 +14,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .store import written
 
 
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table; one in fewer splits than there are cores (a small file is often one row group) is dealt over all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """The rows again, in tables that never cut a run of equal keys; a run that goes past its batch is carried over."""
     held: list[pa.RecordBatch] = []

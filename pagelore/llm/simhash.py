@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .runs import join_labels, pairs, split_runs, texts, whole_runs
+from .runs import join_labels, pairs, read, split_runs, texts, whole_runs
 from .store import written
 
 SEED = 42
@@ -148,5 +148,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
-    out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = near_duplicates(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
