@@ -28,6 +28,12 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def nfkd_all(words: pd.Series) -> pd.Series:
+    """Compatibility decomposition of each word of an array."""
+    return words.map(lambda ws: ws if ws is None else [w if w is None or w.isascii() else unicodedata.normalize("NFKD", w) for w in ws])
+
+
 def fold(c: Column) -> Column:
     """Typographic quotes and dashes as plain ones."""
     return F.translate(c, "".join(QUOTES), "".join(QUOTES.values()))
@@ -51,6 +57,17 @@ def normalize(c: Column, ascii_only: bool = False) -> Column:
     return F.regexp_replace(fold(F.lower(plain)), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
 
 
+def normalize_all(words: Column) -> Column:
+    """``normalize`` of each word of an array; the array stays where it is, so nothing is exploded or shuffled."""
+    return F.transform(nfkd_all(words), lambda w: F.regexp_replace(fold(F.lower(F.regexp_replace(w, r"\p{M}", ""))), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+
+
+def word_array(c: Column) -> Column:
+    """array<string>: the words of ``split_words`` without their spacing."""
+    apart = F.regexp_replace(F.regexp_replace(c, "\u00ad", ""), f"([{CJK}])", " $1 ")
+    return F.filter(F.split(apart, f"[{SPACE}]+"), lambda w: w != "")
+
+
 def split_words(c: Column) -> Column:
     """array<struct<text, space>>: words between white space, each CJK character by itself; space: white space follows. No soft hyphens."""
     parts = F.regexp_extract_all(F.regexp_replace(c, "\u00ad", ""), F.lit(f"(?:[{CJK}]|[^{SPACE}{CJK}]+)[{SPACE}]*"), F.lit(0))

@@ -44,7 +44,7 @@ def _word_rows(key: str, table: str) -> str:
 
 
 def _structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.page_structure(read_table(spark, sf_dir, "pages").select("page_id", "html"))
+    return structure.page_structure(read_table(spark, sf_dir, "pages", spread=True).select("page_id", "html"))
 
 
 def _count(tag: str) -> str:
@@ -69,7 +69,7 @@ def page_links(spark, sf_dir):
 
 @query("SELECT regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, count(*) AS pages FROM pages GROUP BY 1")
 def page_language(spark, sf_dir):
-    pages = read_table(spark, sf_dir, "pages")
+    pages = read_table(spark, sf_dir, "pages", spread=True)
     return pages.groupBy(F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang")).agg(F.count(F.lit(1)).alias("pages"))
 
 
@@ -91,7 +91,7 @@ def page_warnings(spark, sf_dir):
 @query()
 def page_reports(spark, sf_dir):
     """A nested report of each page's site: counters, elements by type, warnings."""
-    pages = read_table(spark, sf_dir, "pages").select(F.regexp_extract("url", "//([^/]+)", 1).alias("doc_id"), F.col("page_id").alias("page"), "html")
+    pages = read_table(spark, sf_dir, "pages", spread=True).select(F.regexp_extract("url", "//([^/]+)", 1).alias("doc_id"), F.col("page_id").alias("page"), "html")
     built = structure.page_structure(pages)
     counts = built.select("doc_id", "page", F.size("words").alias("words"), "images")
     nodes = structure.exploded(built, "nodes").groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("elements"))
@@ -105,22 +105,20 @@ def page_reports(spark, sf_dir):
 @query(f"SELECT doc_id, len(l) AS words, len(list_distinct([{NORM.format('x')} for x in l])) AS norms FROM (SELECT doc_id, {WORDS} AS l FROM documents)")
 def doc_tokens(spark, sf_dir):
     """Words and distinct normalised words of each document."""
-    listed = F.transform(text.split_words(F.col("text")), lambda w: w["text"])
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", listed.alias("l"))
-    each = docs.select("doc_id", F.size("l").cast("bigint").alias("words"), F.explode_outer(F.array_distinct("l")).alias("w"))
-    return each.groupBy("doc_id", "words").agg(F.countDistinct(text.normalize(F.col("w"))).alias("norms"))
+    docs = read_table(spark, sf_dir, "documents", spread=True).select("doc_id", text.word_array(F.col("text")).alias("l"))
+    return docs.select("doc_id", F.size("l").cast("bigint").alias("words"), F.size(F.array_distinct(text.normalize_all(F.array_distinct("l")))).cast("bigint").alias("norms"))
 
 
 @query(f"SELECT {NORM.format('text')} AS norm, count(*) AS n FROM {_word_rows('doc_id', 'documents')} GROUP BY 1")
 def doc_token_counts(spark, sf_dir):
     """How often each normalised word comes. Words are counted as they are first, so only distinct ones are normalised."""
-    w = _words(read_table(spark, sf_dir, "documents"), "doc_id").groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    w = _words(read_table(spark, sf_dir, "documents", spread=True), "doc_id").groupBy("text").agg(F.count(F.lit(1)).alias("n"))
     return w.groupBy(text.normalize(F.col("text")).alias("norm")).agg(F.sum("n").alias("n"))
 
 
 @query(f"SELECT doc_id, count(*) AS words, 'too_many_words' AS code FROM {_word_rows('doc_id', 'documents')} GROUP BY doc_id HAVING count(*) > 4000")
 def too_many_words(spark, sf_dir):
-    return words.too_many_words(_words(read_table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
+    return words.too_many_words(_words(read_table(spark, sf_dir, "documents", spread=True), "doc_id"), "doc_id")
 
 
 LAID = f"""
@@ -135,7 +133,7 @@ EDGE = "(row * (792e0 / 50) + 792e0 / 50 * 8e-1 <= 792e0 * 1e-1 OR row * (792e0
     FROM (SELECT *, {NORM.format("text")} AS norm FROM {LAID}) GROUP BY doc_id, page""")
 def furniture_words(spark, sf_dir):
     """Documents set in fixed type: words at the edges of pages, punctuation and page numbers."""
-    placed = words.laid_out(read_table(spark, sf_dir, "documents"), "text", "doc_id").withColumn("norm", text.normalize(F.col("text")))
+    placed = words.laid_out(read_table(spark, sf_dir, "documents", spread=True), "text", "doc_id").withColumn("norm", text.normalize(F.col("text")))
     at = (F.col("norm"), F.col("box"), F.lit(792.0), F.col("page"))
     return placed.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("words"), F.count_if(words.is_furniture(*at)).alias("furniture"), F.count_if(words.is_page_number(*at)).alias("page_numbers"))
 
@@ -148,7 +146,7 @@ def furniture_words(spark, sf_dir):
     WHERE NOT matched AND NOT furniture GROUP BY doc_id, run, after_block""")
 def lost_runs(spark, sf_dir):
     """Runs of short words between long ones, standing for unmatched and matched words."""
-    w = _words(read_table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("n", "word_ord")
+    w = _words(read_table(spark, sf_dir, "documents", spread=True), "doc_id").withColumnRenamed("n", "word_ord")
     marked = w.withColumns({"matched": F.length("text") > 3, "furniture": F.length("text") == 1, "block": F.floor(F.col("word_ord") / 10)})
     return words.lost_runs(marked, "doc_id")
 
@@ -161,7 +159,7 @@ CHANGED = r"regexp_replace(text, '\bof\b', 'off', 'g')"
     SELECT doc_id, count(*) AS missing FROM (SELECT doc_id, text FROM b EXCEPT ALL SELECT doc_id, text FROM a) GROUP BY doc_id""")
 def multiset_text_loss(spark, sf_dir):
     """Words that a changed copy of each document lacks."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
     copy = docs.withColumn("text", F.regexp_replace("text", r"(?<![\w])of(?![\w])", "off"))
     before, after = (_words(d, "doc_id").select("doc_id", F.col("text").alias("word")) for d in (docs, copy))
     none = docs.select("doc_id", F.lit("").alias("text"))
@@ -173,7 +171,7 @@ def multiset_text_loss(spark, sf_dir):
     FROM (SELECT doc_id, {WORDS} AS l FROM documents)""")
 def word_lists(spark, sf_dir):
     """How many words, and the first 50, cut to 12 characters."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = read_table(spark, sf_dir, "documents", spread=True)
     listed = text.word_list(F.filter(F.split("text", f"[{text.SPACE}]+"), lambda x: x != ""), 50, 12)
     return docs.select("doc_id", listed.alias("l")).select("doc_id", F.col("l.count").cast("bigint").alias("count"), F.array_join("l.words", " ").alias("words"))
 
@@ -185,7 +183,7 @@ ESCAPED = r"""replace(replace(replace(replace(regexp_replace(trim(regexp_replace
 def text_functions(spark, sf_dir):
     """Clean, plain and escaped text of each document, as digests."""
     out = text.escape_xml(text.plain(text.clean(F.col("text"))))
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.md5(out.cast("binary")).alias("escaped"), F.md5(text.fold(F.col("text")).cast("binary")).alias("folded"))
+    return read_table(spark, sf_dir, "documents", spread=True).select("doc_id", F.md5(out.cast("binary")).alias("escaped"), F.md5(text.fold(F.col("text")).cast("binary")).alias("folded"))
 
 
 # Benchmark words
@@ -237,16 +235,22 @@ def char_words(spark, sf_dir):
 @query()
 def benchmark_alignment(spark, sf_dir):
     """Items aligned with documents that share eight words in a row with them: matched words of each pair."""
-    w = lambda t, k: _words(read_table(spark, sf_dir, t), k).select(k, F.col("n").alias("word_ord"), "text", text.normalize(F.col("text")).alias("norm"))
-    items, docs = w("benchmark", "item_id"), w("documents", "doc_id")
-    from pyspark.sql import Window
+
+    def listed(df: DataFrame, *keys: str) -> DataFrame:
+        return df.select(*keys, text.word_array(F.col("text")).alias("text")).withColumn("norm", text.normalize_all(F.col("text")))
 
     def grams(df: DataFrame, k: str) -> DataFrame:
-        run = F.collect_list("norm").over(Window.partitionBy(k).orderBy("word_ord").rowsBetween(0, 7))
-        return df.withColumn("g", run).where("size(g) = 8").select(k, F.xxhash64("g").alias("g")).distinct().toDF(k, "g")
+        run = F.transform(F.sequence(F.lit(1), F.size("norm") - 7), lambda i: F.xxhash64(F.slice("norm", i, 8)))
+        return df.where("size(norm) >= 8").select(k, F.explode(F.array_distinct(run)).alias("g"))
+
+    def numbered(df: DataFrame) -> DataFrame:
+        each = F.posexplode(F.arrays_zip("text", "norm")).alias("word_ord", "w")
+        return df.select("item_id", "doc_id", each).select("item_id", "doc_id", "word_ord", "w.text", "w.norm")
 
-    pairs = grams(items, "item_id").join(grams(docs, "doc_id"), "g").select("item_id", "doc_id").distinct().toDF("item_id", "doc_id")
-    left, right = pairs.join(items, "item_id"), pairs.join(docs, "doc_id")
+    items, docs = read_table(spark, sf_dir, "benchmark").select("item_id", "text"), read_table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
+    shared = grams(listed(docs, "doc_id"), "doc_id").join(grams(listed(items, "item_id"), "item_id"), "g")
+    pairs = shared.select("item_id", "doc_id").distinct().toDF("item_id", "doc_id")
+    left, right = (numbered(listed(t.join(pairs, k), "item_id", "doc_id")) for t, k in ((items, "item_id"), (docs, "doc_id")))
     found = align.align_words(left, right, ["item_id", "doc_id"])
     return found.groupBy("item_id", "doc_id").agg(F.count_if(F.col("tok_ord") >= 0).alias("matched"), F.count(F.lit(1)).alias("words"), F.bool_and("complete").alias("complete"))
 
@@ -627,6 +631,6 @@ def page_counters(spark, sf_dir):
     """Report counters of each document as one page: a word counts as matched if the benchmark has it; the first three are edge words."""
     norm = text.normalize(F.col("text"))
     distinct = _words(read_table(spark, sf_dir, "benchmark"), "item_id").select(norm.alias("norm")).distinct().where("norm <> ''").withColumn("matched", F.lit(True))
-    w = _words(read_table(spark, sf_dir, "documents"), "doc_id").withColumn("norm", norm).join(distinct, "norm", "left")
+    w = _words(read_table(spark, sf_dir, "documents", spread=True), "doc_id").withColumn("norm", norm).join(distinct, "norm", "left")
     marked = w.select("doc_id", "text", "norm", F.coalesce("matched", F.lit(False)).alias("matched"), (F.col("n") < 3).alias("furniture"))
     return words.page_report(marked, marked.toDF(*marked.columns), "doc_id").withColumn("unmapped", F.col("unmapped").cast("int"))

@@ -9,8 +9,12 @@ MOST_PAGES = 25
 PAGES_SCHEMA = "lang string, title string, pages array<struct<sourcePage:double,html:string>>"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table. ``spread``: one that comes in fewer splits than there are cores (a small file is often one row group) is dealt over
+    all of them; a table of many splits is read as it lies."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def read_pages_json(spark: SparkSession, path: str) -> DataFrame:
