@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .structure import _FOLD
 
@@ -41,17 +42,32 @@ def similar(a: str, b: str) -> bool:
 
 
 class Scores:
-    """Score rows of distinct words of one side against the distinct words of the other."""
+    """Score rows of distinct words of one side against the distinct words of the other.
+
+    Edit distances are only computed for words that can be near: one edit changes a word's counts of characters by two at most.
+    """
 
     def __init__(self, page: list[str]):
         self.words = list(dict.fromkeys(page))
         place = {w: k for k, w in enumerate(self.words)}
         self.columns = np.array([place[w] for w in page], np.int64)
+        self.counts = np.array([self._counted(w) for w in self.words], np.int64).reshape(-1, 64)
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
         self.rows: dict[str, np.ndarray] = {}
 
+    @staticmethod
+    def _counted(word: str) -> np.ndarray:
+        return np.bincount(np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) % 64, minlength=64)
+
     def row(self, word: str) -> np.ndarray:
         if word not in self.rows:
-            self.rows[word] = np.array([EXACT if w == word else FUZZY if similar(word, w) else NONE for w in self.words], np.int64)
+            most = np.maximum(self.lengths, len(word)) // 4
+            near = (np.abs(self.lengths - len(word)) <= most) & (np.minimum(self.lengths, len(word)) >= 4)
+            near &= np.abs(self.counts - self._counted(word)).sum(axis=1) <= 2 * most
+            row = np.full(len(self.words), NONE, np.int64)
+            for k in np.flatnonzero(near).tolist():
+                row[k] = FUZZY if similar(word, self.words[k]) else NONE
+            self.rows[word] = row = np.where([w == word for w in self.words], EXACT, row)
         return self.rows[word]
 
 
@@ -153,6 +169,25 @@ def match_marks(left: list[str], right: list[str], match: list[int]) -> list[int
     return out
 
 
+def align_page(left: tuple[list[str], list[str]], right: tuple[list[str], list[str]], budget: int = BUDGET) -> tuple[list[int] | None, bool]:
+    """Matches of a page's words, from the (normalised, shown) words of both sides: alignment, run-together words, then marks.
+
+    None and false for a page of over 4,000 words on either side.
+    """
+    if max(len(left[0]), len(right[0])) > MOST_WORDS:
+        return None, False
+    found, complete = align(left[0], right[0], budget)
+    return match_marks(left[1], right[1], match_runs(left[0], right[0], found)), complete
+
+
+@F.pandas_udf(T.StructType([T.StructField("match", T.ArrayType(T.IntegerType())), T.StructField("complete", T.BooleanType())]))
+def align_arrays(left_norm: pd.Series, left_text: pd.Series, right_norm: pd.Series, right_text: pd.Series) -> pd.DataFrame:
+    """struct<match array<int>, complete>: ``align_page`` of the word arrays of a row."""
+    every = zip(left_norm, left_text, right_norm, right_text)
+    rows = [align_page((list(a), list(b)), (list(c), list(d))) for a, b, c, d in every]
+    return pd.DataFrame({"match": [m for m, _ in rows], "complete": [c for _, c in rows]})
+
+
 def align_words(left: DataFrame, right: DataFrame, keys: list[str], budget: int = BUDGET) -> DataFrame:
     """(keys, word_ord, tok_ord, complete): every word of ``left`` with its match in ``right`` (tok_ord, -1 without one).
 
@@ -163,15 +198,10 @@ def align_words(left: DataFrame, right: DataFrame, keys: list[str], budget: int
 
     def one(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("word_ord"), b.sort_values("word_ord")
-        if max(len(a), len(b)) > MOST_WORDS:
-            found, complete = [None] * len(a), False
-        else:
-            mine, theirs = a["norm"].fillna("").tolist(), b["norm"].fillna("").tolist()
-            found, complete = align(mine, theirs, budget)
-            found = match_runs(mine, theirs, found)
-            found = match_marks(a["text"].fillna("").tolist(), b["text"].fillna("").tolist(), found)
-            order = b["word_ord"].tolist()
-            found = [order[t] if t >= 0 else -1 for t in found]
+        side = lambda x: (x["norm"].fillna("").tolist(), x["text"].fillna("").tolist())
+        found, complete = align_page(side(a), side(b), budget)
+        order = b["word_ord"].tolist()
+        found = [None] * len(a) if found is None else [order[t] if t >= 0 else -1 for t in found]
         out = pd.DataFrame({"word_ord": a["word_ord"].to_numpy(), "tok_ord": pd.array(found, "Int64"), "complete": complete})
         for k, value in zip(keys, key):
             out.insert(0, k, value)

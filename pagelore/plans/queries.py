@@ -243,16 +243,14 @@ def benchmark_alignment(spark, sf_dir):
         run = F.transform(F.sequence(F.lit(1), F.size("norm") - 7), lambda i: F.xxhash64(F.slice("norm", i, 8)))
         return df.where("size(norm) >= 8").select(k, F.explode(F.array_distinct(run)).alias("g"))
 
-    def numbered(df: DataFrame) -> DataFrame:
-        each = F.posexplode(F.arrays_zip("text", "norm")).alias("word_ord", "w")
-        return df.select("item_id", "doc_id", each).select("item_id", "doc_id", "word_ord", "w.text", "w.norm")
-
     items, docs = read_table(spark, sf_dir, "benchmark").select("item_id", "text"), read_table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
-    shared = grams(listed(docs, "doc_id"), "doc_id").join(grams(listed(items, "item_id"), "item_id"), "g")
-    pairs = shared.select("item_id", "doc_id").distinct().toDF("item_id", "doc_id")
-    left, right = (numbered(listed(t.join(pairs, k), "item_id", "doc_id")) for t, k in ((items, "item_id"), (docs, "doc_id")))
-    found = align.align_words(left, right, ["item_id", "doc_id"])
-    return found.groupBy("item_id", "doc_id").agg(F.count_if(F.col("tok_ord") >= 0).alias("matched"), F.count(F.lit(1)).alias("words"), F.bool_and("complete").alias("complete"))
+    shared = grams(listed(docs, "doc_id"), "doc_id").join(grams(listed(items, "item_id"), "item_id"), "g").select("item_id", "doc_id").distinct()
+    both = shared.toDF("item_id", "doc_id").join(items.toDF("item_id", "text"), "item_id").join(docs.toDF("doc_id", "other"), "doc_id")
+    both = listed(both.withColumnRenamed("other", "__o"), "item_id", "doc_id", "__o").toDF("item_id", "doc_id", "__o", "item_text", "item_norm")
+    both = listed(both.withColumnRenamed("__o", "text"), "item_id", "doc_id", "item_text", "item_norm")
+    out = both.withColumn("a", align.align_arrays("item_norm", "item_text", "norm", "text"))
+    matched = F.size(F.filter("a.match", lambda x: x >= 0)).cast("bigint")
+    return out.select("item_id", "doc_id", matched.alias("matched"), F.size("item_norm").cast("bigint").alias("words"), F.col("a.complete").alias("complete"))
 
 
 # Conversations
