@@ -82,28 +82,22 @@ class Chunks(dict):
             self[part] = ids[a:b].tobytes()
 
     def ids(self, text: str | None) -> bytes:
-        return self.many([text])[0]
-
-    def many(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; parts that are new in any of them are learned in one call."""
+        if not text:
+            return b""
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-        split = [self._parts(t or "") for t in texts]
-        own = set().union(*(parts for parts, plain in split if plain))
-        if new := [p for p in own if p not in self and p not in self.old and len(p) <= 40]:
-            self.learn(new)
-        return [b"".join(map(self.__getitem__, parts)) for parts, _ in split]
-
-    @staticmethod
-    def _parts(text: str) -> tuple[list[str], bool]:
-        """The text's parts, and whether they are the tokenizer's own."""
         try:
             text.encode("latin-1")
             plain = "<|" not in text
         except UnicodeEncodeError:
             plain = False
-        return (_PARTS.findall(text.lower()), True) if plain else (text.replace("\n", " ").split(" "), False)
+        if not plain:
+            return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        parts = _PARTS.findall(text.lower())
+        if new := [p for p in set(parts) if p not in self and p not in self.old and len(p) <= 40]:
+            self.learn(new)
+        return b"".join(map(self.__getitem__, parts))
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, tokenizer: str | None = None, ids: bool = True) -> DataFrame:
@@ -118,8 +112,8 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             rows: list[list] = [[], [], [], [], [], []]
             held = 0
-            for doc, ids_of in zip(b.column(0), encoded(chunks, texts(b.column(1)))):
-                data = memoryview(ids_of + end)
+            for doc, text in zip(b.column(0), texts(b.column(1))):
+                data = memoryview(chunks.ids(text) + end)
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     held += 1
@@ -131,17 +125,6 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if held:
                 yield batch(rows)
 
-    def encoded(chunks: Chunks, each: Iterator[str | None]) -> Iterator[bytes]:
-        """Ids of the texts, taken some at a time."""
-        some, size = [], 0
-        for t in each:
-            some.append(t)
-            size += len(t or "")
-            if size > 200_000:
-                yield from chunks.many(some)
-                some, size = [], 0
-        yield from chunks.many(some)
-
     def batch(rows: list[list]) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
         return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds)][: 5 + ids], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + ids])
