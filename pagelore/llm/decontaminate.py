@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Features are the benchmark's words, weighted by IDF over all documents. A randomised SVD of the benchmark's TF-IDF passages,
-computed in two distributed passes, gives the latent space; overlapping windows of every document are folded in and compared by
-cosine with the benchmark's passages. A window is folded in only if its words' weights, each with the largest that any passage
-gives it, can add up to the cosine at all. Candidates are verified on the words themselves: longest common subsequence with
+computed in two distributed passes, gives the latent space. Passages are taken in groups, each with a space of as many directions
+as it has passages, so that a passage keeps its whole norm however many items there are. Overlapping windows of every document are
+folded in and compared by cosine with the benchmark's passages. A window is folded in only if its words' weights, each with the
+largest that any passage gives it, can add up to the cosine at all. Candidates are verified on the words themselves: longest common subsequence with
 the item, and for paraphrases the item's answer (its last words).
 
 The benchmark is taken in blocks of about ``block`` items, each of bounded size, so nothing that is sent to executors grows with
@@ -15,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -57,7 +59,7 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int], text_col:
 
 
 def latent_space(passages: DataFrame, size: int, rank: int, seed: int = 7) -> np.ndarray:
-    """Right singular vectors (size x rank or fewer) of the rows of (ids array<int>, weights array<float>), by a randomised range finder.
+    """Right singular vectors (size x rank or fewer) of the rows of (distinct ids array<int>, weights array<float>), by a randomised range finder.
 
     Pass 1 sums the Gram matrix of A Omega, pass 2 the projected rows; each task returns one matrix, added up by row.
     """
@@ -70,7 +72,10 @@ def latent_space(passages: DataFrame, size: int, rank: int, seed: int = 7) -> np
 
     def summed(part, height: int) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = sum((part(i, w) for b in batches for i, w in rows(b)), np.zeros((width, height)))
+            total = np.zeros((width, height))
+            for b in batches:
+                for i, w in rows(b):
+                    part(total, i, w)
             yield pa.RecordBatch.from_arrays([pa.array(range(width)), pa.array(list(total), pa.list_(pa.float64()))], names=["j", "x"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,19 +91,17 @@ def latent_space(passages: DataFrame, size: int, rank: int, seed: int = 7) -> np
             out[j] = x
         return out
 
-    def gram(i, w):
+    def gram(total, i, w):
         y = w @ omega[i]
-        return np.outer(y, y)
+        total += np.outer(y, y)
 
     values, vectors = np.linalg.eigh(summed(gram, width))
     good = values > values[-1] * 1e-10
     white = vectors[:, good] / np.sqrt(values[good])  # A omega white has orthonormal columns
 
-    def project(i, w):
-        out = np.zeros((width, size))
+    def project(total, i, w):
         q = (w @ omega[i]) @ white
-        out[: len(q), i] = np.outer(q, w)
-        return out
+        total[: len(q), i] += np.outer(q, w)
 
     u, s, vt = np.linalg.svd(summed(project, size), full_matrices=False)
     return vt[: min(rank, int((s > s[0] * 1e-9).sum()))].T
@@ -139,6 +142,8 @@ def verified(item: list[str], own: Counter, region: list[str]) -> tuple[float, f
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rank: int = 256, block: int = 1000) -> DataFrame:
     """(doc_id, item_id, similarity, lcs, answer): a row for each document and item whose text, or a close paraphrase, is in it.
 
+    ``rank`` passages at most share a latent space, which has a direction for each.
+
     A pair is returned if some window's latent cosine is COSINE or more and the longest common subsequence holds SURE of the
     item's words, or LIKELY of them with ANSWER of the answer's. Case, punctuation and spacing don't count. Items without words
     leak nowhere; null and empty texts hold nothing; repeated documents are each returned; a repeated item_id counts once.
@@ -153,6 +158,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return out
 
 
+@dataclass
+class Group:
+    """Passages with a latent space of their own: their words, the largest weight of each in a passage, what a word adds to the cosine with each passage, and each passage's item."""
+
+    words: np.ndarray
+    most: np.ndarray
+    cosines: np.ndarray
+    owner: np.ndarray
+
+
+def _group(spark, passages: list[tuple[int, list[int]]], idf: np.ndarray) -> Group:
+    """The latent space has a direction for each passage, so none of a passage's norm is lost in it."""
+    words = np.unique(np.concatenate([p for _, p in passages]))
+    idf, ids, weights, most = idf[words], [], [], np.zeros(len(words))
+    for _, p in passages:
+        distinct, n = np.unique(np.searchsorted(words, p), return_counts=True)
+        w = n * idf[distinct]
+        ids.append(distinct)
+        weights.append(w / np.linalg.norm(w))
+        most[distinct] = np.maximum(most[distinct], weights[-1])
+    table = spark.createDataFrame([(i.tolist(), w.tolist()) for i, w in zip(ids, weights)], "ids array<int>, weights array<double>")
+    space = latent_space(table, len(words), min(len(passages), len(words)))
+    targets = np.array([w @ space[i] for i, w in zip(ids, weights)])
+    targets /= np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-12)
+    return Group(words, most, ((space * idf[:, None]) @ targets.T).astype(np.float32), np.array([k for k, _ in passages]))
+
+
 def _block(docs: DataFrame, items: list[tuple[int, list[str]]], id_col: str, text_col: str, rank: int) -> DataFrame:
     schema = "doc_id long, item_id long, similarity double, lcs double, answer double"
     spark = docs.sparkSession
@@ -162,19 +194,11 @@ def _block(docs: DataFrame, items: list[tuple[int, list[str]]], id_col: str, tex
     df, n = document_frequencies(docs, vocabulary, text_col)
     idf = np.minimum(np.log((1 + n) / (1 + df)) + 0.1, MOST)  # so that rare words around a leak don't drown an item of frequent words
     rare = float(np.median(idf))  # of a word outside the benchmark
-    passages = [(k, ws[at : at + WINDOW]) for k, (_, ws) in enumerate(items) for at in range(0, max(1, len(ws) - STRIDE), STRIDE)]
-    ids = [np.array([vocabulary[w] for w in p]) for _, p in passages]
-    weights = [idf[i] / np.sqrt((idf[i] ** 2).sum()) for i in ids]
-    table = spark.createDataFrame([(i.tolist(), w.tolist()) for i, w in zip(ids, weights)], "ids array<int>, weights array<double>")
-    space = latent_space(table, len(vocabulary), min(rank, len(passages), len(vocabulary)))
-    fold = np.vstack((space * idf[:, None], np.zeros((1, space.shape[1])))).astype(np.float32)  # a word's weighted latent vector
-    targets = np.array([w @ space[i] for i, w in zip(ids, weights)])
-    targets = (targets / np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-    owner = np.array([k for k, _ in passages])
+    passages = [(k, [vocabulary[w] for w in ws[at : at + WINDOW]]) for k, (_, ws) in enumerate(items) for at in range(0, max(1, len(ws) - STRIDE), STRIDE)]
+    groups = [_group(spark, passages[at : at + rank], idf) for at in range(0, len(passages), rank)]
     most = np.zeros(len(vocabulary))  # the largest weight that any passage gives a word
-    for i, w in zip(ids, weights):
-        distinct, at = np.unique(i, return_inverse=True)
-        most[distinct] = np.maximum(most[distinct], np.bincount(at, w))
+    for g in groups:
+        most[g.words] = np.maximum(most[g.words], g.most)
     mass, bound = np.append(idf**2, rare**2), np.append(idf * most, 0)
     unknown, counts = len(vocabulary), [Counter(ws) for _, ws in items]
 
@@ -191,12 +215,27 @@ def _block(docs: DataFrame, items: list[tuple[int, list[str]]], id_col: str, tex
         """(window, item, cosine) of the windows that are near a passage of the item; ``at`` has the words of all, end to end."""
         size = ends - starts
         begin = np.cumsum(size) - size
-        vectors = np.zeros((len(size), fold.shape[1]), np.float32)
-        for k in range(WINDOW):
-            vectors += fold[np.where(k < size, at[np.minimum(begin + k, len(at) - 1)], unknown)]
-        cos = (vectors @ targets.T) / norm[:, None].astype(np.float32)
-        for w, p in zip(*(x.tolist() for x in np.nonzero(cos >= COSINE))):
-            yield w, int(owner[p]), float(cos[w, p])
+        of = np.repeat(np.arange(len(size)), size)
+        local = np.empty(len(vocabulary) + 1, np.int64)
+        for g in groups:
+            local.fill(-1)
+            local[g.words] = np.arange(len(g.words))
+            rows = local[at]
+            known = rows >= 0
+            weight = np.where(known, np.append(idf[g.words] * g.most, 0)[rows], 0)
+            able = np.add.reduceat(weight, begin) >= COSINE * norm * (1 - 1e-6)
+            known &= able[of]
+            rows, window = rows[known], of[known]
+            n = np.bincount(window, minlength=len(size))
+            chosen = np.argsort(-n, kind="stable")[: int((n > 0).sum())]  # the windows with most words first
+            first = (np.cumsum(n) - n)[chosen]
+            cos = np.zeros((len(chosen), g.cosines.shape[1]), np.float32)
+            for k in range(int(n.max(initial=0))):
+                m = int(np.searchsorted(-n[chosen], -k, "left"))  # those with more than k words
+                cos[:m] += g.cosines[rows[first[:m] + k]]
+            cos /= norm[chosen, None].astype(np.float32)
+            for w, p in zip(*(x.tolist() for x in np.nonzero(cos >= COSINE))):
+                yield int(chosen[w]), int(g.owner[p]), float(cos[w, p])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, list[str], np.ndarray, tuple]] = []

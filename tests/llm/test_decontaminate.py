@@ -57,3 +57,14 @@ def test_edges(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "some words of an item")], "item_id long, text string")
     assert D.leaks(docs, none).count() == 0 and D.leaks(empty, some).count() == 0
+
+
+def test_a_full_block_of_items_keeps_verbatim_recall(spark):
+    """Far more passages than one latent space has directions, in a large vocabulary."""
+    r = random.Random(8)
+    words = [f"{a}{i}" for a in ("ka", "lo", "mi", "nu") for i in range(4000)]
+    some = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(i, some(r.randint(15, 59))) for i in range(1000)]
+    cases = [(i, f"{some(r.randint(20, 90))} {t} {some(r.randint(20, 90))}") for i, t in items[:300]]
+    got = D.leaks(spark.createDataFrame(cases, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x.doc_id, x.item_id) for x in got.collect()} == {(i, i) for i, _ in cases}
