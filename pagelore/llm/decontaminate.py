@@ -28,7 +28,7 @@ from .runs import read, texts
 
 WORD = re.compile(r"[^\W_]+")
 WINDOW, STRIDE = 24, 12
-COSINE, SURE, LIKELY, ANSWER = 0.45, 0.8, 0.5, 0.5
+COSINE, SURE, LIKELY, ANSWER = 0.3, 0.8, 0.5, 0.5
 #: A word's largest IDF weight.
 MOST = 4.0
 

@@ -68,3 +68,20 @@ def test_a_full_block_of_items_keeps_verbatim_recall(spark):
     cases = [(i, f"{some(r.randint(20, 90))} {t} {some(r.randint(20, 90))}") for i, t in items[:300]]
     got = D.leaks(spark.createDataFrame(cases, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(x.doc_id, x.item_id) for x in got.collect()} == {(i, i) for i, _ in cases}
+
+
+def test_paraphrases_that_the_word_checks_accept_are_looked_at(spark):
+    r = random.Random(3)
+    words = [f"{a}{i}" for a in ("ka", "lo", "mi", "nu") for i in range(1000)]
+    some = lambda n: [r.choice(words) for _ in range(n)]
+    items = [(i, some(r.randint(30, 59))) for i in range(200)]
+    cases, wanted = [], set()
+    for i, item in items:
+        body = [r.choice(words) if r.random() < 0.4 else w for w in item]
+        lcs, answer = D.verified(item, Counter(item), body)
+        if lcs >= D.SURE or lcs >= D.LIKELY and answer >= D.ANSWER:
+            wanted.add((i, i))
+        cases.append((i, " ".join(some(r.randint(20, 90)) + body + some(r.randint(20, 90)))))
+    table = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in D.leaks(spark.createDataFrame(cases, "doc_id long, text string"), table).collect()}
+    assert len(wanted) > 100 and wanted <= got
