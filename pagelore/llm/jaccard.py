@@ -1,8 +1,9 @@
 """Near-duplicate texts by the Jaccard similarity of their word shingles.
 
-Texts with one set of shingles are one node. ``BANDS`` MinHash bands of ``ROWS`` values each make candidates: at a similarity of
-0.8 a pair shares no band with probability 3e-6. Of buckets with the same members one is kept; in it, the exact similarity
-decides. Each bucket gives a spanning forest of its links, and one of over ``block`` sets is compared in pairs of blocks.
+Texts with one set of shingles are one node. Candidates are the components of SimHash fingerprints (``fingerprints.links``) and,
+for pairs with more differing bits, ``BANDS`` MinHash bands of ``ROWS`` values each: at a similarity of 0.8 a pair shares no band
+with probability 3e-6. Of buckets with the same members one is kept; in it, the exact similarity decides. Each bucket gives a
+spanning forest of its links, and one of over ``block`` sets is compared in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .fingerprints import fingerprint, links, shingle_hashes
 from .graph import components
-from .runs import join_labels, split_runs, whole_runs, with_columns
-from .simhash import shingle_hashes
+from .runs import join_labels, split_runs, spread_join, whole_runs, with_columns
 from .store import written
 
 BANDS, ROWS = 24, 4
@@ -34,24 +35,34 @@ def bands(x: np.ndarray, odd: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least)], np.uint64).view(np.int64)
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", size: int = 5, share: float = 0.8, block: int = 512) -> DataFrame:
-    """``docs`` with __set, which equal sets of shingles share, and __group: the smallest __set reachable over pairs with a Jaccard similarity of ``share`` or more.
+def near_duplicates(docs: DataFrame, text_col: str = "text", size: int = 5, share: float = 0.8, block: int = 512, fingerprint_size: int = 4, distance: int = 4, groups: int = 7) -> DataFrame:
+    """``docs`` with fp, the SimHash fingerprint, __set, which equal sets of shingles share, and __group: the smallest __set reachable over pairs with a Jaccard similarity of ``share`` or more.
 
-    Texts without words are one set that links with nothing else.
+    Columns of those names are replaced. Texts without words, null ones too, are one set that links with nothing else. Repeated rows
+    stay; ids play no part; an empty table gives no rows.
     """
 
     def make():
         odd = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
         def compute(texts: Iterator[str | None]) -> list[pa.Array]:
-            sets = [shingles(t, size) for t in texts]
+            sets, fps = [], []
+            for t in texts:
+                sets.append(shingles(t, size))
+                fps.append(fingerprint(shingle_hashes(t or "", fingerprint_size)))
             names = [xxhash.xxh64_intdigest(x.tobytes()) if len(x) else 0 for x in sets]
-            return [pa.array(np.array(names, np.uint64).view(np.int64)), pa.array([bands(x, odd) if len(x) else [] for x in sets], pa.list_(pa.int64()))]
+            return [pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array([bands(x, odd) if len(x) else [] for x in sets], pa.list_(pa.int64()))]
 
         return compute
 
-    marked = written(with_columns(docs, text_col, make, "__set long, __bands array<long>"))
-    dealt = written(marked.select(F.col("__set").alias("node"), "__bands").dropDuplicates(["node"]).select("node", F.explode("__bands").alias("bucket")))
+    marked = written(with_columns(docs, text_col, make, "__set long, fp long, __bands array<long>"))
+    nodes = written(marked.where("size(__bands) > 0").select(F.col("__set").alias("node"), "fp", "__bands").dropDuplicates(["node"]))
+    # of the sets with one fingerprint the least stands for all
+    reps = written(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
+    near = components(links(reps, distance, groups))
+    near = reps.join(near, reps.rep == near.node, "left").select("fp", F.coalesce("root", "rep").alias("bucket"))
+    same = nodes.join(near, "fp").select("node", F.xxhash64("bucket", F.lit("simhash")).alias("bucket"))
+    dealt = written(nodes.select("node", F.explode("__bands").alias("bucket")).union(same))
     members = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("of")).where("n > 1")
     rows = written(dealt.join(members.groupBy("n", "of").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket"))
 
@@ -84,6 +95,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", size: int = 5, shar
     texts = marked.join(rows.select(F.col("node").alias("__set")).distinct(), "__set", "left_semi").dropDuplicates(["__set"])
     held = texts.select(F.col("__set").alias("node"), F.col(text_col).cast("string")).mapInArrow(sets, "node long, x binary")
     runs = split_runs(rows, "bucket", "node", block).select("run", "side", "node").join(held, "node")
-    links = runs.select("run", "side", "node", "x").repartition("run").sortWithinPartitions("run").mapInArrow(verify, "a long, b long")
-    found = components(links).select(F.col("node").alias("__set"), F.col("root").alias("__root"))
-    return marked.drop("__bands").join(found, "__set", "left").withColumn("__group", F.coalesce("__root", "__set")).drop("__root")
+    linked = runs.select("run", "side", "node", "x").repartition("run").sortWithinPartitions("run").mapInArrow(verify, "a long, b long")
+    found = components(linked).select(F.col("node").alias("__set"), F.col("root").alias("__root"))
+    sizes = marked.groupBy("__set").agg(F.count(F.lit(1)).alias("n"))
+    of = written(sizes.join(found, "__set", "left").select("__set", F.coalesce("__root", "__set").alias("__group"), "n"))
+    return spread_join(marked.drop("__bands"), of, "__set")

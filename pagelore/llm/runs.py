@@ -15,7 +15,7 @@ from .store import written
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table; one in fewer splits than there are cores (a small file is often one row group) is dealt over all of them."""
+    """A table; one in fewer splits than there are cores (a small file is often one row group) is dealt over all of them. Its rows are the same either way."""
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
@@ -76,6 +76,24 @@ def split_runs(rows: DataFrame, key: str, by: str, block: int) -> DataFrame:
     return dealt.withColumns({"run": run, "side": side}).drop("__parts", "__own", "__other")
 
 
+def spread_join(rows: DataFrame, of: DataFrame, key: str, how: str = "inner", block: int = 256, hot_keys: int = 4096) -> DataFrame:
+    """``rows`` joined to ``of`` by ``key``, without its column ``n``: how many rows (about) have each key; keys are unique there.
+
+    A key with more rows than ``block``, or than a ``hot_keys``-th of all, is dealt over tasks, its row of ``of`` to each. There
+    are fewer such keys than ``hot_keys``, so their list is broadcast whatever the size of the tables. Rows are dealt by their place in
+    ``rows``, so that has to be a table (or narrow steps on one): a task that is run again deals them the same way.
+    """
+    total = of.agg(F.sum("n")).first()[0] or 0
+    block = max(block, total // hot_keys)
+    hot = of.where(F.col("n") > block).select(F.col(key).alias("__key"), F.ceil(F.col("n") / block).cast("int").alias("__parts"))
+    if hot.isEmpty():
+        return rows.join(of.drop("n"), key, how)
+    hot, parts = F.broadcast(written(hot)), F.coalesce("__parts", F.lit(1))
+    left = rows.withColumn("__row", F.monotonically_increasing_id()).join(hot, F.col(key).eqNullSafe(F.col("__key")), "left").withColumn("__part", F.pmod(F.xxhash64("__row", F.lit("part")), parts).cast("int")).drop("__key", "__parts", "__row")
+    right = of.drop("n").join(hot, F.col(key).eqNullSafe(F.col("__key")), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__key", "__parts")
+    return left.join(right, [key, "__part"], how).drop("__part")
+
+
 def join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Union of linked indices: each index's label is the smallest index of its set. ``label`` holds such labels already."""
     while True:

@@ -1,152 +1,51 @@
-"""SimHash near-duplicates: fingerprints of word shingles, linked through a grid of per-segment bit counts.
+"""SimHash near-duplicates: the operator over ``fingerprints`` (segment popcounts, grid range join, exact distances).
 
-Method. A 64-bit fingerprint is mapped to the bit counts (0, 1, 2) of its 32 two-bit segments. The Manhattan distance of two
-such vectors is a lower bound of the fingerprints' Hamming distance. The 32 dimensions are dealt into ``groups`` groups; of two
-vectors within distance d, some group is within d // groups (pigeonhole). So a grid range join finds every pair: each
-fingerprint goes to its own cell of each group and to the neighbouring cells in one half of the neighbourhood, and pairs that
-share a cell are verified by exact Hamming distance. Cells are processed where they lie, after one exchange by cell; of each
-cell only a spanning forest of its links leaves the task, so a large group of near copies doesn't give all its pairs.
+By itself the operator links texts whose five-word shingles have a Jaccard similarity of 0.8 or more. Texts within ``distance``
+bits come from the grid. A pair at a similarity of 0.8 differs in 10 of 64 bits on average and in 17 at times, which no grid over
+64 bits reaches without comparing a text with a fixed share of all others; candidates beyond ``distance`` bits come from MinHash
+bands (``jaccard``). With ``share=None`` the distance alone links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
+from .fingerprints import fingerprints, links
 from .graph import components
-from .runs import join_labels, pairs, read, split_runs, texts, whole_runs
+from .runs import read, spread_join
 from .store import written
 
-SEED = 42
-
-
-def _spread() -> np.ndarray:
-    """For each byte value, its bits in eight byte lanes."""
-    bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
-    return np.ascontiguousarray(bits).view(np.uint64).ravel()
-
-
-_SPREAD = _spread()
-
-
-def shingle_hashes(text: str, size: int = 4) -> np.ndarray:
-    """XXH64 of each shingle of ``size`` words (ASCII letters lower-cased, ASCII white space parts words), repeats included."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined, h = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= size:
-        return np.array([h(joined, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = [0, *(ends[: -size] + 1).tolist()]
-    return np.array([h(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist())], np.uint64)
-
-
-def fingerprint(hashes: np.ndarray) -> int:
-    """The bits set in over half of the hashes, as an unsigned number; 0 without hashes."""
-    n = len(hashes)
-    if not n:
-        return 0
-    lanes = np.add.reduceat(_SPREAD[hashes.view(np.uint8).reshape(n, 8)], np.arange(0, n, 255), axis=0)
-    counts = lanes.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
-    """(doc_id, fp long) of every row; a null text counts as empty and has fingerprint 0. Repeated rows stay."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.fromiter((fingerprint(shingle_hashes(t, size)) if t else 0 for t in texts(b.column(1))), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
-
 
-def _offsets(dims: range, radius: int) -> list[list[tuple[int, int]]]:
-    """Non-zero offsets within the radius whose first change is upwards: of each offset and its opposite, one."""
-    out: list[list[tuple[int, int]]] = []
-
-    def more(at: int, left: int, sofar: list[tuple[int, int]]) -> None:
-        for d in range(at, dims.stop):
-            for step in (1, 2, -1, -2) if sofar else (1, 2):
-                if abs(step) <= left:
-                    out.append([*sofar, (d, step)])
-                    more(d + 1, left - abs(step), out[-1])
-
-    more(dims.start, radius, [])
-    return out
-
-
-def cells(fp: np.ndarray, distance: int, groups: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """(cell, index, is it the own cell) for blocks of fingerprints; cells of different groups have different numbers."""
-    half = fp - ((fp >> np.uint64(1)) & np.uint64(0x5555555555555555))  # 32 fields of two bits, each 0 to 2
-    bounds = [32 * g // groups for g in range(groups + 1)]
-    every = np.arange(len(fp))
-    for g in range(groups):
-        lo, hi = bounds[g], bounds[g + 1]
-        mask = np.uint64(((1 << 2 * (hi - lo)) - 1) << 2 * lo)
-        own = half & mask
-        name = np.uint64(0x9E3779B97F4A7C15 * (g + 1) & 0xFFFFFFFFFFFFFFFF)
-        yield own + name, every, True
-        count = {d: (half >> np.uint64(2 * d)) & np.uint64(3) for d in range(lo, hi)}
-        for offset in _offsets(range(lo, hi), distance // groups):
-            ok = np.ones(len(fp), bool)
-            shift = 0
-            for d, step in offset:
-                to = count[d].astype(np.int64) + step
-                ok &= (to >= 0) & (to <= 2)
-                shift += step << 2 * d
-            at = np.flatnonzero(ok)
-            yield own[at] + np.uint64(shift & 0xFFFFFFFFFFFFFFFF) + name, at, False
-
-
-def links(reps: DataFrame, distance: int = 4, groups: int = 3, block: int = 1 << 17) -> DataFrame:
-    """(fp, rep) with distinct fingerprints to (a, b): links between reps that connect whatever is within ``distance`` bits.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, distance: int = 4, groups: int = 7, share: float | None = 0.8, words: int = 5) -> DataFrame:
+    """(doc_id, fp, component_id) of every row of ``docs``.
 
-    A cell with more than ``block`` fingerprints is compared in pairs of blocks, each a run of its own.
+    fp: the fingerprint of ``size``-word shingles. component_id: the smallest id reachable over links, the row's own included. Texts
+    link at a Jaccard similarity of ``share`` or more of their ``words``-word shingles; with ``share=None``, at fingerprints within
+    ``distance`` bits. Null and empty texts link with each other (they have fingerprint 0, and without ``share`` link like any
+    other); rows with a null id get a component, but never name one (null if no row of the component has an id). Repeated rows stay;
+    other columns are ignored; an empty table gives none.
     """
+    if share is None:
+        marked, root = written(fingerprints(docs, id_col, text_col, size)), "fp"
+    else:
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        marked, root = written(jaccard.near_duplicates(rows, size=words, share=share, fingerprint_size=size, distance=distance, groups=groups).select("doc_id", "fp", "__group")), "__group"
+    reps = written(marked.groupBy(root).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    if share is None:
+        found = components(links(reps, distance, groups))
+        of = written(reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"), "n"))
+    else:
+        of = reps.withColumnRenamed("rep", "component_id")
+    return spread_join(marked, of, root).select("doc_id", "fp", "component_id")
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp, rep = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for cell, at, own in cells(fp.astype(np.int64).view(np.uint64), distance, groups):
-                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(np.full(len(at), own)), pa.array(fp[at]), pa.array(rep[at])], names=["cell", "own", "fp", "rep"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_runs(batches, "run"):
-            run, own, fp, rep, side = (t.column(k).to_numpy() for k in ("run", "own", "fp", "rep", "side"))
-            fp, label = fp.view(np.uint64), np.arange(len(fp))
-            for i, j in pairs(run, own, 1 << 21):
-                near = (np.bitwise_count(fp[i] ^ fp[j]) <= distance) & ((side[i] == 0) | (side[i] != side[j]))
-                label = join_labels(label, i[near], j[near])
-            at = np.flatnonzero(label != np.arange(len(label)))
-            yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(rep[label[at]])], names=["a", "b"])
-
-    dealt = reps.select("fp", "rep").where("rep is not null").mapInArrow(deal, "cell long, own boolean, fp long, rep long")
-    runs = split_runs(dealt, "cell", "fp", block).drop("cell")
-    return runs.repartition("run").sortWithinPartitions("run", F.desc("own")).mapInArrow(verify, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, distance: int = 4, groups: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of ``docs``.
-
-    component_id is the smallest id reachable over links between fingerprints within ``distance`` bits, the row's own included.
-    Null and empty texts have fingerprint 0 and link like any other; rows with a null id get a component, but never name one
-    (null if no row of the component has an id). Repeated rows stay; other columns are ignored; an empty table gives none.
-    """
-    marked = written(fingerprints(docs, id_col, text_col, size))
-    reps = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = components(links(reps, distance, groups))
-    of = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return marked.join(of, "fp").select("doc_id", "fp", "component_id")
+def grouped(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The same links by whole rows, for tables whose ids are null or shared: ``docs`` with fp, __set (one for equal texts) and __group (one for linked ones)."""
+    return jaccard.near_duplicates(docs, text_col)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
-    out = near_duplicates(read(spark, sf_dir, "documents"))
+    out = near_duplicates(read(spark, sf_dir, "documents"), share=None)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
