@@ -1,25 +1,25 @@
-"""Stupid-backoff scores from n-gram count tables that are partitioned by hash.
-
-The model is a bigram model with a closed vocabulary, trained on the corpus that it scores; a document's own bigrams are left out
-of the counts that it is scored with. S(w | v) = (c(vw) - own) / c(v) if that is positive, else 0.4 c(w) / N.
-
-1. Words are counted over all texts. Those with at least one occurrence in every 2^21 bytes of the corpus are the vocabulary (at
-   most 2^20 words, whatever the corpus); all others are one class, <unk>.
-2. Texts are exploded to bigrams. Batches of documents write, for each hash partition, their distinct bigrams with documents and counts.
-   Bigrams of two very frequent words (one in 512 tokens, so at most 512 words) are known to fit in memory: their counts are
-   summed apart, so the documents of such a bigram don't meet in one task.
-3. Rows of a partition meet once: counts are summed, joined to the partition's documents and turned into scores.
-4. A batch's scores come back together and are summed for each document, so that no step makes more rows than there are documents,
-   or pairs of a batch and a partition.
+r"""Stupid-backoff scores from n-gram count tables that are partitioned by hash.
+
+The model is a trigram model trained on the corpus that it scores; a document's own n-grams are left out of every count that it is
+scored with. With c' for such counts: S(w | u v) = c'(uvw) / c'(uv) if c'(uvw) > 0, else 0.4 c'(vw) / c'(v) if c'(vw) > 0, else
+0.16 max(c'(w), 1/2) / N'. Every word counts, however rare; two start marks stand before each text.
+
+1. Texts become batches of documents: each batch's distinct words by hash, and its tokens as places among them.
+2. A batch is exploded to its distinct n-grams (1, 2 and 3 words, as one 64-bit key each) with counts, pre-aggregated in the batch.
+   They go to the partition of their key: the count tables. A key occurs there at most once for each batch, however frequent it is.
+3. In each partition, keys are joined to their totals, and each batch gets its keys' totals back.
+4. Totals are joined to the batch's n-grams, a document's own counts subtracted, and scores summed for each document.
+
+A partition of the count tables holds about ``KEYS`` keys at any size of the corpus: there are as many as the tokens need, each is
+worked on by itself, and Spark deals them over tasks. A row is what a batch and a partition share, so there are never more rows
+than n-grams. Two n-grams of one key, out of 2^64, would be counted together: among 10^9 distinct ones 0.03 such pairs are expected.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,231 +31,197 @@ from .runs import read, texts, whole_runs
 from .store import written
 
 WORD = re.compile(r"[^\W_]+")
-BACKOFF, BYTES_A_WORD, FREQUENT = 0.4, 1 << 21, 512
-UNK, START = 0, 1
-FLUSH = 400_000  # tokens that a task holds before it writes them
-
-
-@dataclass
-class Words:
-    """Words by hash, sorted; word k has id k + 2. counts has <unk> and the start of a text first."""
-
-    hashes: np.ndarray
-    counts: np.ndarray
-    tokens: int
-
-    @property
-    def size(self) -> int:
-        return len(self.counts)
-
-    def frequent(self) -> np.ndarray:
-        return self.counts * FREQUENT >= self.tokens
+BACKOFF = 0.4
+#: Tokens of a batch, and keys of a partition of the count tables, about.
+BATCH, KEYS = 1_000_000, 1 << 20
+_START = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Ids(dict):
-    def __init__(self, words: Words):
-        super().__init__()
-        self.known = {h: k + 2 for k, h in enumerate(words.hashes.tolist())}
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = k = self.known.get(_hash(word), UNK)
-        return k
 
+def _small(x: np.ndarray) -> bytes:
+    """Numbers (not negative) in the fewest bytes each that hold them all."""
+    most = int(x.max(initial=0))
+    return x.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
 
-def _hash(word: str) -> int:
-    h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >> 63 else h
-
-
-def count_words(docs: DataFrame) -> Words:
-    """The vocabulary with its counts, from all rows of (doc_id, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array([_hash(w) for w in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["h", "n"])
-            seen.clear()
-            return made
-
-        n = 0
-        for b in batches:
-            for t in texts(b.column(0)):
-                n += 1
-                if t:
-                    seen.update(WORD.findall(t.lower()))
-                    if len(seen) > 250_000:
-                        yield out()
-        if seen:
-            yield out()
 
-    size, documents = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    table = written(docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
-    tokens = table.agg(F.sum("n")).first()[0] or 0
-    least = max(2, (size or 0) // BYTES_A_WORD)
-    rows = table.where(F.col("n") >= least).orderBy("h").collect()  # size / least words at most, each of one byte or more
-    hashes, counts = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-    return Words(hashes, np.concatenate(([tokens - counts.sum(), documents], counts)), tokens)
+def _large(data: pa.Scalar, n: int) -> np.ndarray:
+    data = data.as_buffer()
+    return np.frombuffer(data, f"<u{len(data) // n}" if n else "<u1").astype(np.int64)
 
 
-def _mix(keys: np.ndarray) -> np.ndarray:
-    h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ h >> np.uint64(32)
+def packed_counts(x: np.ndarray) -> bytes:
+    """A byte for each count; from 255 on, eight more at the end."""
+    return np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype("<i8").tobytes()
 
 
-def _score(keys: np.ndarray, own: np.ndarray, total: np.ndarray, words: Words) -> np.ndarray:
-    """own times log10 S of each bigram in a document."""
-    before, word = keys // words.size, keys % words.size
-    others = total - own
-    seen = others / np.maximum(words.counts[before], 1)
-    backoff = BACKOFF * np.maximum(words.counts[word], 0.5) / max(1, words.tokens)
-    return own * np.log10(np.where(others > 0, seen, backoff))
+def unpacked_counts(data: pa.Scalar, n: int) -> np.ndarray:
+    data = data.as_buffer()
+    x = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    x[x == 255] = np.frombuffer(data, "<i8", -1, n) if len(data) > n else 255
+    return x
 
 
-def _packed(x: np.ndarray | None) -> bytes | None:
-    """Counts or places (not negative) in the fewest bytes each that hold them all."""
-    if x is None:
-        return None
-    most = int(x.max(initial=0))
-    return x.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<i8").tobytes()
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys: the first, then steps in as few bytes as the largest needs."""
+    steps = np.diff(keys)
+    width = max(1, (int(steps.max(initial=np.uint64(0))).bit_length() + 7) // 8)
+    return keys[:1].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _unpacked(data: pa.Scalar, n: int) -> np.ndarray:
-    """n numbers."""
+def unpacked_keys(data: pa.Scalar, n: int) -> np.ndarray:
     data = data.as_buffer()
-    return np.frombuffer(data, {1: "<u1", 2: "<u2", 8: "<i8"}[len(data) // n] if n else "<u1").astype(np.int64)
+    steps = np.zeros((n, 8), np.uint8)
+    steps[0] = np.frombuffer(data, np.uint8, 8)
+    if n > 1:
+        width = (len(data) - 8) // (n - 1)
+        steps[1:, :width] = np.frombuffer(data, np.uint8, -1, 8).reshape(-1, width)
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
 
 
-def postings(docs: DataFrame, words: Words, parts: int) -> DataFrame:
-    """Per batch and partition: distinct bigrams (keys, documents of each) and their (place of the document in the batch, n).
-    Partition -1: frequent bigrams by document, with all documents' ids and lengths; -2: the counts of those bigrams."""
+def batches_of(docs: DataFrame) -> DataFrame:
+    """(batch, doc_ids, lengths, n, words, tokens): documents in batches of about ``BATCH`` tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, often = Ids(words), words.frequent()
-        held: list[tuple[int | None, int, np.ndarray, np.ndarray]] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            doc = np.repeat(np.arange(len(held)), [len(k) for _, _, k, _ in held])
-            keys, n = (np.concatenate(x) for x in zip(*((k, c) for _, _, k, c in held)))
-            common = often[keys // words.size] & often[keys % words.size]
-            rows: list[tuple] = []
-            names, lengths = [d for d, _, _, _ in held], np.array([c for _, c, _, _ in held], np.int64)
-            rows.append((-1, keys[common], None, doc[common], n[common], names, lengths))
-            few, at = np.unique(keys[common], return_inverse=True)
-            rows.append((-2, few, np.bincount(at, n[common], len(few)).astype(np.int64), None, None, None, None))
-            keys, doc, n = keys[~common], doc[~common], n[~common]
-            part = (_mix(keys) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((keys, part))
-            keys, doc, n, part = keys[order], doc[order], n[order], part[order]
-            edges = np.searchsorted(part, np.arange(parts + 1))
-            for p in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-                s = slice(edges[p], edges[p + 1])
-                distinct, counts = np.unique(keys[s], return_counts=True)
-                rows.append((p, distinct, counts, doc[s], n[s], None, None))
-            held.clear()
-            batch = uuid.uuid4().int >> 65
-            for at in range(0, len(rows), 16):  # small record batches
-                part = rows[at : at + 16]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([batch] * len(part), pa.int64()),
-                    pa.array([r[0] for r in part], pa.int32()),
-                    pa.array([r[1].astype("<i8").tobytes() for r in part], pa.binary()),
-                    *(pa.array([_packed(r[k]) for r in part], pa.binary()) for k in (2, 3, 4)),
-                    pa.array([r[5] for r in part], pa.list_(pa.int64())),
-                    pa.array([r[6] for r in part], pa.list_(pa.int64())),
-                ], names=["batch", "p", "keys", "counts", "docs", "n", "doc_ids", "lengths"])
+        place: dict[str, int] = {}
+        ids: list[int | None] = []
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            words = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in place), np.uint64, len(place))
+            lengths = [len(x) for x in held]
+            made = (uuid.uuid4().int >> 65, ids, lengths, sum(lengths), words.tobytes(), _small(np.concatenate(held)))
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(made, kinds)], names=["batch", "doc_ids", "lengths", "n", "words", "tokens"])
 
         waiting = 0
         for b in batches:
             for doc, text in zip(b.column(0), texts(b.column(1))):
                 ws = WORD.findall(text.lower()) if text else []
-                at = np.fromiter(map(ids.__getitem__, ws), np.int64, len(ws))
-                keys, n = np.unique(np.concatenate(([START], at[:-1])) * words.size + at if len(at) else at, return_counts=True)
-                held.append((doc.as_py(), len(ws), keys, n))
-                waiting += len(ws) + 50
-                if waiting > FLUSH:
-                    yield from out()
-                    waiting = 0
+                held.append(np.fromiter((place.setdefault(w, len(place)) for w in ws), np.uint32, len(ws)))
+                ids.append(doc.as_py())
+                waiting += len(ws) + 20
+                if waiting > BATCH:
+                    yield out()
+                    place, ids, held, waiting = {}, [], [], 0
         if held:
-            yield from out()
+            yield out()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "batch long, p int, keys binary, counts binary, docs binary, n binary, doc_ids array<long>, lengths array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "batch long, doc_ids array<long>, lengths array<long>, n long, words binary, tokens binary")
+
+
+class Grams:
+    """A batch's n-grams. keys: the distinct ones, sorted; one, two, three: the place there of the word, bigram and trigram that ends at each token."""
+
+    def __init__(self, words: pa.Scalar, tokens: pa.Scalar, lengths: np.ndarray):
+        word = np.frombuffer(words.as_buffer(), np.uint64)
+        self.lengths, self.doc = lengths, np.repeat(np.arange(len(lengths)), lengths)
+        n = len(self.doc)
+        at = _large(tokens, n)
+        self.first = (np.cumsum(lengths) - lengths)[lengths > 0]  # the tokens that begin a text
+        self.second = (self.first + 1)[lengths[lengths > 0] > 1]
+        h = word[at] if n else np.zeros(0, np.uint64)
+        before, last = np.roll(h, 1), np.roll(h, 2)
+        before[self.first] = last[self.first] = last[self.second] = _START
+        two = _mix(_mix(before) + h * np.uint64(3))
+        three = _mix(two + _mix(last ^ np.uint64(0x2545F4914F6CDD1D)) * np.uint64(5))
+        self.keys, places = np.unique(np.concatenate((_mix(h + np.uint64(1)), two, three)), return_inverse=True)
+        self.one, self.two, self.three = places.reshape(3, n)
+        self.places = places
+
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.places, minlength=len(self.keys))
+
+    def own(self, places: np.ndarray) -> np.ndarray:
+        """How often the token's document has the same n-gram."""
+        _, same, n = np.unique(self.doc * len(self.keys) + places, return_inverse=True, return_counts=True)
+        return n[same]
+
+    def previous(self, of: np.ndarray, at_start: int) -> np.ndarray:
+        """The numbers of the token before; ``at_start`` where a text begins."""
+        x = np.roll(of, 1)
+        x[self.first] = at_start
+        return x
+
+    def scores(self, totals: np.ndarray, documents: int, tokens: int) -> np.ndarray:
+        """log10 of the score of each document."""
+        left, inside = {}, {}
+        for name in ("one", "two", "three"):
+            places = getattr(self, name)
+            left[name] = totals[places] - self.own(places)
+        inside = {name: self.previous(left[name], documents - 1) for name in ("one", "two")}  # of the contexts
+        rest = np.maximum(tokens - self.lengths, 1)[self.doc]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = np.where(left["three"] > 0, left["three"] / inside["two"], np.where(left["two"] > 0, BACKOFF * left["two"] / inside["one"], BACKOFF**2 * np.maximum(left["one"], 0.5) / rest))
+        return np.bincount(self.doc, np.log10(share), len(self.lengths))
+
+
+def _grams(row: dict[str, pa.Array], k: int) -> Grams:
+    return Grams(row["words"][k], row["tokens"][k], row["lengths"][k].values.to_numpy())
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, log10_score, mean_score) of every document; mean_score is null without tokens, log10_score 0 then.
 
     Tokens are lower-cased runs of letters and digits. Rows of one doc_id (null is one, too) are summed; each row counts as a
-    document of its own in the counts. Null and empty texts have no tokens; an empty table gives no rows.
+    document of its own in the counts, so a repeated row sees its other copy. Null and empty texts have no tokens; other columns are
+    ignored; an empty table gives no rows. A text is held whole by one task.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a partition is held as arrays, so small ones
-    words = count_words(docs)
-    table = written(postings(docs, words, parts))
+    table = written(batches_of(docs))
+    tokens, documents = (x or 0 for x in table.agg(F.sum("n"), F.sum(F.size("doc_ids"))).first())
+    parts = max(1, 3 * tokens // KEYS)
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for keys, counts in zip(b.column(0), b.column(1)):
-                key = np.frombuffer(keys.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(_unpacked(counts, len(key)))], names=["key", "n"])
-
-    frequent = table.where("p = -2").select("keys", "counts").mapInArrow(unpack, "key long, n long").groupBy("key").agg(F.sum("n")).orderBy("key").collect()
-    common_keys, common_totals = np.array([r[0] for r in frequent], np.int64), np.array([r[1] for r in frequent], np.int64)
-
-    def numbers(column: pa.Array, k: int, kind: type = np.int64) -> np.ndarray:
-        return np.frombuffer(column[k].as_buffer(), kind)
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names, keys, docs, n, ids, lengths = b.columns
-            sums = []
+            row = dict(zip(b.schema.names, b.columns))
             for k in range(b.num_rows):
-                key = numbers(keys, k)
-                own, place = _unpacked(n[k], len(key)), _unpacked(docs[k], len(key))
-                total = common_totals[np.searchsorted(common_keys, key)] if len(key) else key
-                sums.append(np.bincount(place, _score(key, own, total, words), len(ids[k])).astype(np.float64).tobytes())
-            yield pa.RecordBatch.from_arrays([names, pa.nulls(len(sums), pa.binary()), pa.array(sums, pa.binary()), ids, lengths], names=["batch", "docs", "sums", "doc_ids", "lengths"])
-
-    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                grams = _grams(row, k)
+                part = ((grams.keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                counts, edges = grams.counts(), np.flatnonzero(np.diff(part, prepend=-1, append=parts))
+                for at in range(0, len(edges) - 1, 256):  # small record batches
+                    slices = [slice(a, z) for a, z in zip(edges[at : at + 256], edges[at + 1 : at + 257])]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([row["batch"][k].as_py()] * len(slices), pa.int64()),
+                        pa.array(part[[s.start for s in slices]]),
+                        pa.array([s.stop - s.start for s in slices], pa.int32()),
+                        pa.array([packed_keys(grams.keys[s]) for s in slices], pa.binary()),
+                        pa.array([packed_counts(counts[s]) for s in slices], pa.binary()),
+                    ], names=["batch", "p", "m", "keys", "counts"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "p"):
             part = table.column("p").to_numpy()
             for lo, hi in zip(*(np.searchsorted(part, np.unique(part), side) for side in ("left", "right"))):
-                names, keys, counts, docs, n = (table.column(c).slice(lo, hi - lo) for c in ("batch", "keys", "counts", "docs", "n"))
-                rows = range(len(keys))
-                key = [numbers(keys, k) for k in rows]
-                spread = [_unpacked(counts[k], len(x)) for k, x in zip(rows, key)]
-                every, at = np.unique(np.concatenate(key), return_inverse=True)
-                at = np.repeat(at.astype(np.int32), np.concatenate(spread))
-                owns = [_unpacked(n[k], int(x.sum())) for k, x in zip(rows, spread)]
-                total = np.bincount(at, np.concatenate(owns), len(every))
-                begin, used, sums = 0, [], []
-                for k, own in zip(rows, owns):
-                    mine = at[begin : begin + len(own)]
-                    begin += len(own)
-                    there, place = np.unique(_unpacked(docs[k], len(own)), return_inverse=True)
-                    used.append(_packed(there))
-                    sums.append(np.bincount(place, _score(every[mine], own, total[mine], words)).astype(np.float64).tobytes())
-                yield pa.RecordBatch.from_arrays([names.combine_chunks(), pa.array(used, pa.binary()), pa.array(sums, pa.binary()), pa.nulls(len(used), pa.list_(pa.int64())), pa.nulls(len(used), pa.list_(pa.int64()))], names=["batch", "docs", "sums", "doc_ids", "lengths"])
-
-    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                batch, p, m, keys, counts = (table.column(c).slice(lo, hi - lo) for c in ("batch", "p", "m", "keys", "counts"))
+                sizes = m.to_numpy()
+                _, at = np.unique(np.concatenate([unpacked_keys(x, n) for x, n in zip(keys, sizes)]), return_inverse=True)
+                sums = np.bincount(at, np.concatenate([unpacked_counts(x, n) for x, n in zip(counts, sizes)])).astype(np.int64)
+                ends = np.cumsum(sizes)
+                totals = [packed_counts(sums[at[z - n : z]]) for z, n in zip(ends.tolist(), sizes.tolist())]
+                yield pa.RecordBatch.from_arrays([batch.combine_chunks(), p.combine_chunks(), m.combine_chunks(), pa.array(totals, pa.binary())], names=["batch", "p", "m", "totals"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "batch"):
             name = table.column("batch").to_numpy()
             for lo, hi in zip(*(np.searchsorted(name, np.unique(name), side) for side in ("left", "right"))):
-                docs, sums, ids, lengths = (table.column(c).slice(lo, hi - lo) for c in ("docs", "sums", "doc_ids", "lengths"))
-                whole = next(k for k in range(hi - lo) if ids[k].is_valid)
-                total = numbers(sums, whole, np.float64).copy()
-                for k in range(hi - lo):
-                    if k != whole:
-                        own = numbers(sums, k, np.float64)
-                        total[_unpacked(docs[k], len(own))] += own
-                yield pa.RecordBatch.from_arrays([ids[whole].values, lengths[whole].values, pa.array(total, pa.float64())], names=["doc_id", "n_tokens", "score"])
-
-    kind = "batch long, docs binary, sums binary, doc_ids array<long>, lengths array<long>"
-    met = table.where("p >= 0").select("batch", "p", "keys", "counts", "docs", "n").repartition(parts, "p").sortWithinPartitions("p").mapInArrow(far, kind)
-    every = table.where("p = -1").select("batch", "keys", "docs", "n", "doc_ids", "lengths").mapInArrow(near, kind).union(met)
-    sums = every.repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(combined, "doc_id long, n_tokens long, score double")
+                own = table.slice(lo, hi - lo).combine_chunks()
+                row = {c: own.column(c).combine_chunks() for c in own.column_names}  # the batch itself comes first
+                grams = _grams(row, 0)
+                totals = [unpacked_counts(x, n) for x, n in zip(row["totals"][1:], row["m"][1:].to_numpy(zero_copy_only=False))]
+                made = grams.scores(np.concatenate(totals) if totals else np.zeros(0, np.int64), documents, tokens)
+                yield pa.RecordBatch.from_arrays([row["doc_ids"][0].values, pa.array(grams.lengths, pa.int64()), pa.array(made, pa.float64())], names=["doc_id", "n_tokens", "score"])
+
+    exploded = table.mapInArrow(explode, "batch long, p long, m int, keys binary, counts binary")
+    totals = exploded.repartition("p").sortWithinPartitions("p").mapInArrow(total, "batch long, p long, m int, totals binary")
+    nothing = lambda kind: F.lit(None).cast(kind)
+    whole = table.select("batch", F.lit(-1).cast("long").alias("p"), nothing("int").alias("m"), nothing("binary").alias("totals"), "doc_ids", "lengths", "words", "tokens")
+    back = totals.select("batch", "p", "m", "totals", nothing("array<long>").alias("doc_ids"), nothing("array<long>").alias("lengths"), nothing("binary").alias("words"), nothing("binary").alias("tokens"))
+    sums = whole.union(back).repartition("batch").sortWithinPartitions("batch", "p").mapInArrow(score, "doc_id long, n_tokens long, score double")
     out = sums.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("score").alias("log10_score"))
     return out.withColumn("mean_score", F.col("log10_score") / F.nullif("n_tokens", F.lit(0)))
 
@@ -263,14 +229,17 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 SQL = rf"""
     WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS l FROM documents),
     t AS (SELECT r, doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM d),
-    total AS (SELECT count(*) AS n FROM t), least AS (SELECT greatest(2, sum(strlen(text)) // {BYTES_A_WORD}) AS n FROM documents),
-    v AS (SELECT w, count(*) AS n FROM t GROUP BY w HAVING count(*) >= (SELECT n FROM least)),
-    k AS (SELECT r, doc_id, i, coalesce(v.w, '<unk>') AS w FROM t LEFT JOIN v USING (w)),
-    b AS (SELECT r, doc_id, p, w, count(*) AS n FROM (SELECT r, doc_id, w, coalesce(lag(w) OVER (PARTITION BY r ORDER BY i), '<s>') AS p FROM k) GROUP BY ALL),
-    s AS (SELECT p, w, sum(n) AS n FROM b GROUP BY p, w),
-    u AS (SELECT w, n FROM v UNION ALL SELECT '<s>', count(*) FROM d UNION ALL SELECT '<unk>', (SELECT n FROM total) - coalesce(sum(n), 0) FROM v),
-    x AS (SELECT b.doc_id, sum(b.n) AS n, sum(b.n * log10(CASE WHEN s.n > b.n THEN CAST(s.n - b.n AS DOUBLE) / greatest(up.n, 1) ELSE {BACKOFF} * greatest(CAST(uw.n AS DOUBLE), 0.5) / (SELECT n FROM total) END)) AS score
-          FROM b JOIN s USING (p, w) JOIN u up ON up.w = b.p JOIN u uw ON uw.w = b.w GROUP BY b.doc_id)
+    h AS (SELECT r, doc_id, w, coalesce(lag(w) OVER x, '<s>') AS v, coalesce(lag(w, 2) OVER x, '<s>') AS u FROM t WINDOW x AS (PARTITION BY r ORDER BY i)),
+    g AS (SELECT r, doc_id, u, v, w, count(*) AS n FROM h GROUP BY ALL), c3 AS (SELECT u, v, w, sum(n) AS n FROM g GROUP BY ALL),
+    o2 AS (SELECT r, v, w, count(*) AS n FROM h GROUP BY ALL UNION ALL SELECT r, '<s>', '<s>', 1 FROM d), c2 AS (SELECT v, w, sum(n) AS n FROM o2 GROUP BY ALL),
+    o1 AS (SELECT r, w, count(*) AS n FROM h GROUP BY ALL UNION ALL SELECT r, '<s>', 1 FROM d), c1 AS (SELECT w, sum(n) AS n FROM o1 GROUP BY ALL),
+    k AS (SELECT g.doc_id, g.n, c3.n - g.n AS n3, c2.n - o2.n AS n2, c1.n - o1.n AS n1, cx.n - ox.n AS d3, cy.n - oy.n AS d2, (SELECT count(*) FROM t) - len(d.l) AS rest
+          FROM g JOIN c3 USING (u, v, w) JOIN d ON d.r = g.r
+          JOIN o2 ON o2.r = g.r AND o2.v = g.v AND o2.w = g.w JOIN c2 ON c2.v = g.v AND c2.w = g.w
+          JOIN o1 ON o1.r = g.r AND o1.w = g.w JOIN c1 ON c1.w = g.w
+          JOIN o2 ox ON ox.r = g.r AND ox.v = g.u AND ox.w = g.v JOIN c2 cx ON cx.v = g.u AND cx.w = g.v
+          JOIN o1 oy ON oy.r = g.r AND oy.w = g.v JOIN c1 cy ON cy.w = g.v),
+    x AS (SELECT doc_id, sum(n) AS n, sum(n * log10(CASE WHEN n3 > 0 THEN CAST(n3 AS DOUBLE) / d3 WHEN n2 > 0 THEN {BACKOFF} * n2 / d2 ELSE {BACKOFF**2:.2f} * greatest(CAST(n1 AS DOUBLE), 0.5) / greatest(rest, 1) END)) AS score FROM k GROUP BY doc_id)
     SELECT doc_id, CAST(coalesce(x.n, 0) AS BIGINT) AS n_tokens, floor(coalesce(score, 0) * 1e4 + 0.5) / 1e4 AS log10_score, floor(score / x.n * 1e6 + 0.5) / 1e6 AS mean_score
     FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN x USING (doc_id)"""
 
