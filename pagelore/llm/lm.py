@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,44 +44,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def _small(x: np.ndarray) -> bytes:
-    """Numbers (not negative) in the fewest bytes each that hold them all."""
-    most = int(x.max(initial=0))
-    return x.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+def _pressed(x: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of numbers, byte by byte of all, compressed."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def _large(data: pa.Scalar, n: int) -> np.ndarray:
-    data = data.as_buffer()
-    return np.frombuffer(data, f"<u{len(data) // n}" if n else "<u1").astype(np.int64)
-
-
-def packed_counts(x: np.ndarray) -> bytes:
-    """A byte for each count; from 255 on, eight more at the end."""
-    return np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype("<i8").tobytes()
-
-
-def unpacked_counts(data: pa.Scalar, n: int) -> np.ndarray:
-    data = data.as_buffer()
-    x = np.frombuffer(data, np.uint8, n).astype(np.int64)
-    x[x == 255] = np.frombuffer(data, "<i8", -1, n) if len(data) > n else 255
-    return x
+def _expanded(data: pa.Buffer, n: int, width: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, n)
+    x = np.zeros((n, 8), np.uint8)
+    x[:, :width] = planes.T
+    return x.view("<u8").ravel()
 
 
-def packed_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys: the first, then steps in as few bytes as the largest needs."""
-    steps = np.diff(keys)
-    width = max(1, (int(steps.max(initial=np.uint64(0))).bit_length() + 7) // 8)
-    return keys[:1].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers, not negative, in as few bytes as the largest needs; the first byte says how many."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + _pressed(x, width)
 
 
-def unpacked_keys(data: pa.Scalar, n: int) -> np.ndarray:
+def unpacked(data: pa.Scalar, n: int) -> np.ndarray:
     data = data.as_buffer()
-    steps = np.zeros((n, 8), np.uint8)
-    steps[0] = np.frombuffer(data, np.uint8, 8)
-    if n > 1:
-        width = (len(data) - 8) // (n - 1)
-        steps[1:, :width] = np.frombuffer(data, np.uint8, -1, 8).reshape(-1, width)
-    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+    return _expanded(data.slice(1), n, int(np.frombuffer(data, np.uint8, 1)[0]))
 
 
 def batches_of(docs: DataFrame) -> DataFrame:
@@ -94,7 +79,7 @@ def batches_of(docs: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             words = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in place), np.uint64, len(place))
             lengths = [len(x) for x in held]
-            made = (uuid.uuid4().int >> 65, ids, lengths, sum(lengths), words.tobytes(), _small(np.concatenate(held)))
+            made = (uuid.uuid4().int >> 65, ids, lengths, sum(lengths), words.tobytes(), packed(np.concatenate(held)))
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(made, kinds)], names=["batch", "doc_ids", "lengths", "n", "words", "tokens"])
 
@@ -121,7 +106,7 @@ class Grams:
         word = np.frombuffer(words.as_buffer(), np.uint64)
         self.lengths, self.doc = lengths, np.repeat(np.arange(len(lengths)), lengths)
         n = len(self.doc)
-        at = _large(tokens, n)
+        at = unpacked(tokens, n).astype(np.int64)
         self.first = (np.cumsum(lengths) - lengths)[lengths > 0]  # the tokens that begin a text
         self.second = (self.first + 1)[lengths[lengths > 0] > 1]
         h = word[at] if n else np.zeros(0, np.uint64)
@@ -189,8 +174,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                         pa.array([row["batch"][k].as_py()] * len(slices), pa.int64()),
                         pa.array(part[[s.start for s in slices]]),
                         pa.array([s.stop - s.start for s in slices], pa.int32()),
-                        pa.array([packed_keys(grams.keys[s]) for s in slices], pa.binary()),
-                        pa.array([packed_counts(counts[s]) for s in slices], pa.binary()),
+                        pa.array([packed(np.diff(grams.keys[s], prepend=np.uint64(0))) for s in slices], pa.binary()),
+                        pa.array([packed(counts[s]) for s in slices], pa.binary()),
                     ], names=["batch", "p", "m", "keys", "counts"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,10 +184,10 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             for lo, hi in zip(*(np.searchsorted(part, np.unique(part), side) for side in ("left", "right"))):
                 batch, p, m, keys, counts = (table.column(c).slice(lo, hi - lo) for c in ("batch", "p", "m", "keys", "counts"))
                 sizes = m.to_numpy()
-                _, at = np.unique(np.concatenate([unpacked_keys(x, n) for x, n in zip(keys, sizes)]), return_inverse=True)
-                sums = np.bincount(at, np.concatenate([unpacked_counts(x, n) for x, n in zip(counts, sizes)])).astype(np.int64)
+                _, at = np.unique(np.concatenate([np.cumsum(unpacked(x, n)) for x, n in zip(keys, sizes)]), return_inverse=True)
+                sums = np.bincount(at, np.concatenate([unpacked(x, n) for x, n in zip(counts, sizes)])).astype(np.int64)
                 ends = np.cumsum(sizes)
-                totals = [packed_counts(sums[at[z - n : z]]) for z, n in zip(ends.tolist(), sizes.tolist())]
+                totals = [packed(sums[at[z - n : z]]) for z, n in zip(ends.tolist(), sizes.tolist())]
                 yield pa.RecordBatch.from_arrays([batch.combine_chunks(), p.combine_chunks(), m.combine_chunks(), pa.array(totals, pa.binary())], names=["batch", "p", "m", "totals"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +197,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 own = table.slice(lo, hi - lo).combine_chunks()
                 row = {c: own.column(c).combine_chunks() for c in own.column_names}  # the batch itself comes first
                 grams = _grams(row, 0)
-                totals = [unpacked_counts(x, n) for x, n in zip(row["totals"][1:], row["m"][1:].to_numpy(zero_copy_only=False))]
+                totals = [unpacked(x, int(n)).astype(np.int64) for x, n in zip(row["totals"][1:], row["m"][1:].to_numpy(zero_copy_only=False))]
                 made = grams.scores(np.concatenate(totals) if totals else np.zeros(0, np.int64), documents, tokens)
                 yield pa.RecordBatch.from_arrays([row["doc_ids"][0].values, pa.array(grams.lengths, pa.int64()), pa.array(made, pa.float64())], names=["doc_id", "n_tokens", "score"])
 
