@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runs import read, texts, whole_runs
-from .store import written
+from .store import release, written
 
 WORD = re.compile(r"[^\W_]+")
 BACKOFF = 0.4
@@ -78,8 +78,11 @@ def batches_of(docs: DataFrame) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             words = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in place), np.uint64, len(place))
-            lengths = [len(x) for x in held]
-            made = (uuid.uuid4().int >> 65, ids, lengths, sum(lengths), words.tobytes(), packed(np.concatenate(held)))
+            lengths, at = [len(x) for x in held], np.concatenate(held)
+            order = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")  # frequent words first: small numbers
+            rank = np.empty(len(words), np.int64)
+            rank[order] = np.arange(len(words))
+            made = (uuid.uuid4().int >> 65, ids, lengths, len(at), words[order].tobytes(), packed(rank[at]))
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(made, kinds)], names=["batch", "doc_ids", "lengths", "n", "words", "tokens"])
 
@@ -202,7 +205,9 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 yield pa.RecordBatch.from_arrays([row["doc_ids"][0].values, pa.array(grams.lengths, pa.int64()), pa.array(made, pa.float64())], names=["doc_id", "n_tokens", "score"])
 
     exploded = table.mapInArrow(explode, "batch long, p long, m int, keys binary, counts binary")
-    totals = exploded.repartition("p").sortWithinPartitions("p").mapInArrow(total, "batch long, p long, m int, totals binary")
+    totals = written(exploded.repartition("p").sortWithinPartitions("p").mapInArrow(total, "batch long, p long, m int, totals binary"))
+    del exploded
+    release(docs.sparkSession)  # the exploded n-grams' files
     nothing = lambda kind: F.lit(None).cast(kind)
     whole = table.select("batch", F.lit(-1).cast("long").alias("p"), nothing("int").alias("m"), nothing("binary").alias("totals"), "doc_ids", "lengths", "words", "tokens")
     back = totals.select("batch", "p", "m", "totals", nothing("array<long>").alias("doc_ids"), nothing("array<long>").alias("lengths"), nothing("binary").alias("words"), nothing("binary").alias("tokens"))

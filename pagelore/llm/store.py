@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -32,6 +33,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the files of shuffles that no table is still computed from, which it does when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the session's tables. Call it once results that were built on them are written."""
     jvm = spark.sparkContext._jvm
