@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +37,9 @@ def written(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Have Spark delete the files of shuffles that no table is still computed from, which it does when the driver's garbage is collected."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    time.sleep(1)  # meanwhile the JVM is told which tables Python has let go
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
 
 
 def clear(spark: SparkSession) -> None:
