@@ -163,6 +163,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     table = written(batches_of(docs))
     tokens, documents = (x or 0 for x in table.agg(F.sum("n"), F.sum(F.size("doc_ids"))).first())
     parts = max(1, 3 * tokens // KEYS)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    tasks = lambda n: min(100_000, max(cores, n))  # noqa: E731  each takes what it has one by one, so the number is only about speed
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,13 +207,13 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 yield pa.RecordBatch.from_arrays([row["doc_ids"][0].values, pa.array(grams.lengths, pa.int64()), pa.array(made, pa.float64())], names=["doc_id", "n_tokens", "score"])
 
     exploded = table.mapInArrow(explode, "batch long, p long, m int, keys binary, counts binary")
-    totals = written(exploded.repartition("p").sortWithinPartitions("p").mapInArrow(total, "batch long, p long, m int, totals binary"))
+    totals = written(exploded.repartition(tasks(parts // 8), "p").sortWithinPartitions("p").mapInArrow(total, "batch long, p long, m int, totals binary"))
     del exploded
     release(docs.sparkSession)  # the exploded n-grams' files
     nothing = lambda kind: F.lit(None).cast(kind)
     whole = table.select("batch", F.lit(-1).cast("long").alias("p"), nothing("int").alias("m"), nothing("binary").alias("totals"), "doc_ids", "lengths", "words", "tokens")
     back = totals.select("batch", "p", "m", "totals", nothing("array<long>").alias("doc_ids"), nothing("array<long>").alias("lengths"), nothing("binary").alias("words"), nothing("binary").alias("tokens"))
-    sums = whole.union(back).repartition("batch").sortWithinPartitions("batch", "p").mapInArrow(score, "doc_id long, n_tokens long, score double")
+    sums = whole.union(back).repartition(tasks(tokens // (2 * BATCH)), "batch").sortWithinPartitions("batch", "p").mapInArrow(score, "doc_id long, n_tokens long, score double")
     out = sums.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("score").alias("log10_score"))
     return out.withColumn("mean_score", F.col("log10_score") / F.nullif("n_tokens", F.lit(0)))
 

@@ -58,13 +58,14 @@ def pairs(key: np.ndarray, left: np.ndarray, most: int) -> Iterator[tuple[np.nda
         lo = hi
 
 
-def split_runs(rows: DataFrame, key: str, by: str, block: int) -> DataFrame:
+def split_runs(rows: DataFrame, key: str, by: str, block: int, sizes: DataFrame | None = None) -> DataFrame:
     """``rows`` with ``run`` and ``side``, so that no run has many more than twice ``block`` rows and each pair of a key meets once.
 
     A key with more rows is dealt into blocks by a hash of ``by``; each pair of blocks is a run of its own. side 0: compare with
-    all of the run; 1 and 2: compare with the other side only.
+    all of the run; 1 and 2: compare with the other side only. ``sizes``: rows n of each key, if they are known.
     """
-    hot = written(rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__parts")).where("__parts > 1"))
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if sizes is None else sizes
+    hot = written(sizes.where(F.col("n") > block).select(key, F.ceil(F.col("n") / block).cast("int").alias("__parts")))
     if hot.isEmpty():
         return rows.withColumns({"run": F.col(key), "side": F.lit(0)})
     parts = F.coalesce("__parts", F.lit(1))
