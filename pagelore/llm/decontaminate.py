@@ -4,11 +4,12 @@ Features are the benchmark's words, weighted by IDF over all documents. A random
 computed in two distributed passes, gives the latent space. Passages are taken in groups, each with a space of as many directions
 as it has passages, so that a passage keeps its whole norm however many items there are. Overlapping windows of every document are
 folded in and compared by cosine with the benchmark's passages. A window is folded in only if its words' weights, each with the
-largest that any passage gives it, can add up to the cosine at all. Candidates are verified on the words themselves: longest common subsequence with
-the item, and for paraphrases the item's answer (its last words).
+largest that any passage gives it, can add up to the cosine at all. Candidates are verified on the words themselves: longest common
+subsequence with the item, and for paraphrases the item's answer (its last words).
 
-The benchmark is taken in blocks of about ``block`` items, each of bounded size, so nothing that is sent to executors grows with
-the documents.
+Items are compared with windows of their own length class (``CLASSES``), so that a short item isn't lost among the words around it.
+Documents are read twice for all items together: for document frequencies, and for all windows against all passages. What is
+sent to executors grows with the benchmark alone: a passage's part of the space is kept as the words that it has a cosine with.
 """
 
 from __future__ import annotations
@@ -27,8 +28,12 @@ from pyspark.sql import functions as F
 from .runs import read, texts
 
 WORD = re.compile(r"[^\W_]+")
-WINDOW, STRIDE = 24, 12
+#: (most words of an item, words of a window, stride): up to eight words, windows of just the item's length begin at every word;
+#: longer items are cut into passages of a window's length.
+CLASSES = [(n, n, 1) for n in range(1, 9)] + [(12, 15, 3), (16, 20, 4), (1 << 30, 24, 12)]
 COSINE, SURE, LIKELY, ANSWER = 0.3, 0.8, 0.5, 0.5
+#: The fewest words of an item that is looked for in paraphrase; a shorter one needs SURE.
+PARAPHRASE = 8
 #: A word's largest IDF weight.
 MOST = 4.0
 
@@ -139,34 +144,26 @@ def verified(item: list[str], own: Counter, region: list[str]) -> tuple[float, f
     return best
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rank: int = 256, block: int = 1000) -> DataFrame:
-    """(doc_id, item_id, similarity, lcs, answer): a row for each document and item whose text, or a close paraphrase, is in it.
-
-    ``rank`` passages at most share a latent space, which has a direction for each.
-
-    A pair is returned if some window's latent cosine is COSINE or more and the longest common subsequence holds SURE of the
-    item's words, or LIKELY of them with ANSWER of the answer's. Case, punctuation and spacing don't count. Items without words
-    leak nowhere; null and empty texts hold nothing; repeated documents are each returned; a repeated item_id counts once.
-    """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null")
-    blocks = max(1, -(-items.count() // block))
-    out = None
-    for k in range(blocks):
-        rows = [(r.item, words_of(r.text)) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()]  # about ``block`` items
-        part = _block(docs, sorted((i, w) for i, w in rows if w), id_col, text_col, rank)
-        out = part if out is None else out.union(part)
-    return out
-
-
 @dataclass
 class Group:
-    """Passages with a latent space of their own: their words, the largest weight of each in a passage, what a word adds to the cosine with each passage, and each passage's item."""
+    """Passages with a latent space of their own: their words, the largest weight of each in a passage, and each passage's item.
+
+    cosines[begin[w]:begin[w + 1]]: what word w adds to the cosine with the passages ``near`` at the same places.
+    """
 
     words: np.ndarray
     most: np.ndarray
+    begin: np.ndarray
+    near: np.ndarray
     cosines: np.ndarray
     owner: np.ndarray
 
+    def table(self) -> np.ndarray:
+        """Words by passages."""
+        out = np.zeros((len(self.words), len(self.owner)), np.float32)
+        out[np.repeat(np.arange(len(self.words)), np.diff(self.begin)), self.near] = self.cosines
+        return out
+
 
 def _group(spark, passages: list[tuple[int, list[int]]], idf: np.ndarray) -> Group:
     """The latent space has a direction for each passage, so none of a passage's norm is lost in it."""
@@ -182,42 +179,35 @@ def _group(spark, passages: list[tuple[int, list[int]]], idf: np.ndarray) -> Gro
     space = latent_space(table, len(words), min(len(passages), len(words)))
     targets = np.array([w @ space[i] for i, w in zip(ids, weights)])
     targets /= np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-12)
-    return Group(words, most, ((space * idf[:, None]) @ targets.T).astype(np.float32), np.array([k for k, _ in passages]))
+    cosines = (space * idf[:, None]) @ targets.T
+    at, near = np.nonzero(np.abs(cosines) > 1e-5)  # what is less is the decomposition's rounding
+    return Group(words, most, np.searchsorted(at, np.arange(len(words) + 1)), near.astype(np.int32), cosines[at, near].astype(np.float32), np.array([k for k, _ in passages]))
 
 
-def _block(docs: DataFrame, items: list[tuple[int, list[str]]], id_col: str, text_col: str, rank: int) -> DataFrame:
-    schema = "doc_id long, item_id long, similarity double, lcs double, answer double"
-    spark = docs.sparkSession
-    if not items:
-        return spark.createDataFrame([], schema)
-    vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws in items for w in ws}))}
-    df, n = document_frequencies(docs, vocabulary, text_col)
-    idf = np.minimum(np.log((1 + n) / (1 + df)) + 0.1, MOST)  # so that rare words around a leak don't drown an item of frequent words
-    rare = float(np.median(idf))  # of a word outside the benchmark
-    passages = [(k, [vocabulary[w] for w in ws[at : at + WINDOW]]) for k, (_, ws) in enumerate(items) for at in range(0, max(1, len(ws) - STRIDE), STRIDE)]
-    groups = [_group(spark, passages[at : at + rank], idf) for at in range(0, len(passages), rank)]
-    most = np.zeros(len(vocabulary))  # the largest weight that any passage gives a word
-    for g in groups:
-        most[g.words] = np.maximum(most[g.words], g.most)
-    mass, bound = np.append(idf**2, rare**2), np.append(idf * most, 0)
-    unknown, counts = len(vocabulary), [Counter(ws) for _, ws in items]
-
-    def windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass
+class LengthClass:
+    """Passages of items of about one length: size and stride of the windows, groups, and the largest weight that any passage gives each word of the vocabulary."""
+
+    size: int
+    stride: int
+    groups: list[Group]
+    bound: np.ndarray
+
+    def windows(self, at: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First word, end and norm of the windows whose weights allow the cosine with some passage."""
-        starts = np.arange(0, max(1, len(at) - STRIDE), STRIDE)
-        ends = np.minimum(starts + WINDOW, len(at))
-        total, most = (np.concatenate(([0], np.cumsum(x[at]))) for x in (mass, bound))
+        starts = np.arange(0, max(1, len(at) - self.size + self.stride), self.stride)
+        ends = np.minimum(starts + self.size, len(at))
+        total, most = (np.concatenate(([0], np.cumsum(x[at]))) for x in (mass, self.bound))
         norm = np.sqrt(total[ends] - total[starts])
-        w = most[ends] - most[starts] >= COSINE * norm
+        w = (most[ends] - most[starts] >= COSINE * norm) & (most[ends] > most[starts])
         return starts[w], ends[w], norm[w]
 
-    def retrieved(at: np.ndarray, starts: np.ndarray, ends: np.ndarray, norm: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """(window, item, cosine) of the windows that are near a passage of the item; ``at`` has the words of all, end to end."""
-        size = ends - starts
+    def retrieved(self, at: np.ndarray, size: np.ndarray, norm: np.ndarray, idf: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(window, item, cosine) of the windows that are near a passage of the item; ``at`` has the words of all windows, end to end."""
         begin = np.cumsum(size) - size
         of = np.repeat(np.arange(len(size)), size)
-        local = np.empty(len(vocabulary) + 1, np.int64)
-        for g in groups:
+        local = np.empty(len(idf) + 1, np.int64)
+        for g in self.groups:
             local.fill(-1)
             local[g.words] = np.arange(len(g.words))
             rows = local[at]
@@ -228,35 +218,96 @@ def _block(docs: DataFrame, items: list[tuple[int, list[str]]], id_col: str, tex
             rows, window = rows[known], of[known]
             n = np.bincount(window, minlength=len(size))
             chosen = np.argsort(-n, kind="stable")[: int((n > 0).sum())]  # the windows with most words first
-            first = (np.cumsum(n) - n)[chosen]
-            cos = np.zeros((len(chosen), g.cosines.shape[1]), np.float32)
-            for k in range(int(n.max(initial=0))):
+            if not len(chosen):
+                continue
+            first, table = (np.cumsum(n) - n)[chosen], g.table()
+            cos = np.zeros((len(chosen), len(g.owner)), np.float32)
+            for k in range(int(n.max())):
                 m = int(np.searchsorted(-n[chosen], -k, "left"))  # those with more than k words
-                cos[:m] += g.cosines[rows[first[:m] + k]]
+                cos[:m] += table[rows[first[:m] + k]]
             cos /= norm[chosen, None].astype(np.float32)
             for w, p in zip(*(x.tolist() for x in np.nonzero(cos >= COSINE))):
                 yield int(chosen[w]), int(g.owner[p]), float(cos[w, p])
 
+
+def _classes(spark, items: list[tuple[int, list[str]]], vocabulary: dict[str, int], idf: np.ndarray, rank: int) -> list[LengthClass]:
+    out, least = [], 0
+    for most, size, stride in CLASSES:
+        passages = []
+        for k, (_, ws) in enumerate(items):
+            if least < len(ws) <= most:
+                passages += [(k, [vocabulary[w] for w in ws[at : at + size]]) for at in range(0, max(1, len(ws) - (stride if len(ws) > size else len(ws))), stride)]
+        least = most
+        if passages:
+            groups = [_group(spark, passages[at : at + rank], idf) for at in range(0, len(passages), rank)]
+            weight = np.zeros(len(idf) + 1)
+            for g in groups:
+                weight[g.words] = np.maximum(weight[g.words], g.most)
+            out.append(LengthClass(size, stride, groups, np.append(idf, 0) * weight))
+    return out
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rank: int = 256, block: int = 50_000) -> DataFrame:
+    """(doc_id, item_id, similarity, lcs, answer): a row for each document and item whose text, or a close paraphrase, is in it.
+
+    ``rank`` passages at most share a latent space, which has a direction for each. The driver and each task hold about ``block`` items
+    at a time; a larger benchmark takes another reading of the documents for each so many.
+
+    A pair is returned if some window's latent cosine is COSINE or more and the longest common subsequence holds SURE of the
+    item's words, or, for items of PARAPHRASE words or more, LIKELY of them with ANSWER of the answer's. Case, punctuation and spacing don't
+    count. Items without words leak nowhere; null and empty texts hold nothing; repeated documents, and those with a null id, are each
+    returned; a repeated item, id and text, counts once, and an item_id with several texts is each of them; of ties for the best
+    stretch the first counts. Other columns are ignored. Empty tables give no rows.
+    """
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null").distinct()
+    blocks = max(1, -(-items.count() // block))
+    out = None
+    for k in range(blocks):
+        rows = {(r.item, tuple(words_of(r.text))) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()}  # about ``block`` items
+        part = _leaks(docs, [(i, list(ws)) for i, ws in sorted(rows) if ws], id_col, text_col, rank)
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _leaks(docs: DataFrame, items: list[tuple[int, list[str]]], id_col: str, text_col: str, rank: int) -> DataFrame:
+    schema = "doc_id long, item_id long, similarity double, lcs double, answer double"
+    spark = docs.sparkSession
+    if not items:
+        return spark.createDataFrame([], schema)
+    vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws in items for w in ws}))}
+    df, n = document_frequencies(docs, vocabulary, text_col)
+    idf = np.minimum(np.log((1 + n) / (1 + df)) + 0.1, MOST)  # so that rare words around a leak don't drown an item of frequent words
+    rare = float(np.median(idf))  # of a word outside the benchmark
+    classes = _classes(spark, items, vocabulary, idf, rank)
+    mass, unknown, counts = np.append(idf**2, rare**2), len(vocabulary), [Counter(ws) for _, ws in items]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int | None, list[str], np.ndarray, tuple]] = []
+        held: list[tuple[int | None, list[str], np.ndarray, list[tuple]]] = []
 
         def out() -> pa.RecordBatch:
             found: list[list] = [[], [], [], [], []]
-            starts, ends, norm = (np.concatenate([h[3][k] for h in held]) for k in range(3))
-            of = np.repeat(np.arange(len(held)), [len(h[3][0]) for h in held])
-            words = np.concatenate([h[2][a:z] for h in held for a, z in zip(*(x.tolist() for x in h[3][:2]))])
-            near: dict[tuple[int, int, int], float] = {}
-            for w, k, cos in retrieved(words, starts, ends, norm):
-                key = (int(of[w]), k, w)
-                near[key] = max(near.get(key, 0.0), cos)
             hits: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for (doc, k, w), cos in near.items():
-                item, ws = items[k][1], held[doc][1]
-                lcs, answer = verified(item, counts[k], ws[max(0, int(starts[w]) - len(item)) : int(ends[w]) + len(item)])
-                if lcs >= SURE or lcs >= LIKELY and answer >= ANSWER:
-                    hits[doc, k] = max(hits.get((doc, k), (0.0, 0.0, 0.0)), (lcs, answer, cos))
-            for (doc, k), (lcs, answer, cos) in sorted(hits.items()):
-                for column, value in zip(found, (held[doc][0], items[k][0], min(cos, 1.0), lcs, answer)):
+            for c, of_class in enumerate(classes):
+                some = [d for d, h in enumerate(held) if len(h[3][c][0])]
+                if not some:
+                    continue
+                starts, ends, norm = (np.concatenate([held[d][3][c][k] for d in some]) for k in range(3))
+                of = np.repeat(some, [len(held[d][3][c][0]) for d in some])
+                words = np.concatenate([held[d][2][a:z] for d in some for a, z in zip(*(x.tolist() for x in held[d][3][c][:2]))])
+                near: dict[tuple[int, int, int], float] = {}
+                for w, k, cos in of_class.retrieved(words, ends - starts, norm, idf):
+                    key = (int(of[w]), k, w)
+                    near[key] = max(near.get(key, 0.0), cos)
+                for (doc, k, w), cos in near.items():
+                    item, ws = items[k][1], held[doc][1]
+                    lcs, answer = verified(item, counts[k], ws[max(0, int(starts[w]) - len(item)) : int(ends[w]) + len(item)])
+                    if lcs >= SURE or len(item) >= PARAPHRASE and lcs >= LIKELY and answer >= ANSWER:
+                        hits[doc, k] = max(hits.get((doc, k), (0.0, 0.0, 0.0)), (lcs, answer, cos))
+            best: dict[tuple[int, int], tuple[float, float, float]] = {}
+            for (doc, k), hit in hits.items():  # items of one id
+                best[doc, items[k][0]] = max(best.get((doc, items[k][0]), (0.0, 0.0, 0.0)), hit)
+            for (doc, item), (lcs, answer, cos) in sorted(best.items()):
+                for column, value in zip(found, (held[doc][0], item, min(cos, 1.0), lcs, answer)):
                     column.append(value)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], names=["doc_id", "item_id", "similarity", "lcs", "answer"])
 
@@ -267,10 +318,10 @@ def _block(docs: DataFrame, items: list[tuple[int, list[str]]], id_col: str, tex
                 if not ws:
                     continue
                 at = np.fromiter(map(vocabulary.get, ws, repeat(unknown)), np.int64, len(ws))
-                chosen = windows(at)
-                if len(chosen[0]):
+                chosen = [c.windows(at, mass) for c in classes]
+                if some := sum(len(x[0]) for x in chosen):
                     held.append((doc.as_py(), ws, at, chosen))
-                    waiting += len(chosen[0])
+                    waiting += some
                 if waiting > 2000:
                     yield out()
                     held, waiting = [], 0

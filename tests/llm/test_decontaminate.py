@@ -85,3 +85,61 @@ def test_paraphrases_that_the_word_checks_accept_are_looked_at(spark):
     table = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items], "item_id long, text string")
     got = {(x.doc_id, x.item_id) for x in D.leaks(spark.createDataFrame(cases, "doc_id long, text string"), table).collect()}
     assert len(wanted) > 100 and wanted <= got
+
+
+def brute(docs, items):
+    """Every pair whose words, in some stretch of the text that begins at any word, pass the word checks."""
+    out = set()
+    for d, t in docs:
+        ws = D.words_of(t)
+        for i, it in items:
+            item = D.words_of(it)
+            n = len(item)
+            for at in range(max(1, len(ws) - n + 1)) if n else ():
+                stretch = ws[at : at + n + n // 4 + 4]
+                share = D.common(item, stretch) / n
+                if share >= D.SURE or n >= D.PARAPHRASE and share >= D.LIKELY and D.common(item[-max(2, n // 4) :], stretch) >= D.ANSWER * max(2, n // 4):
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_recall_by_length(spark, capsys):
+    """Verbatim items of any length are all found, even of frequent words in other prose; with a fifth or a third of the words replaced at least 0.9 of those that the word checks accept."""
+    r = random.Random(12)
+    own = [f"{a}{i}" for a in ("ka", "lo", "mi") for i in range(80)]
+    frequent, rare = own[:60], [f"zz{i}" for i in range(4000)]
+    docs, want, items = [], {}, []
+    for n in (3, 4, 5, 6, 8, 9, 12, 14, 17, 20, 24, 30, 40):
+        for k in range(12):
+            i = len(items)
+            item = [r.choice(own) for _ in range(n)]
+            items.append((i, " ".join(item)))
+            for kind, share in (("verbatim", 0), ("fifth", 5), ("third", 3)):
+                if share and n < D.PARAPHRASE:
+                    continue
+                body = [r.choice(rare) if share and j % share == k % share else w for j, w in enumerate(item)]
+                around = [[r.choice(rare) for _ in range(r.randint(0, 60))] for _ in range(2)]
+                d = len(docs)
+                docs.append((d, " ".join(around[0] + body + around[1])))
+                want[d, i] = (n, kind)
+    docs += [(len(docs) + k, " ".join(r.choice(frequent) for _ in range(60))) for k in range(200)]
+    docs += [(len(docs) + k, " ".join(r.choice(rare) for _ in range(60))) for k in range(200)]
+    got = {(x.doc_id, x.item_id) for x in D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    right = brute(docs, items)
+    assert got <= right
+    for kind, least in (("verbatim", 1.0), ("fifth", 0.9), ("third", 0.9)):
+        for n in {n for n, k in want.values() if k == kind}:
+            planted = {p for p, v in want.items() if v == (n, kind)} & right
+            assert kind != "verbatim" or len(planted) == 12
+            assert len(got & planted) >= least * len(planted), (kind, n, len(got & planted), len(planted))
+    assert len(got & right) >= 0.9 * len(right)
+
+
+def test_odd_tables(spark):
+    """Repeated documents and items, null ids, clashing columns, a very long text."""
+    item = "seven grey herons waited beside the frozen canal before dawn"
+    docs = spark.createDataFrame([(1, f"so {item}", 0.5, 1), (1, f"so {item}", 0.5, 1), (None, item, 0.1, 2), (3, "word " * 300_000 + item, 0.0, 3)], "doc_id long, text string, similarity double, item_id int")
+    items = spark.createDataFrame([(7, item, 1), (7, item, 2), (7, "another text of the same number", 3), (8, item, 4)], "item_id long, text string, doc_id long")
+    got = sorted((x.doc_id or 0, x.item_id) for x in D.leaks(docs, items).collect())
+    assert got == [(0, 7), (0, 8), (1, 7), (1, 7), (1, 8), (1, 8), (3, 7), (3, 8)]
