@@ -131,8 +131,7 @@ def verified(item: list[str], own: Counter, region: list[str]) -> tuple[float, f
     own: the item's words, counted.
     """
     n = len(item)
-    there = Counter(region)
-    if sum(min(c, there[w]) for w, c in own.items() if w in there) < LIKELY * n:  # the subsequence can't be longer than that
+    if sum(map(own.__getitem__, own.keys() & region)) < (LIKELY if n >= PARAPHRASE else SURE) * n:  # the subsequence can't be longer than that
         return 0.0, 0.0
     answer = item[-max(2, n // 4) :]
     length, best = n + n // 4 + 4, (0.0, 0.0)
@@ -184,6 +183,13 @@ def _group(spark, passages: list[tuple[int, list[int]]], idf: np.ndarray) -> Gro
     return Group(words, most, np.searchsorted(at, np.arange(len(words) + 1)), near.astype(np.int32), cosines[at, near].astype(np.float32), np.array([k for k, _ in passages]))
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, 2, ... numbers."""
+    out = np.zeros(len(x) + 1)
+    np.cumsum(x, out=out[1:])
+    return out
+
+
 @dataclass
 class LengthClass:
     """Passages of items of about one length: size and stride of the windows, groups, and the largest weight that any passage gives each word of the vocabulary."""
@@ -193,17 +199,17 @@ class LengthClass:
     groups: list[Group]
     bound: np.ndarray
 
-    def windows(self, at: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First word, end and norm of the windows whose weights allow the cosine with some passage."""
+    def windows(self, at: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word, end and norm of the windows whose weights allow the cosine with some passage. total: sums of squared weights up to each word."""
         starts = np.arange(0, max(1, len(at) - self.size + self.stride), self.stride)
         ends = np.minimum(starts + self.size, len(at))
-        total, most = (np.concatenate(([0], np.cumsum(x[at]))) for x in (mass, self.bound))
-        norm = np.sqrt(total[ends] - total[starts])
-        w = (most[ends] - most[starts] >= COSINE * norm) & (most[ends] > most[starts])
+        most = _sums(self.bound[at])
+        norm, able = np.sqrt(total[ends] - total[starts]), most[ends] - most[starts]
+        w = (able >= COSINE * norm) & (able > 0)
         return starts[w], ends[w], norm[w]
 
-    def retrieved(self, at: np.ndarray, size: np.ndarray, norm: np.ndarray, idf: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """(window, item, cosine) of the windows that are near a passage of the item; ``at`` has the words of all windows, end to end."""
+    def retrieved(self, at: np.ndarray, size: np.ndarray, norm: np.ndarray, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows, items and cosines where a window is near a passage of the item; ``at`` has the words of all windows, end to end."""
         begin = np.cumsum(size) - size
         of = np.repeat(np.arange(len(size)), size)
         local = np.empty(len(idf) + 1, np.int64)
@@ -226,8 +232,8 @@ class LengthClass:
                 m = int(np.searchsorted(-n[chosen], -k, "left"))  # those with more than k words
                 cos[:m] += table[rows[first[:m] + k]]
             cos /= norm[chosen, None].astype(np.float32)
-            for w, p in zip(*(x.tolist() for x in np.nonzero(cos >= COSINE))):
-                yield int(chosen[w]), int(g.owner[p]), float(cos[w, p])
+            w, p = np.nonzero(cos >= COSINE)
+            yield chosen[w], g.owner[p], cos[w, p]
 
 
 def _classes(spark, items: list[tuple[int, list[str]]], vocabulary: dict[str, int], idf: np.ndarray, rank: int) -> list[LengthClass]:
@@ -294,13 +300,17 @@ def _leaks(docs: DataFrame, items: list[tuple[int, list[str]]], id_col: str, tex
                 starts, ends, norm = (np.concatenate([held[d][3][c][k] for d in some]) for k in range(3))
                 of = np.repeat(some, [len(held[d][3][c][0]) for d in some])
                 words = np.concatenate([held[d][2][a:z] for d in some for a, z in zip(*(x.tolist() for x in held[d][3][c][:2]))])
-                near: dict[tuple[int, int, int], float] = {}
-                for w, k, cos in of_class.retrieved(words, ends - starts, norm, idf):
-                    key = (int(of[w]), k, w)
-                    near[key] = max(near.get(key, 0.0), cos)
-                for (doc, k, w), cos in near.items():
+                near = list(of_class.retrieved(words, ends - starts, norm, idf))
+                if not near:
+                    continue
+                window, item_at, cosine = (np.concatenate(x) for x in zip(*near))
+                pair, place = np.unique(window * len(items) + item_at, return_inverse=True)
+                most = np.zeros(len(pair), np.float32)
+                np.maximum.at(most, place, cosine)  # of an item's passages
+                window, item_at = np.divmod(pair, len(items))
+                for doc, k, a, z, cos in zip(of[window].tolist(), item_at.tolist(), starts[window].tolist(), ends[window].tolist(), most.tolist()):
                     item, ws = items[k][1], held[doc][1]
-                    lcs, answer = verified(item, counts[k], ws[max(0, int(starts[w]) - len(item)) : int(ends[w]) + len(item)])
+                    lcs, answer = verified(item, counts[k], ws[max(0, a - len(item)) : z + len(item)])
                     if lcs >= SURE or len(item) >= PARAPHRASE and lcs >= LIKELY and answer >= ANSWER:
                         hits[doc, k] = max(hits.get((doc, k), (0.0, 0.0, 0.0)), (lcs, answer, cos))
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
@@ -318,7 +328,8 @@ def _leaks(docs: DataFrame, items: list[tuple[int, list[str]]], id_col: str, tex
                 if not ws:
                     continue
                 at = np.fromiter(map(vocabulary.get, ws, repeat(unknown)), np.int64, len(ws))
-                chosen = [c.windows(at, mass) for c in classes]
+                total = _sums(mass[at])
+                chosen = [c.windows(at, total) for c in classes]
                 if some := sum(len(x[0]) for x in chosen):
                     held.append((doc.as_py(), ws, at, chosen))
                     waiting += some
