@@ -2,13 +2,16 @@
 
 Documents become token pieces of at most ``capacity`` tokens. All that the search needs is how many pieces each length has: at
 most ``capacity`` numbers, whatever the size of the corpus. The search (on the driver) places fillings by the number of times
-that they can be used at once, so its result is bounded too: every step uses up at least one length. Pieces then find their
-place by their rank among the pieces of their length; ranks come from counts by (length, bucket), so a length that a third of
+that they can be used at once, so its result is bounded too: every step uses up at least one length or all the waste that is
+allowed. Pieces then find their place by their rank among the pieces of their length; ranks come from counts by (length, bucket), so a length that a third of
 all pieces share is dealt over many tasks.
 
-Bin completion: the largest piece left opens a bin; its undominated fillings are tried in the order of their waste. A branch is
-left when its waste, or a lower bound of the bins that the rest needs, shows that it can't beat the best packing known. The first
-packing known is best-fit decreasing.
+Bin completion: the largest piece left opens a bin; its undominated fillings are tried in the order of their waste. A filling is
+not made that wastes more than the best packing known allows, and a branch is left when its waste, or a lower bound of the bins
+that the rest needs, shows that it can't beat that packing. The first packing known is best-fit decreasing; at the nodes of the
+search the rest is completed by best fit, and if that is better it becomes the best one known. The search is bounded by nodes, by steps of
+an enumeration and by fillings tried at a node, so it is no proof of optimality unless the bins reach the lower bound; what is
+packed is never cut.
 """
 
 from __future__ import annotations
@@ -198,7 +201,7 @@ def fillings(counts: np.ndarray, room: int, most_waste: int, steps: int, wanted:
 
     more(room, room, [])
     out: list[list[int]] = []
-    for waste, chosen in sorted(found, key=lambda x: (x[0], len(x[1])))[: 4 * wanted]:
+    for waste, chosen in sorted(found, key=lambda x: (x[0], len(x[1])))[: 4 * wanted]:  # an undominated one is among those of least waste
         own = {b: chosen.count(b) for b in chosen}
         free = lambda b: stock[b] > own.get(b, 0)
         ends = sorted(own)
@@ -213,11 +216,11 @@ def fillings(counts: np.ndarray, room: int, most_waste: int, steps: int, wanted:
             out.append(chosen)
         if len(out) >= wanted:
             break
-    return out or [c for _, c in sorted(found, key=lambda x: (x[0], len(x[1])))[:1]]
+    return out
 
 
-def complete(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = 6000, steps: int = 1500, wanted: int = 4) -> list[tuple[Pattern, int]]:
-    """Bin completion: (pattern, bins of that pattern) for all pieces. nodes and steps bound the search, not what is packed."""
+def complete(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = 6000, steps: int = 1500, wanted: int = 4, fits: int = 600) -> list[tuple[Pattern, int]]:
+    """Bin completion: (pattern, bins of that pattern) for all pieces. nodes, steps, wanted and fits (best-fit completions) bound the search, not what is packed."""
     counts = np.asarray(counts, np.int64)
     best = best_fit(counts, capacity)
     bins, bound = sum(n for _, n in best), lower_bound(counts, capacity)
@@ -237,10 +240,18 @@ def complete(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = 6000, st
             spare = (bins - 1) * capacity - total - waste
             if spare < 0 or used + lower_bound(left, capacity) >= bins:
                 continue
+            if taken and fits > 0:  # the rest by best fit
+                fits -= 1
+                rest_fit = best_fit(left, capacity)
+                if (n := used + sum(t for _, t in rest_fit)) < bins:
+                    best, bins = _patterns(path) + rest_fit, n
+                    if bins <= bound:
+                        break
+                    spare = (bins - 1) * capacity - total - waste
             top = int(lengths[-1])
             rest = left.copy()
             rest[top] -= 1
-            tries = iter(fillings(rest, capacity - top, capacity, steps, wanted))
+            tries = iter(fillings(rest, capacity - top, spare, steps, wanted))
         else:
             top = int(np.flatnonzero(left)[-1])
         if (filling := next(tries, None)) is None:
@@ -287,30 +298,36 @@ def _places(plan: list[tuple[Pattern, int]], capacity: int) -> tuple[np.ndarray,
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (doc_id, piece, length from 1 to capacity, any others) with sequence_id and offset (in tokens, gapless from 0 in each sequence).
 
-    Columns of those two names are replaced. Repeated rows are packed as often as they come; ids may be null. No pieces give no rows.
+    Columns of those two names are replaced. Repeated rows are packed as often as they come; ids may be null, many alike. Pieces of one
+    length are told apart by chance, so which of them goes where isn't defined; the number of sequences is. No pieces give no rows.
     """
-    pieces = written(pieces.drop("sequence_id", "offset"))
+    pieces = pieces.drop("sequence_id", "offset")
+    lead = "_" * (1 + max(len(c) for c in pieces.columns))  # no column begins like that
+    dealt, bucket, n, begin, rank = (lead + x for x in ("dealt", "bucket", "n", "begin", "rank"))
+    # dealt by chance and written, so that neither a common id nor repeated rows gather, and every later reading sees the same
+    pieces = written(pieces.withColumn(dealt, F.floor(F.rand() * (1 << 52))))
     buckets = max(64, pieces.count() // 50_000)
-    put = pieces.withColumn("__b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-    counts = written(put.groupBy("length", "__b").agg(F.count(F.lit(1)).alias("__n")))
+    put = pieces.withColumn(bucket, F.pmod(F.col(dealt), F.lit(buckets)))
+    pieces = pieces.drop(dealt)
+    counts = written(put.groupBy("length", bucket).agg(F.count(F.lit(1)).alias(n)))
     hist = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.groupBy("length").agg(F.sum("__n")).collect():  # at most ``capacity`` rows
-        hist[length] = n
+    for length, many in counts.groupBy("length").agg(F.sum(n)).collect():  # at most ``capacity`` rows
+        hist[length] = many
     length_, rank_, each, first, at = _places(complete(hist, capacity), capacity)
-    before = Window.partitionBy("length").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("length", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
-    ranked = put.withColumn("__r", F.row_number().over(Window.partitionBy("length", "__b").orderBy("doc_id", "piece")))
-    ranked = ranked.join(starts, ["length", "__b"]).withColumn("__r", F.col("__from") + F.col("__r") - 1).select(*pieces.columns, "__r")
+    before = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("length", bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(begin))
+    ranked = put.withColumn(rank, F.row_number().over(Window.partitionBy("length", bucket).orderBy(dealt)))
+    ranked = ranked.join(starts, ["length", bucket]).withColumn(rank, F.col(begin) + F.col(rank) - 1).select(*pieces.columns, rank)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = 1 << 48
         keys = length_ * shift + rank_
         for b in batches:
-            length, rank = (b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("length", "__r"))
-            k = np.searchsorted(keys, length * shift + rank, side="right") - 1
-            over = rank - rank_[k]
+            length, at_rank = (b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("length", rank))
+            k = np.searchsorted(keys, length * shift + at_rank, side="right") - 1
+            over = at_rank - rank_[k]
             where = {"sequence_id": first[k] + over // each[k], "offset": at[k] + over % each[k] * length}
-            kept = [i for i, f in enumerate(b.schema) if f.name != "__r"]
+            kept = [i for i, f in enumerate(b.schema) if f.name != rank]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), *map(pa.array, where.values())], names=[*(b.schema.field(i).name for i in kept), *where])
 
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")

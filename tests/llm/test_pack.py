@@ -68,3 +68,35 @@ def test_clashes_and_empty(docs, empty):
     again = P.pack(P.token_pieces(docs, ids=False).withColumns({"offset": F.lit("x"), "sequence_id": F.lit(1)}))
     assert again.schema["offset"].dataType.simpleString() == "bigint"
     assert again.count() == P.token_pieces(docs, ids=False).count()
+
+
+def test_search_beats_best_fit_at_the_capacity():
+    """Full bins cut into two to four pieces: best fit needs one bin more, the search finds the cut."""
+    rng = np.random.default_rng(3)
+    for bins in (40, 80, 120):
+        counts = np.zeros(2049, int)
+        for _ in range(bins):
+            cuts = np.sort(rng.choice(np.arange(150, 1900), rng.integers(2, 5) - 1, replace=False))
+            counts += np.bincount(np.diff([0, *cuts, 2048]), minlength=2049)
+        plan, fit = P.complete(counts, 2048), P.best_fit(counts, 2048)
+        back = np.zeros(2049, int)
+        for pattern, times in plan:
+            assert sum(a * n for a, n in pattern) <= 2048
+            for a, n in pattern:
+                back[a] += n * times
+        assert (back == counts).all()
+        assert sum(t for _, t in plan) == bins < sum(t for _, t in fit)
+
+
+def test_any_column_names_null_ids_and_one_very_long_text(spark):
+    docs = spark.createDataFrame([(None, "a word or two")] * 50 + [(7, "word and word " * 40_000)], "doc_id long, text string")
+    names = ["__b", "__n", "__from", "__r", "_dealt", "rank"]
+    pieces = P.token_pieces(docs, ids=False).withColumns({k: F.lit(1) for k in names})
+    got = P.pack(pieces).collect()
+    assert len(got) == pieces.count() and set(names) <= set(got[0].asDict())
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in bins.values():
+        ends = np.cumsum([n for _, n in sorted(places)])
+        assert [o for o, _ in sorted(places)] == [0, *ends[:-1]] and ends[-1] <= 2048
