@@ -1,17 +1,20 @@
 """Personal data by weak supervision.
 
 Four kinds (email, ip, card, phone) have exact base patterns; their spans always stay. Further candidates come from wider
-patterns: numbers written like phones or cards, spelled-out addresses and identity numbers. On every span, base or not, three labelers vote yes, no or nothing: a format labeler (strict regular expressions and checksums), a gazetteer
-labeler (domains, issuer and country prefixes, placeholder values) and a context labeler (words around the span). Expectation-
-maximisation over the counts of vote patterns estimates each labeler's reliability for each kind, without labels. The posteriors
-then train the final span classifier, a logistic regression over votes and shape. Votes and shapes are a bounded code, so both
-fits work on grouped counts of all spans of the corpus, whatever its size. A candidate that the classifier accepts is added.
+patterns: numbers written like phones or cards, spelled-out addresses and identity numbers. On every span, base or not, three
+labelers vote yes, no or nothing: a format labeler (strict regular expressions and checksums), a gazetteer labeler (domains, issuer,
+area and country prefixes, placeholder values) and a context labeler (words around the span). Expectation-maximisation over the
+counts of vote patterns estimates, without labels, each labeler's reliability for each kind, and how many of the kind's base spans
+and of its candidates are real. The posteriors then train the final span classifier, a logistic regression over the votes, the shape
+and the word before the span (hashed), and it alone decides: a candidate that it accepts is added. All that it sees is a bounded
+code, so both fits work on grouped counts of all spans of the corpus, whatever its size.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +27,9 @@ from .runs import read, texts, with_columns
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "id")
 LABELERS = 3
-#: The number of codes. A span's code: kind, a vote (0 no, 1 none, 2 yes) of each labeler, shape (three bits).
-CODES = len(KINDS) * 3**LABELERS * 8
+WORDS = 33
+#: The number of codes. A span's code: kind, a vote (0 no, 1 none, 2 yes) of each labeler, shape (three bits), word before (0: none).
+CODES = len(KINDS) * 3**LABELERS * 8 * WORDS
 
 _DIGITS = re.compile(r"[0-9]+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -33,11 +37,18 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)| dot |\.) ?[A-Za-z0-9-]{1,63}){1,4}", re.I)
 _NUMBER = re.compile(r"\(?[0-9][0-9().\x20-]*[0-9]")
-_ID = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?")
+#: Within a run of numbers that is no phone or card as a whole.
+_WITHIN = re.compile(r"(?<![0-9])(?:(\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4})|([0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,16}))(?![0-9])")
+_ID = re.compile(r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![0-9A-Za-z-])")
+_WORD = re.compile(r"(\w+)\W*$")
 _BEFORE, _AFTER = 32, 12
 #: Gazetteers: top-level domains, domains for examples, card issuer prefixes, country calling codes.
 TLDS = frozenset("com org net edu gov mil int info biz io dev app co ai me eu uk de fr es it nl be ch at pl pt se no fi dk ie cz ru ua cn jp kr in br mx ar cl ca us au nz za tr gr ro hu".split())
-ISSUERS = ("4", "51", "52", "53", "54", "55", "2221", "2720", "34", "37", "6011", "65", "35", "30", "36", "38")
+ISSUERS = ("4", "51", "52", "53", "54", "55", *map(str, range(2221, 2721)), "34", "37", "6011", "65", "35", "30", "36", "38")
+IBAN_COUNTRIES = frozenset("AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LI LT LU LV MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SE SI SK SM TN TR UA VA XK".split())
+#: Addresses that stand for none or for examples, and those of private networks.
+_NO_HOST = re.compile(r"0\.|127\.|255\.255\.255\.255|192\.0\.2\.|198\.51\.100\.|203\.0\.113\.")
+_PRIVATE = re.compile(r"10\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.")
 CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "351", "352", "353", "358", "380", "420")
 CONTEXT = {
     "email": re.compile(r"e-?mail|contact|write|reach|courriel|correo|kontakt|@", re.I),
@@ -108,10 +119,12 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
             digits = "".join(filter(str.isdigit, m[0]))
             if 7 <= len(digits) < 12 or 12 <= len(digits) <= 19 and luhn(digits):
                 found.append(("phone" if len(digits) < 12 else "card", *m.span()))
+            elif len(digits) >= 12:
+                found += [("phone" if x[1] else "card", *x.span()) for x in _WITHIN.finditer(text, *m.span()) if x[1] or luhn("".join(filter(str.isdigit, x[0])))]
     out: list[tuple[str, int, int]] = []
     taken = sorted((a, b) for _, a, b in base)
     k, end = 0, 0
-    for kind, a, b in sorted(found, key=lambda s: (s[1], -s[2], KINDS.index(s[0]))):
+    for kind, a, b in sorted(found, key=lambda s: (s[1], -s[2], s[0] != "id", KINDS.index(s[0]))):  # an identity number's form is the strictest
         while k < len(taken) and taken[k][1] <= a:
             k += 1
         if a >= end and not (k < len(taken) and taken[k][0] < b):
@@ -130,18 +143,23 @@ def code(text: str, kind: str, start: int, end: int, base: bool) -> int:
         last = re.split(r"[.\s\])]+", s.rstrip("])"))[-1].lower()
         listed = 2 if last in TLDS else 0
     elif kind == "ip":
-        form, listed = (2 if all(p == "0" or p[0] != "0" for p in s.split(".")) else 0), (0 if s in ("127.0.0.1", "0.0.0.0") else 1)
+        form, listed = (2 if all(p == "0" or p[0] != "0" for p in s.split(".")) else 0), (0 if _NO_HOST.match(s) else 2 if _PRIVATE.match(s) else 1)
     elif kind == "card":
         form, listed = 2 if base or len(digits) in (13, 15, 16) else 0, (2 if digits.startswith(ISSUERS) else 1)
     elif kind == "phone":
         form = 2 if base or re.fullmatch(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", s) else 0
-        listed = 2 if base and digits.startswith(CALLING) else 1
+        area = len(digits) == 10 and digits[0] > "1" and digits[3] > "1"  # an area and an exchange of the North American plan
+        listed = (2 if digits.startswith(CALLING) else 1) if base else 2 if area else 1
     else:
         form, listed = (2 if re.fullmatch(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}", s) or _iban(s) else 0), 1
+        if s[0].isalpha():
+            listed = 2 if s[:2] in IBAN_COUNTRIES else 0
     context = 2 if CONTEXT[kind].search(before) else 0 if _VERSION.search(before) else 1
     clean = not (before[-1:].isalnum() or after[:1].isalnum())
     shape = base + 2 * clean + 4 * (len(set(digits)) > 2 if kind != "email" else "." in s)
-    return (((KINDS.index(kind) * 3 + form) * 3 + listed) * 3 + context) * 8 + shape
+    word = _WORD.search(before)
+    word = 1 + zlib.crc32(word[1].lower().encode("utf-8", "surrogatepass")) % (WORDS - 1) if word else 0
+    return ((((KINDS.index(kind) * 3 + form) * 3 + listed) * 3 + context) * 8 + shape) * WORDS + word
 
 
 def _iban(s: str) -> bool:
@@ -149,41 +167,50 @@ def _iban(s: str) -> bool:
     return 15 <= len(s) <= 34 and s[:2].isalpha() and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _parts(c: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Kinds, votes of the format, gazetteer and context labelers, shapes, words."""
+    rest = c // WORDS // 8
+    return rest // 3**LABELERS, [rest // 3**k % 3 for k in reversed(range(LABELERS))], c // WORDS % 8, c % WORDS
+
+
 def _features(c: np.ndarray) -> np.ndarray:
-    """One-hot kinds and votes, shape bits and a constant."""
-    shape, rest = c % 8, c // 8
-    votes = [rest // 3**k % 3 for k in range(LABELERS)]
-    kind = rest // 3**LABELERS
-    return np.column_stack([*(kind == k for k in range(len(KINDS))), *(v == x for v in votes for x in (0, 2)), *(shape >> k & 1 for k in range(3))]).astype(float)
-
-
-def fit(counts: np.ndarray, rounds: int = 50, decision: float = 0.5) -> np.ndarray:
-    """Which codes the span classifier accepts, from the number of spans of each code."""
-    c = np.arange(CODES)
-    kind, votes = c // 8 // 3**LABELERS, np.array([c // 8 // 3**k % 3 for k in range(LABELERS)])
-    posterior = np.full(CODES, 0.5)
-    for k in range(len(KINDS)):  # expectation-maximisation, apart for each kind
+    """One-hot kinds, votes and words, and shape bits."""
+    kind, votes, shape, word = _parts(c)
+    return np.column_stack([*(kind == k for k in range(len(KINDS))), *(v == x for v in votes for x in (0, 2)), *(shape >> k & 1 for k in range(3)), *(word == k for k in range(1, WORDS))]).astype(float)
+
+
+def posteriors(counts: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """How likely a span of each code is real: expectation-maximisation over the votes, apart for each kind."""
+    kind, votes, shape, _ = _parts(np.arange(CODES))
+    out = np.full(CODES, 0.5)
+    for k in range(len(KINDS)):
         own = kind == k
-        n, v = counts[own], votes[:, own]
-        prior, right = 0.5, np.full((LABELERS, 2), 0.8)  # P(vote says yes | is), P(vote says no | isn't), given that it votes
+        n, v, base = counts[own], [x[own] for x in votes], shape[own] & 1
+        prior, right = np.array([0.5, 0.5]), np.full((LABELERS, 2), 0.8)  # of candidates and of base spans; P(vote says yes | is), P(vote says no | isn't), given that it votes
         for _ in range(rounds):
-            yes = np.log(prior) + sum(np.where(x == 2, np.log(r[0]), np.where(x == 0, np.log(1 - r[0]), 0)) for x, r in zip(v, right))
-            no = np.log(1 - prior) + sum(np.where(x == 0, np.log(r[1]), np.where(x == 2, np.log(1 - r[1]), 0)) for x, r in zip(v, right))
+            yes = np.log(prior)[base] + sum(np.where(x == 2, np.log(r[0]), np.where(x == 0, np.log(1 - r[0]), 0)) for x, r in zip(v, right))
+            no = np.log(1 - prior)[base] + sum(np.where(x == 0, np.log(r[1]), np.where(x == 2, np.log(1 - r[1]), 0)) for x, r in zip(v, right))
             p = 1 / (1 + np.exp(np.clip(no - yes, -50, 50)))
-            prior = float(np.clip(((n * p).sum() + 2) / (n.sum() + 4), 0.02, 0.98))
+            for b in (0, 1):  # candidates are real in one of three cases as far as is known beforehand, base spans in two
+                prior[b] = np.clip(((n * p)[base == b].sum() + 2 * (1 + b)) / (n[base == b].sum() + 6), 0.02, 0.98)
             for j, x in enumerate(v):  # each with the weight of a prior belief of 0.8
                 right[j] = [((n * p)[x == 2].sum() + 8) / ((n * p)[x != 1].sum() + 10), ((n * (1 - p))[x == 0].sum() + 8) / ((n * (1 - p))[x != 1].sum() + 10)]
             right = np.clip(right, 0.5, 0.99)
-        posterior[own] = p
-    x, w = _features(c), np.zeros(_features(c[:1]).shape[1])
-    weight = counts / max(1.0, counts.sum())
+        out[own] = p
+    return out
+
+
+def fit(counts: np.ndarray, decision: float = 0.5) -> np.ndarray:
+    """Which codes the span classifier accepts, from the number of spans of each code. Without candidates none."""
+    posterior = posteriors(counts)
+    c = np.flatnonzero((counts > 0) & (np.arange(CODES) // WORDS % 2 == 0))  # candidates' codes
+    x, weight = _features(c), counts[c] / max(1.0, counts[c].sum())
+    w = np.zeros(x.shape[1])
     for _ in range(30):  # Newton steps with a ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (p - posterior)) + 1e-4 * w
+        grad = x.T @ (weight * (p - posterior[c])) + 1e-4 * w
         w -= np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(len(w)), grad)
-    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-    some = (votes[2] == 2) | (votes[0] == 2) & (votes[1] > 0)  # a labeler's yes is needed: of format, or of context if the gazetteer doesn't object
-    return (p >= decision) & (posterior >= decision) & some
+    return 1 / (1 + np.exp(-np.clip(_features(np.arange(CODES)) @ w, -30, 30))) > decision
 
 
 def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
