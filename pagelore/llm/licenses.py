@@ -3,8 +3,9 @@
 Words are lower-cased runs of letters and digits; shingles are five words (for a shorter template, as many as it has). A template
 with n shingles belongs to the class of the power of two N with N/2 < n <= N. For that class, every text is covered by windows of
 three blocks of S = max(1, N/2) shingles, one window starting at each block, so any run of N shingles lies in one window, and a
-template that is there has a Jaccard similarity of at least 1/3 with it. Each of ``bands`` bands is one MinHash value, so a template
-is missed with a probability of at most (2/3)^bands: 0.006 % at 24 bands. Block minima of a class are minima of two blocks of
+template that is there has a Jaccard similarity of at least 1/3 with it. Each of ``bands`` bands is one MinHash value, so a whole
+copy is missed with a probability of at most (2/3)^bands, 0.006 % at 24 bands. A copy with 0.8 of a template's shingles has a similarity
+of at least 0.8 / 3.2 (the window's other shingles being foreign), so at the edge of what counts at most 0.1 % is missed. Block minima of a class are minima of two blocks of
 the class below, so all classes together cost twice the first.
 
 A retrieved template counts if the window, with half a template on either side, holds at least 0.8 of its shingles.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -117,8 +119,8 @@ class Index:
         return found
 
     def matches(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, int, float]]:
-        """(text, template, first word, end word, containment) for texts as word hashes: the best window of each text and template."""
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        """(text, template, first word, end word, containment) of every occurrence, for texts as word hashes; occurrences of one template don't overlap."""
+        spans: dict[tuple[int, int], set[tuple[float, int, int]]] = {}
         overlap = 3 * max((len(x) for x in self.sets), default=1)
         for size in self.classes:
             each = [shingles(words, size) for words in docs]
@@ -132,17 +134,51 @@ class Index:
                     begin = int(ends[doc]) - len(each[doc])
                     lo, hi = max(begin, a - len(own) // 2), min(int(ends[doc]), b + len(own) // 2)
                     inside = np.flatnonzero(np.isin(hashes[lo:hi], own))
-                    share = len(np.unique(hashes[lo:hi][inside])) / len(own)
-                    if share >= CONTAINED and share > best.get((doc, k), (0.0, 0, 0))[0]:
-                        best[doc, k] = (share, lo - begin + int(inside[0]), lo - begin + int(inside[-1]) + size)
-        return [(doc, k, a, b, share) for (doc, k), (share, a, b) in sorted(best.items())]
+                    there = hashes[lo:hi][inside].tolist()
+                    share = len(set(there)) / len(own)
+                    if share >= CONTAINED:
+                        first, last = _shortest(there, inside.tolist())
+                        spans.setdefault((doc, k), set()).add((share, lo - begin + first, lo - begin + last + size))
+        out = []
+        for (doc, k), seen in sorted(spans.items()):
+            kept: list[tuple[int, int, float]] = []
+            for share, a, z in sorted(seen, key=lambda x: (-x[0], x[2] - x[1], x[1])):  # the fullest first, of those the shortest, then the first
+                if all(z <= x or a >= y for x, y, _ in kept):
+                    kept.append((a, z, share))
+            out += [(doc, k, a, z, share) for a, z, share in sorted(kept)]
+        return out
+
+    def winners(self, found: list[tuple[int, int, int, int, float]]) -> list[tuple[int, int, int, int, float]]:
+        """Without matches that lie, by at least CONTAINED of their words, in a match of another template with more of its shingles there (of equal ones: with more containment, then the first template)."""
+        out, weight = [], lambda m: (m[4] * len(self.sets[m[1]]), m[4], -m[1])
+        for _, group in groupby(found, key=lambda m: m[0]):
+            group = list(group)
+            for m in group:
+                if not any(o[1] != m[1] and min(o[3], m[3]) - max(o[2], m[2]) >= CONTAINED * (m[3] - m[2]) and weight(o) > weight(m) for o in group):
+                    out.append(m)
+        return out
+
+
+def _shortest(items: list[int], at: list[int]) -> tuple[int, int]:
+    """First and last place of the shortest stretch that has all distinct items."""
+    wanted, counts, begin, best = len(set(items)), {}, 0, (at[0], at[-1])
+    for k, item in enumerate(items):
+        counts[item] = counts.get(item, 0) + 1
+        while counts[items[begin]] > 1:
+            counts[items[begin]] -= 1
+            begin += 1
+        if len(counts) == wanted and at[k] - at[begin] < best[1] - best[0]:
+            best = (at[begin], at[k])
+    return best
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS) -> DataFrame:
-    """(doc_id, license, template int, start long, end long, containment double): a row for each document and template that it holds.
+    """(doc_id, license, template int, start long, end long, containment double): a row for each occurrence of a template in a document.
 
-    start and end are code points of the text around the matching shingles. Null and empty texts hold nothing; repeated rows are
-    each scanned; templates without words are ignored. ``templates``: (name, text); the bundled ones by default.
+    start and end are code points of the text around the matching shingles. A match inside one of another template with more shingles
+    there is left out, so a licence that quotes another counts once (``Index.winners``, with its ties). Null and empty texts hold
+    nothing; repeated rows and rows with a null id are each scanned; very long texts are taken in overlapping blocks; other columns are
+    ignored; templates without words are, too. An empty table gives no rows. ``templates``: (name, text); the bundled ones by default.
     """
     templates = TEMPLATES if templates is None else templates
 
@@ -152,7 +188,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col
 
         def out(held: list[tuple[int | None, str, np.ndarray]]) -> pa.RecordBatch:
             rows: list[list] = [[], [], [], [], [], []]
-            for at, k, a, z, share in index.matches([words for _, _, words in held]):
+            for at, k, a, z, share in index.winners(index.matches([words for _, _, words in held])):
                 doc, text, _ = held[at]
                 spans = _spans(text)
                 for column, value in zip(rows, (doc, index.names[k], k, spans[a][0], spans[z - 1][1], share)):

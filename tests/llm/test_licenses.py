@@ -50,3 +50,36 @@ def test_blocks(monkeypatch):
 
 def test_empty(empty):
     assert L.scan(empty).count() == 0 and L.scan(empty, []).count() == 0
+
+
+def test_every_occurrence_and_nested_licences(spark):
+    by = {n: k for k, (n, t) in enumerate(L.TEMPLATES) if len(t) > 400}
+    bsd2, bsd3, mit = (L.TEMPLATES[by[n]][1] for n in ("BSD-2-Clause", "BSD-3-Clause", "MIT"))
+    filler = " ".join(f"word{i}" for i in range(90))
+    rows = [(1, f"{mit} {filler} {mit}"), (2, bsd3), (3, bsd2), (4, f"{bsd3} {filler} {bsd2}"), (5, f"{mit} {mit} {mit}"), (None, mit), (6, mit), (6, mit)]
+    got = L.scan(spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, containment double")).collect()
+    names = {}
+    for x in sorted(got, key=lambda x: x.start):
+        names.setdefault(x.doc_id, []).append(x.license)
+    assert names == {1: ["MIT"] * 2, 2: ["BSD-3-Clause"], 3: ["BSD-2-Clause"], 4: ["BSD-3-Clause", "BSD-2-Clause"], 5: ["MIT"] * 3, None: ["MIT"], 6: ["MIT"] * 2}
+    spans = sorted((x.start, x.end) for x in got if x.doc_id == 1)
+    assert spans[0][1] <= len(mit) and spans[1][0] >= len(mit) + len(filler)
+
+
+def test_recall_at_the_least_containment():
+    """Copies with words replaced so that 0.8 to 0.9 of the shingles are left."""
+    r = random.Random(9)
+    templates = [(str(k), " ".join(f"{r.choice('abcdefgh')}{r.randint(0, 99)}" for _ in range(n))) for k, n in enumerate([30, 60, 150, 400] * 10)]
+    index, hashes = L.Index(templates), L.WordHashes()
+    found = wanted = 0
+    for k, (_, text) in enumerate(templates):
+        for _ in range(5):
+            ws = text.split()
+            for at in range(r.randint(0, 20), len(ws), 34):
+                ws[at] = "other"
+            noise = [f"x{r.randint(0, 999)}" for _ in range(120)]
+            doc = hashes.of(" ".join([*noise[:60], *ws, *noise[60:]]))
+            if np.isin(index.sets[k], L.shingles(doc, 5)).mean() >= L.CONTAINED:
+                wanted += 1
+                found += any(m[1] == k for m in index.matches([doc]))
+    assert wanted > 100 and found >= 0.99 * wanted
