@@ -4,10 +4,9 @@ Evidence: a logistic regression over features of the text, fitted on a bounded s
 probability. Sites: a host's posterior is a beta posterior around the global prior, a path's one around its host's. The strength of
 each prior is estimated by the method of moments from all labelled rates one level down, so sparse hosts and paths shrink towards
 the level above. Documents without a label count in their site with their probability at the weight ``soft``. Last, a document's
-log-odds are moved by what its path's posterior differs from the global rate.
+log-odds are moved by what its path's posterior, without the document's own label or probability, differs from the global rate.
 
-Sites are aggregated by grouped sums with partial aggregation; their posteriors are joined back by key, and Spark broadcasts them
-only if their size allows it.
+Sites are aggregated by grouped sums with partial aggregation and joined back by key, the rows of a large site dealt over tasks.
 """
 
 from __future__ import annotations
@@ -20,12 +19,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runs import read, with_columns
+from .runs import read, spread_join, with_columns
 from .store import written
 
 _SYMBOLS = re.compile(r"[^\w\s.,;:'\"?!()-]|_")
 _MARKS = re.compile(r"[!?]{2,}")
-FEATURES = 13
+_DIGITS = re.compile(r"[0-9]+")
+FEATURES = 14
 
 
 def features(text: str) -> list[float]:
@@ -51,6 +51,7 @@ def features(text: str) -> list[float]:
         min(1.0, sum(map(len, words)) / n / 20),
         words.count("|") / n,
         sum(w[-1:] in ".!?" for w in words) / n,
+        sum(map(len, _DIGITS.findall(text))) / chars,
     ]
 
 
@@ -79,9 +80,11 @@ def _strength(groups: DataFrame, rate: str, parent: str) -> float:
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000, soft: float = 0.1, threshold: float = 0.5) -> DataFrame:
     """(doc_id, host, path, evidence, host_posterior, path_posterior, quality, keep) of every row of ``docs``.
 
-    evidence: the text classifier's probability; quality: with the site's posterior; keep: quality >= threshold. Null and empty
-    texts have the features of an empty text; null hosts and paths are groups of their own, named ''. A document with several
-    labels counts once, with their mean; labels of unknown documents, and null ones, don't count. Without labels all is 0.5 and kept.
+    evidence: the text classifier's probability; host_posterior, path_posterior: of the whole sites; quality: evidence with what the
+    path's other documents say; keep: quality >= threshold, ties kept. Null and empty texts have the features of an empty text; null
+    hosts and paths are groups of their own, named ''. A document with several labels counts once, with their mean; labels of unknown
+    documents, and null ones, don't count. Rows that repeat an id each have its label; a null id has none. Other columns are ignored.
+    Without labels all is 0.5 and kept; an empty table gives no rows. Texts are read whole.
     """
     here = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"))
 
@@ -90,7 +93,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
 
     table = with_columns(here, "text", make, "x array<double>", ["doc_id", "host", "path"])
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("__y")).where("doc_id is not null and __y is not null").groupBy("doc_id").agg(F.avg("__y").alias("y"))
-    table = written(table.join(known, "doc_id", "left"))
+    # a null id meets no label, so such rows are dealt over tasks
+    spread = F.when(F.col("doc_id").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(4096))).otherwise(0)
+    table = written(table.withColumn("__spread", spread).join(known.withColumn("__spread", F.lit(0).cast("long")), ["doc_id", "__spread"], "left").drop("__spread"))
     labelled = table.where("y is not null")
     n, positive = labelled.agg(F.count(F.lit(1)), F.sum("y")).first()
     if n:
@@ -104,21 +109,30 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
     odds = sum((F.col("x")[k] * float(v) for k, v in enumerate(w)), F.lit(0.0))
     table = table.withColumn("evidence", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds)))))
     unlabelled = F.col("y").isNull()
-    sums = [F.count("y").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("y"), F.sum(unlabelled.cast("long")).alias("m"), F.coalesce(F.sum(F.when(unlabelled, F.col("evidence"))), F.lit(0.0)).alias("e")]
-    paths = written(table.groupBy("host", "path").agg(*sums))
-    hosts = paths.groupBy("host").agg(*(F.sum(k).alias(k) for k in ("n", "y", "m", "e")))
-
-    def posterior(mean: Column, strength: float) -> Column:
-        return (F.col("y") + soft * F.col("e") + mean * strength) / (F.col("n") + soft * F.col("m") + strength)
-
-    hosts = hosts.withColumn("base", F.lit(base))
-    hosts = written(hosts.withColumn("host_posterior", posterior(F.col("base"), _strength(hosts, "y", "base"))).select("host", "host_posterior"))
-    paths = paths.join(hosts, "host")
-    paths = paths.withColumn("path_posterior", posterior(F.col("host_posterior"), _strength(paths, "y", "host_posterior"))).select("host", "path", "host_posterior", "path_posterior")
+    sums = [F.count("y").alias("labelled"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("good"), F.sum(unlabelled.cast("long")).alias("rest"), F.coalesce(F.sum(F.when(unlabelled, F.col("evidence"))), F.lit(0.0)).alias("likely")]
+    table = table.withColumn("site", F.struct("host", "path"))
+    paths = written(table.groupBy("site").agg(F.count(F.lit(1)).alias("n"), *sums))
+    hosts = paths.groupBy(F.col("site.host").alias("host")).agg(*(F.sum(k).alias(k) for k in ("labelled", "good", "rest", "likely"))).withColumn("base", F.lit(base))
+    of_host = _strength(hosts.select(F.col("labelled").alias("n"), F.col("good").alias("y"), "base"), "y", "base")
+
+    def posterior(at: str, mean: Column, strength: float, without: bool = False) -> Column:
+        """Of the site ``at``, all of it or without the row's own share."""
+        good, likely, n, m = (F.col(f"{at}.{k}") for k in ("good", "likely", "labelled", "rest"))
+        if without:
+            good, n = good - F.coalesce("y", F.lit(0.0)), n - F.col("y").isNotNull().cast("int")
+            likely, m = likely - F.when(unlabelled, F.col("evidence")).otherwise(0.0), m - unlabelled.cast("int")
+        return (good + soft * likely + mean * strength) / (n + soft * m + strength)
+
+    kept = ("labelled", "good", "rest", "likely")
+    both = paths.withColumn("host", F.col("site.host")).join(hosts.select("host", F.struct(*kept).alias("of_host")), "host")
+    both = written(both.select("site", "n", F.struct(*kept).alias("of_path"), "of_host").withColumn("host_posterior", posterior("of_host", F.lit(base), of_host)))
+    of_path = _strength(both.select(F.col("of_path.labelled").alias("n"), F.col("of_path.good").alias("y"), "host_posterior"), "y", "host_posterior")
+    both = both.withColumn("path_posterior", posterior("of_path", F.col("host_posterior"), of_path))
     logit = lambda p: F.ln(p / (1 - p))
-    inside = F.least(F.lit(0.999), F.greatest(F.lit(0.001), F.col("path_posterior")))
+    others = posterior("of_path", posterior("of_host", F.lit(base), of_host, True), of_path, True)
+    inside = F.least(F.lit(0.999), F.greatest(F.lit(0.001), others))
     moved = logit(F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), F.col("evidence")))) + logit(inside) - float(np.log(base / (1 - base)))
-    out = table.drop("x", "y").join(paths, ["host", "path"]).withColumn("quality", 1 / (1 + F.exp(-moved)))
+    out = spread_join(table, both, "site").withColumn("quality", 1 / (1 + F.exp(-moved)))
     return out.withColumn("keep", F.col("quality") >= threshold).select("doc_id", "host", "path", "evidence", "host_posterior", "path_posterior", "quality", "keep")
 
 

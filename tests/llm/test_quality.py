@@ -35,3 +35,45 @@ def test_sparse_sites_shrink(spark):
     labels = spark.createDataFrame([(i, int(i % 10 > 1)) for i in range(1000)] + [(2000, 0)], "doc_id long, quality int")
     got = {r.host: r.host_posterior for r in classify(docs, labels, F.col("source"), F.lit("")).select("host", "host_posterior").distinct().collect()}
     assert got["h0"] < 0.1 and got["h5"] > 0.9 and got["h0"] + 0.1 < got["lone"] < 0.8
+
+
+def auc(pairs):
+    good, bad = ([s for s, y in pairs if y == k] for k in (1, 0))
+    return sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad))
+
+
+def test_held_out_documents(spark):
+    """Labels of half the documents rank the other half; sites add to the text's evidence, and digits are seen."""
+    import random
+
+    r = random.Random(4)
+    words = "the river and old stone house by a light winter morning in market".split()
+    rows, truth = [], {}
+    for i in range(800):
+        host = i % 20
+        good = r.random() < (0.9 if host < 10 else 0.2)
+        noise = 0.02 if good else r.choice((0.03, 0.3))
+        text = " ".join(str(r.randint(0, 9999)) if r.random() < noise else r.choice(words) for _ in range(60))
+        rows.append((i, text, f"h{host}", "x"))
+        truth[i] = int(good)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, evidence string")
+    known = [(i, y) for i, y in truth.items() if i // 20 % 2]
+    got = classify(docs, spark.createDataFrame(known, "doc_id long, quality int"), F.col("host"), F.col("evidence")).collect()
+    unseen = [x for x in got if x.doc_id // 20 % 2 == 0]
+    text_alone, whole = (auc([(x[c], truth[x.doc_id]) for x in unseen]) for c in ("evidence", "quality"))
+    assert text_alone > 0.65 and whole > 0.85 and whole > text_alone
+
+
+def test_own_label_is_left_out(spark):
+    """Two alike documents of sites of their own: what one's label is doesn't move its own quality."""
+    rows = [(i, "plain words of a text", f"h{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    got = {round(x.quality, 9) for x in classify(docs, labels, F.col("host"), F.lit("")).collect()}
+    assert len(got) == 1
+
+
+def test_ties_long_texts_and_repeated_rows(spark):
+    rows = [(1, "word " * 200_000, "a")] * 2 + [(None, None, None)] * 3
+    got = classify(spark.createDataFrame(rows, "doc_id long, text string, host string"), spark.createDataFrame([(1, 1), (1, 0)], "doc_id long, quality int"), F.col("host"), F.col("host")).collect()
+    assert len(got) == 5 and all(0 <= x.quality <= 1 for x in got)
