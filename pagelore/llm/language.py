@@ -1,7 +1,7 @@
 """Language identification: TF-IDF vectors of byte n-grams, nearest of several centroids per language by cosine, with rejection.
 
 Document frequencies are counted over all training rows. Centroids are fitted by spherical k-means on a bounded sample: at most
-about ``sample`` training rows in all, dealt evenly over the languages and chosen by a hash of the text.
+``sample`` distinct training texts in all (but 20 of each language), dealt evenly over the languages: those with the smallest hashes.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .runs import read, texts, with_columns
 
 DIMS, ORDERS, BLOCK = 8192, (2, 3), 1 << 20
-#: A text is rejected under this share of the lowest cosine that a sampled text of its language has.
-REJECT = 0.25
+#: A text is rejected under this share of the cosine that all but a few (LOW of them) of its language's sampled texts reach.
+REJECT, LOW = 0.2, 0.01
 _KEEP = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -76,32 +76,37 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", clust
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["bin", "n"])
 
     seen = dict(rows.select("text").mapInArrow(frequencies, "bin long, n long").groupBy("bin").agg(F.sum("n")).collect())  # at most DIMS + 1 rows
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 40)))
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h")).collect()}  # a row for each language: less than the model has
     if not sizes:
         return Model()
     df = np.array([seen.get(i, 0) for i in range(DIMS)])
     idf = (np.log((1 + seen[-1]) / (1 + df)) + 1).astype(np.float32)
     most = max(20, sample // len(sizes))
-    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(most / n)) for k, n in sizes.items()))
+    spark = rows.sparkSession
+    # twice as many as wanted, so that an approximate count leaves enough; copies of a text count once
+    under = spark.createDataFrame([(k, int(min(1.0, 2 * most / max(1, n)) * (1 << 40))) for k, n in sizes.items()], "lang string, under long")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data = [np.minimum(ngram_counts(t), 60_000).astype(np.uint16).tobytes() for t in texts(b.column(0))]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(data, pa.binary())], names=["lang", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(data, pa.binary())], names=["lang", "h", "v"])
 
-    chosen = rows.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) < share * (1 << 30))
-    got = chosen.mapInArrow(counted, "lang string, v binary").collect()
+    chosen = rows.join(F.broadcast(under), "lang").where("h < under").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    got: dict[str, list[tuple[int, bytes]]] = {}
+    for lang, h, v in chosen.select("text", "lang", "h").mapInArrow(counted, "lang string, h long, v binary").collect():  # about 2 * most for each language
+        got.setdefault(lang, []).append((h, v))
     model = Model(idf=idf)
     centroids = []
     for lang in sorted(sizes):
-        mine = [np.frombuffer(v, np.uint16) for k, v in got if k == lang]
+        mine = [np.frombuffer(v, np.uint16) for _, v in sorted(got.get(lang, []))[:most]]
         x = _vectors(np.array(mine), idf) if mine else np.zeros((0, DIMS), np.float32)
         x = x[np.linalg.norm(x, axis=1) > 0.5]
         if len(x):
             c = kmeans(x, clusters)
             centroids.append(c)
             model.langs += [lang] * len(c)
-            model.least = np.append(model.least, np.full(len(c), REJECT * (x @ c.T).max(axis=1).min(), np.float32))
+            model.least = np.append(model.least, np.full(len(c), REJECT * np.quantile((x @ c.T).max(axis=1), LOW, method="higher"), np.float32))
     model.centroids = np.concatenate(centroids).astype(np.float32) if centroids else model.centroids
     return model
 
@@ -111,6 +116,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
 
     ``und``, score 0 and rejected: a null text, one without a letter, or no language learned. Any other text gets the nearest
     centroid's language, and is rejected if the cosine is under that language's least. Ties go to the first language by name.
+    Rows that repeat are each judged, alike; columns with the new ones' names give way; an empty table gives no rows.
     """
 
     def make():

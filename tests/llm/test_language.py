@@ -38,3 +38,12 @@ def test_nothing_learned(docs, empty):
 def test_held_out_is_never_learned(docs):
     kept = docs.where(~L.held_out()).where("doc_id is not null")
     assert kept.where(F.crc32(F.col("doc_id").cast("string")) % 4 == 2).count() == 0
+
+
+def test_a_language_of_copies_is_learned(spark, docs):
+    """Most rows of a language are copies of one text; it is in the model all the same, and the sample stays small."""
+    copies = spark.range(3000).selectExpr("id + 10000 as doc_id", "'kala vesi puu talo ilta' as text", "'fi' as lang", "'s' as source", "cast(null as long) as n_chars")
+    model = L.learned(docs.union(copies))
+    assert set(model.langs) == {"de", "en", "fi"} and model.langs.count("fi") == 1
+    got = L.identify(spark.createDataFrame([(1, "kala vesi puu"), (1, "kala vesi puu"), (2, "the stone house")], "doc_id long, text string"), model).collect()
+    assert sorted((x.doc_id, x.lang_pred) for x in got) == [(1, "fi"), (1, "fi"), (2, "en")]
