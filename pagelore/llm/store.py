@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import time
@@ -15,10 +16,12 @@ _own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """Where tables go. The session's setting counts; only where it is unset (tests, one machine) a temporary folder is made and removed at exit."""
+    """Where tables go: the folder that the session names. Only a session on one machine may leave it unset, as in tests; it gets a temporary folder that goes at exit."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="pagelore-")
             atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
