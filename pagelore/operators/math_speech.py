@@ -36,88 +36,99 @@ def tokens(e: Element) -> list[str]:
     return out
 
 
-class Malformed(Exception):
-    pass
+class Said(str):
+    """What a part is read as. In a phrase, ``{1:sub}`` closes a part of several tokens with "end sub"; ``power`` and ``accent`` are read by their tables first."""
+
+    tokens: int
+
+    def __new__(cls, words: str, tokens: int) -> Said:
+        made = super().__new__(cls, words)
+        made.tokens = tokens
+        return made
+
+    def __format__(self, role: str) -> str:
+        named, lead, end = ROLES.get(role, ({}, "", role))
+        if self in named:
+            return named[self]
+        return lead + self + (f" end {end}" if end and self.tokens > 1 else "")
+
+
+#: By role: parts with a word of their own, what leads any other, and what it ends as.
+ROLES = {"power": (POWERS, "to the power ", "power"), "accent": (ACCENTS, "over ", "over")}
+#: The phrase of each element. One with other elements inside reads them between spaces.
+PHRASES = {
+    "msqrt": "square root of {all} end root",
+    "mroot": "root with index {1} of {0} end root",
+    "msup": "{0} {1:power}",
+    "msub": "{0} sub {1:sub}",
+    "msubsup": "{0} sub {1:sub} {2:power}",
+    "munder": "{0} under {1:under}",
+    "mover": "{0} {1:accent}",
+    "munderover": "{0} from {1} to {2}",
+    "mfrac": "{0} over {1}",
+    "deep mfrac": "fraction {0} over {1} end fraction",
+    "mtable": "table {rows} end table",
+    "mtr": "{cells}",
+    "mfenced": "{open} {fenced} {close}",
+}
+
+
+def _phrase(e: Element, parts: list[Said]) -> str:
+    if e.tag == "semantics":
+        return parts[0] if parts else ""
+    deep = e.tag == "mfrac" and any(p.tokens > 1 for p in parts)
+    between = e.attrs.get("separators", ",").strip()[:1]
+    lists = {
+        "all": " ".join(parts),
+        "rows": ", ".join(f"row {k} {p}" for k, p in enumerate(parts, 1)),
+        "cells": ", ".join(parts),
+        "fenced": f" {between} ".join(parts),
+        "open": e.attrs.get("open", "("),
+        "close": e.attrs.get("close", ")"),
+    }
+    return PHRASES.get("deep mfrac" if deep else e.tag, "{all}").format(*parts, **lists)
 
 
-def speak(e: Element) -> str:
-    """The spoken words; empty if an element has the wrong number of children."""
-    said: dict[int, tuple[str, int]] = {}  # words and number of tokens of each element
-    order, todo = [], [e]
-    while todo:
-        x = todo.pop()
-        order.append(x)
-        if x.tag not in TOKENS:
-            todo.extend(_spoken(x))
-    try:
-        for x in reversed(order):
-            if x.tag in TOKENS:
-                text = "".join(tokens(x))
-                said[id(x)] = (text, int(bool(text)))
-            else:
-                parts = [said[id(k)] for k in _spoken(x)]
-                if x.tag in CHILDREN and len(parts) != CHILDREN[x.tag]:
-                    raise Malformed
-                said[id(x)] = (_words(x, parts), sum(n for _, n in parts))
-    except Malformed:
-        return ""
-    return tidy(said[id(e)][0])
+def _spoken(e: Element) -> list[Element]:
+    return [k for k in e.kids if isinstance(k, Element) and k.tag not in SILENT]
 
 
-def _spoken(e: Element) -> list[Element]:
-    return [k for k in e.kids if not isinstance(k, str) and k.tag not in SILENT]
-
-
-def _ended(part: tuple[str, int], end: str) -> str:
-    """A part's words; a part of several tokens says where it ends."""
-    return part[0] if part[1] <= 1 else f"{part[0]} end {end}"
-
-
-def _power(part: tuple[str, int]) -> str:
-    return POWERS.get(part[0]) or f"to the power {_ended(part, 'power')}"
-
-
-def _words(e: Element, parts: list[tuple[str, int]]) -> str:
-    said = [s for s, _ in parts]
-    first = said[0] if said else ""
-    match e.tag:
-        case "mfrac":
-            return " over ".join(said) if all(n <= 1 for _, n in parts) else f"fraction {' over '.join(said)} end fraction"
-        case "msqrt":
-            return f"square root of {' '.join(said)} end root"
-        case "mroot":
-            return f"root with index {said[1]} of {first} end root"
-        case "msup":
-            return f"{first} {_power(parts[1])}"
-        case "msub":
-            return f"{first} sub {_ended(parts[1], 'sub')}"
-        case "msubsup":
-            return f"{first} sub {_ended(parts[1], 'sub')} {_power(parts[2])}"
-        case "munder":
-            return f"{first} under {_ended(parts[1], 'under')}"
-        case "mover":
-            return f"{first} {ACCENTS[said[1]]}" if said[1] in ACCENTS else f"{first} over {_ended(parts[1], 'over')}"
-        case "munderover":
-            return f"{first} from {said[1]} to {said[2]}"
-        case "mtable":
-            return f"table {', '.join(f'row {k} {s}' for k, s in enumerate(said, 1))} end table"
-        case "mtr":
-            return ", ".join(said)
-        case "mfenced":
-            between = e.attrs.get("separators", ",").strip()[:1]
-            return f"{e.attrs.get('open', '(')} {f' {between} '.join(said)} {e.attrs.get('close', ')')}"
-        case "semantics":
-            return first
-    return " ".join(said)
+def speak(e: Element) -> str:
+    """The spoken words; empty if an element has the wrong number of children. Depth is no limit: parts wait on a stack of their own."""
+    waiting: list[tuple[Element, list[Element], list[Said]]] = [(e, [] if e.tag in TOKENS else _spoken(e), [])]
+    while True:
+        x, rest, parts = waiting[-1]
+        if rest:
+            kid = rest.pop(0)
+            waiting.append((kid, [] if kid.tag in TOKENS else _spoken(kid), []))
+            continue
+        waiting.pop()
+        if x.tag in TOKENS:
+            text = "".join(tokens(x))
+            said = Said(text, int(text != ""))
+        elif len(parts) != CHILDREN.get(x.tag, len(parts)):
+            return ""
+        else:
+            said = Said(_phrase(x, parts), sum(p.tokens for p in parts))
+        if not waiting:
+            return tidy(said)
+        waiting[-1][2].append(said)
 
 
 def xml(e: Element | str) -> str:
     """The element as XML in the MathML namespace; names and characters that XML doesn't allow are dropped, content is kept."""
-    if isinstance(e, str):
-        return _ILLEGAL.sub("", e).translate(_ENTITIES)
-    inner = "".join(map(xml, e.kids))
-    if not _NAME.match(e.tag):
-        return inner
-    attrs = {"xmlns": "http://www.w3.org/1998/Math/MathML"} if e.tag == "math" else {}
-    attrs |= {k: v for k, v in e.attrs.items() if _NAME.match(k) and k != "xmlns"}
-    return f"<{e.tag}{''.join(f' {k}="{xml(v)}"' for k, v in attrs.items())}>{inner}</{e.tag}>"
+    clean = lambda s: _ILLEGAL.sub("", s).translate(_ENTITIES)
+    out: list[str] = []
+    todo: list[tuple[bool, Element | str]] = [(True, e)]
+    while todo:
+        opens, x = todo.pop()
+        if isinstance(x, str):
+            out.append(clean(x) if opens else f"</{x}>")
+            continue
+        if named := _NAME.match(x.tag):
+            given = {k: v for k, v in x.attrs.items() if _NAME.match(k) and k != "xmlns"}
+            every = {"xmlns": "http://www.w3.org/1998/Math/MathML", **given} if x.tag == "math" else given
+            out.append(" ".join([f"<{x.tag}", *(f'{k}="{clean(v)}"' for k, v in every.items())]) + ">")
+            todo.append((False, x.tag))
+        todo += [(True, k) for k in reversed(x.kids)]
+    return "".join(out)
