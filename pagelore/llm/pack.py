@@ -219,8 +219,8 @@ def fillings(counts: np.ndarray, room: int, most_waste: int, steps: int, wanted:
     return out
 
 
-def complete(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = 6000, steps: int = 1500, wanted: int = 4, fits: int = 600) -> list[tuple[Pattern, int]]:
-    """Bin completion: (pattern, bins of that pattern) for all pieces. nodes, steps, wanted and fits (best-fit completions) bound the search, not what is packed."""
+def complete(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = 6000, steps: int = 1500, wanted: int = 4, work: int = 60_000) -> list[tuple[Pattern, int]]:
+    """Bin completion: (pattern, bins of that pattern) for all pieces. nodes, steps, wanted and work (lengths in best-fit completions) bound the search, not what is packed."""
     counts = np.asarray(counts, np.int64)
     best = best_fit(counts, capacity)
     bins, bound = sum(n for _, n in best), lower_bound(counts, capacity)
@@ -240,8 +240,8 @@ def complete(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = 6000, st
             spare = (bins - 1) * capacity - total - waste
             if spare < 0 or used + lower_bound(left, capacity) >= bins:
                 continue
-            if taken and fits > 0:  # the rest by best fit
-                fits -= 1
+            if taken and work > 0:  # the rest by best fit
+                work -= len(lengths)
                 rest_fit = best_fit(left, capacity)
                 if (n := used + sum(t for _, t in rest_fit)) < bins:
                     best, bins = _patterns(path) + rest_fit, n
