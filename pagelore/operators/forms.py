@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain, count
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,26 +76,89 @@ def controls_to_widgets(controls: DataFrame, widgets: DataFrame, *keys: str) ->
     return mine.join(theirs, [*keys, "name", "__v", "__k"], "left").drop("__v", "__k")
 
 
+def taken_widgets(controls: list[dict], widgets: list[dict], elsewhere: set[str]) -> list[tuple[int, list[int], str | None]]:
+    """(control_ord, widget_ords, warning) of a page's controls, in order.
+
+    A control takes all free widgets of its name (of its value, if it has one); if there are none and the name exists at all, those of
+    its next variant that has any: name-2, name-3, ... A widget is taken once. elsewhere: names of the document's other widgets.
+    """
+    by_name: dict[str, list[dict]] = {}
+    for w in sorted(widgets, key=lambda w: w["widget_ord"]):
+        by_name.setdefault(w["name"], []).append(w)
+    known, used, out = elsewhere | by_name.keys(), set(), []
+    for c in sorted(controls, key=lambda c: c["control_ord"]):
+        mine: list[int] = []
+        if c["name"]:
+            clean = c["name"].replace(".", "-")
+            names = chain([c["name"], clean], (f"{clean}-{k}" for k in count(2)))
+            for k, name in enumerate(names):
+                if k and name not in known:  # variants are tried for as long as there are any
+                    break
+                mine = [w["widget_ord"] for w in by_name.get(name, []) if w["widget_ord"] not in used and (not c["value"] or c["value"] in (w["on_states"] or []))]
+                if mine:
+                    break
+        used.update(mine)
+        missing = "field_without_name" if not c["name"] else "field_on_other_page" if c["name"] in known else "field_not_in_pdf"
+        out.append((c["control_ord"], mine, None if mine else missing))
+    return out
+
+
+def match_controls(pages: DataFrame, *keys: str) -> DataFrame:
+    """(keys, control_ord, widget_ords array<int>, code): a row for each control; code says why one has no widget.
+
+    pages: one row a page with controls (control_ord, name, value), widgets (widget_ord, name, on_states) and other_names, the names
+    of the document's widgets on other pages. No shuffle: a page is worked on where it is.
+    """
+    kinds = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, at = [], []
+            for k, r in enumerate(b.select(["controls", "widgets", "other_names"]).to_pylist()):
+                found = taken_widgets(r["controls"] or [], r["widgets"] or [], set(r["other_names"] or []))
+                rows += found
+                at += [k] * len(found)
+            own = [b.column(k).take(pa.array(at, pa.int64())) for k in range(len(keys))]
+            made = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.list_(pa.int32()), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*own, *made], names=[*keys, "control_ord", "widget_ords", "code"])
+
+    return pages.select(*keys, "controls", "widgets", "other_names").mapInArrow(run, f"{kinds}, control_ord int, widget_ords array<int>, code string")
+
+
 def unique_names(fields: DataFrame, base: str, order: str, *keys: str) -> DataFrame:
-    """name: the base with dots as hyphens, then base-2, base-3, ... for those of one base, in order."""
-    clean = F.replace(base, F.lit("."), F.lit("-"))
-    k = F.row_number().over(Window.partitionBy(*keys, clean).orderBy(order))
-    return fields.withColumn("name", F.when(k == 1, clean).otherwise(F.concat(clean, F.lit("-"), k)))
+    """name: in order, the first of base (dots as hyphens), base-2, base-3, ... that no field of the document had before.
+
+    A document's fields are taken as one array and folded; they come back as rows. Fields of equal order keep a fixed one.
+    """
+    kept = [c for c in fields.columns if c not in keys and c != "name"]
+    listed = F.array_sort(F.collect_list(F.struct(order, *(c for c in kept if c != order))))
+    one = fields.groupBy(*keys).agg(listed.alias("__f")) if keys else fields.agg(listed.alias("__f"))
+    clean = F.transform("__f", lambda f: F.replace(f[base], F.lit("."), F.lit("-")))
+    numbered = lambda b, n: F.when(n == 1, b).otherwise(F.concat(b, F.lit("-"), n))
+
+    def first_free(taken: Column, b: Column) -> Column:
+        """One of base, base-2, ..., base-(n + 1) is free if n names are taken."""
+        tried = F.transform(F.sequence(F.lit(1), F.size(taken) + 1), lambda n: numbered(b, n))
+        return F.get(F.filter(tried, lambda t: ~F.array_contains(taken, t)), F.lit(0))
+
+    names = F.aggregate(clean, F.array().cast("array<string>"), lambda taken, b: F.array_append(taken, first_free(taken, b)))
+    rows = one.select(*keys, F.inline(F.zip_with("__f", names, lambda f, n: F.struct(f.alias("f"), n.alias("name")))))
+    return rows.select(*keys, *(F.col(f"f.{c}").alias(c) for c in kept), "name")
 
 
 def labels_on_page(labels: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, label_ord, first word_ord): labels whose words stand exactly once in a row on the page. An equi-join of word n-grams:
-    for each length that a label has, only runs of that length are hashed.
+    """(keys, label_ord, first word_ord): labels whose words stand exactly once in a row on the page, whatever their length.
 
-    labels: (label_ord, norms array<string>); words: (word_ord, norm).
+    labels: (label_ord, norms array<string>); words: (word_ord, norm). A page's words meet its labels as one array; only places where
+    a label's first word stands are compared.
     """
-    w = Window.partitionBy(*keys).orderBy("word_ord")
-    wanted = labels.where(F.size("norms") > 0).withColumns({"n": F.size("norms"), "h": F.xxhash64("norms")})
-    lengths = wanted.select(*keys, "n").distinct()
-    runs = words.withColumn("__rest", F.collect_list("norm").over(w.rowsBetween(0, 63)))
-    runs = runs.join(lengths, keys).where(F.size("__rest") >= F.col("n")).withColumn("h", F.xxhash64(F.slice("__rest", 1, F.col("n"))))
-    hit = wanted.join(runs.select(*keys, "n", "h", "word_ord", F.slice("__rest", 1, F.col("n")).alias("__norms")), [*keys, "n", "h"]).where(F.col("norms") == F.col("__norms"))
-    return hit.groupBy(*keys, "label_ord").agg(F.min("word_ord").alias("word_ord"), F.count(F.lit(1)).alias("__c")).where("__c = 1").drop("__c")
+    listed = F.array_sort(F.collect_list(F.struct("word_ord", F.coalesce("norm", F.lit("")).alias("norm"))))
+    page = words.groupBy(*keys).agg(listed.alias("__w")).select(*keys, F.col("__w.norm").alias("__n"), F.col("__w.word_ord").alias("__o"))
+    wanted = labels.where(F.size("norms") > 0)
+    near = F.filter(F.sequence(F.lit(1), F.size("__n")), lambda i: (F.element_at("__n", i) == F.col("norms")[0]) & (i + F.size("norms") - 1 <= F.size("__n")))
+    places = F.filter(near, lambda i: F.slice("__n", i, F.size("norms")) == F.col("norms"))
+    met = wanted.join(page, keys).withColumn("__at", places).where(F.size("__at") == 1)
+    return met.select(*keys, "label_ord", F.element_at("__o", F.col("__at")[0]).alias("word_ord"))
 
 
 def label_nearby(words: DataFrame, label_box: Column, *keys: str) -> Column:

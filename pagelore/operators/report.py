@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .structure import GROUPS, INLINE, TYPES
+
 VERSION = "0.1.0"
+#: The structure types that pages are built of.
+STRUCTURE_TYPES = frozenset(TYPES.values()) | INLINE | GROUPS | {"Note"}
 
 
 def ordered_list(*columns: str):
@@ -29,6 +33,25 @@ def document_report(pages: DataFrame, warnings: DataFrame, type_counts: DataFram
     return out.select(key, F.struct(F.lit(VERSION).alias("version"), "pages", structure.alias("structure"), listed.alias("warnings")).alias("report"))
 
 
+def reports_of(built: DataFrame, counters: list[str], key: str = "doc_id") -> DataFrame:
+    """(key, report) like ``document_report``, from the structure of pages (key, page, nodes, words, warnings, images) in one pass.
+
+    counters: array columns (counted) or numbers of each page. Elements are summed by type before the exchange; a document's pages, of
+    which there are few, become one row.
+    """
+    count = lambda c: (F.size(c) if built.schema[c].dataType.typeName() == "array" else F.col(c)).alias(c)
+    sums = {t: F.sum(F.size(F.filter("nodes", lambda n: n["type"] == t))) for t in sorted(STRUCTURE_TYPES)}  # noqa: B023
+    every = [
+        F.array_sort(F.collect_list(F.struct("page", *map(count, counters)))).alias("pages"),
+        F.sum(F.size("nodes")).alias("elements"),
+        F.array(*(F.struct(F.lit(t).alias("key"), n.alias("value")) for t, n in sums.items())).alias("__types"),
+        F.array_sort(F.flatten(F.collect_list(F.transform("warnings", lambda w: F.struct(F.col("page").alias("page"), w["code"].alias("code"), w["detail"].alias("detail")))))).alias("warnings"),
+    ]
+    out = built.groupBy(key).agg(*every)
+    by_type = F.map_from_entries(F.filter("__types", lambda e: e["value"] > 0))
+    return out.select(key, F.struct(F.lit(VERSION).alias("version"), "pages", F.struct("elements", by_type.alias("by_type")).alias("structure"), "warnings").alias("report"))
+
+
 def with_fallback(first: DataFrame, second: DataFrame, codes: list[str], key: str = "doc_id") -> DataFrame:
     """A document's row from ``first``, unless its error code is one of ``codes``: then the one from ``second``, if there is one."""
     failed = first.where(F.col("error").isin(codes)).select(key).join(second.select(key), key, "left_semi")

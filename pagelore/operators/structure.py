@@ -32,8 +32,8 @@ TYPES = {
     "legend": "P", "article": "Art", "div": "Div", "header": "Div", "footer": "Div", "main": "Div",
 }
 #: Elements without structure of their own, and elements that are no content.
-TRANSPARENT = frozenset("#root form label span strong em b i u s small mark abbr time cite q sub sup br wbr bdi bdo data var kbd samp ins del".split())
-NO_CONTENT = frozenset("hr script style template head title meta link option optgroup".split())
+TRANSPARENT = frozenset(("#root", "form", "label", "span", "strong", "em", "b", "i", "u", "s", "small", "mark", "abbr", "time", "cite", "q", "sub", "sup", "br", "wbr", "bdi", "bdo", "data", "var", "kbd", "samp", "ins", "del"))
+NO_CONTENT = frozenset(("hr", "script", "style", "template", "head", "title", "meta", "link", "option", "optgroup"))
 INLINE = frozenset(("Link", "Reference", "Code", "Lbl", "LBody", "Formula"))
 GROUPS = frozenset(("THead", "TBody", "TFoot"))
 TEXT_INPUTS = frozenset(("", "text", "email", "tel", "number", "date", "url", "search", "password", "time", "month", "week", "datetime-local"))

@@ -67,36 +67,78 @@ def page_links(spark, sf_dir):
     return nodes.where("type = 'Link'").select("page_id", "href")
 
 
-@query("SELECT regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, count(*) AS pages FROM pages GROUP BY 1")
+@query("""
+    WITH p AS (SELECT page_id, CAST(floor(page_id) AS BIGINT) % 3 AS k, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM pages),
+    n AS (SELECT page_id, lang, 'Sect' AS type, CASE k WHEN 0 THEN 'la' WHEN 1 THEN lang ELSE 'eo' END AS language FROM p
+        UNION ALL SELECT page_id, lang, 'P', CASE k WHEN 0 THEN 'la' WHEN 1 THEN lang ELSE 'eo' END FROM p UNION ALL SELECT page_id, lang, 'P', 'vo' FROM p
+        UNION ALL SELECT page_id, lang, 'Link', 'vo' FROM p UNION ALL SELECT page_id, lang, 'P', lang FROM p)
+    SELECT lang, type, language, count(*) AS nodes FROM n GROUP BY ALL""")
 def page_language(spark, sf_dir):
-    pages = read_table(spark, sf_dir, "pages", spread=True)
-    return pages.groupBy(F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang")).agg(F.count(F.lit(1)).alias("pages"))
+    """The language of each node, its own or that of the nearest node above: a section of another language, or of none of its own, put into each page's language."""
+    own = F.when(F.col("page_id") % 3 == 0, ' lang="la"').when(F.col("page_id") % 3 == 1, "").otherwise(' lang="eo"')
+    html = F.concat(F.lit("<section"), own, F.lit('><p>a</p><p lang="vo">b <a href="x">c</a></p></section><p>d</p>'))
+    pages = read_table(spark, sf_dir, "pages", spread=True).select("page_id", F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang"), html.alias("html"))
+    nodes = structure.exploded(structure.page_structure(pages.withColumnRenamed("lang", "page_lang"), lang="page_lang"), "nodes")
+    found = structure.nearest_language(nodes, "", "page_id").select(F.col("page_lang").alias("lang"), "type", F.coalesce(F.nullif("language", F.lit("")), "page_lang").alias("language"))
+    return found.groupBy("lang", "type", "language").agg(F.count(F.lit(1)).alias("nodes"))
 
 
 @query("""
-    SELECT page_id, CAST(regexp_extract(html, '<h([1-6])[ >]', 1) AS INT) AS first_level, CAST(regexp_extract(html, '<h([1-6])[ >]', 1) AS INT) - 1 AS shift
-    FROM pages WHERE regexp_matches(html, '<h[1-6][ >]')""")
+    WITH l AS (SELECT page_id, 1 + (page_id * 5 + k) % 6 AS level, k FROM pages, (VALUES (0), (1), (2)) AS t(k) WHERE page_id % 7 > 0)
+    SELECT page_id // 4 AS doc, CAST(arg_min(level, page_id * 10 + k) AS INT) AS first_level, CAST(arg_min(level, page_id * 10 + k) - 1 AS INT) AS shift,
+        CASE WHEN arg_min(level, page_id * 10 + k) > 1 THEN 'The first heading is h' || arg_min(level, page_id * 10 + k) || '; every heading is tagged ' || (arg_min(level, page_id * 10 + k) - 1) || CASE WHEN arg_min(level, page_id * 10 + k) > 2 THEN ' levels' ELSE ' level' END || ' higher, so the first is H1.'
+            || CASE WHEN min(level) < arg_min(level, page_id * 10 + k) THEN ' Headings above h' || arg_min(level, page_id * 10 + k) || ' are all tagged H1.' ELSE '' END END AS detail
+    FROM l GROUP BY page_id // 4""")
 def heading_shift(spark, sf_dir):
-    nodes = structure.exploded(_structure(spark, sf_dir), "nodes").withColumn("page", F.lit(1))
-    return structure.heading_shift(nodes, "page_id", "page").select("page_id", "first_level", "shift")
+    """Documents of four pages with headings of all levels: how far they move up."""
+    level = lambda k: F.concat(F.lit("<h"), 1 + (F.col("page_id") * 5 + k) % 6, F.lit(">x</h"), 1 + (F.col("page_id") * 5 + k) % 6, F.lit(">"))
+    html = F.when(F.col("page_id") % 7 > 0, F.concat(level(0), F.lit("<p>y</p>"), level(1), level(2))).otherwise("<p>y</p>")
+    pages = read_table(spark, sf_dir, "pages", spread=True).select(F.floor(F.col("page_id") / 4).alias("doc"), F.col("page_id").alias("page"), html.alias("html"))
+    return structure.heading_shift(structure.exploded(structure.page_structure(pages), "nodes"), "doc", "page")
 
 
-@query("SELECT 'unmapped_element' AS code, 'button' AS detail, 0 AS pages WHERE false")
+@query("""
+    WITH l AS (SELECT page_id, 1 + (page_id * 5 + k) % 6 AS level FROM pages, (VALUES (0), (1), (2)) AS t(k))
+    SELECT 'H' || greatest(1, level - page_id % 4) AS type, count(*) AS headings FROM l GROUP BY 1""")
+def shifted_headings(spark, sf_dir):
+    """Headings of all levels, built with a shift: types by number."""
+    level = lambda k: F.concat(F.lit("<h"), 1 + (F.col("page_id") * 5 + k) % 6, F.lit(">x</h"), 1 + (F.col("page_id") * 5 + k) % 6, F.lit(">"))
+    pages = read_table(spark, sf_dir, "pages", spread=True).select("page_id", (F.col("page_id") % 4).alias("up"), F.concat(level(0), level(1), level(2)).alias("html"))
+    nodes = structure.exploded(structure.page_structure(pages, shift="up"), "nodes")
+    return nodes.where("type like 'H%'").groupBy("type").agg(F.count(F.lit(1)).alias("headings"))
+
+
+@query("""
+    SELECT code, detail, count(DISTINCT page_id) AS pages FROM
+        (SELECT page_id, 'unmapped_element' AS code, CASE page_id % 2 WHEN 0 THEN 'blink' ELSE 'marquee' END AS detail FROM pages
+         UNION ALL SELECT page_id, 'missing_alt', 'p' || page_id % 5 || '.png' FROM pages WHERE page_id % 3 = 0
+         UNION ALL SELECT page_id, 'missing_alt', 'math: y' FROM pages WHERE page_id % 5 = 0) GROUP BY code, detail""")
 def page_warnings(spark, sf_dir):
-    """Warnings by kind; the driver's pages give none."""
-    found = structure.exploded(_structure(spark, sf_dir), "warnings")
-    return found.groupBy("code", "detail").agg(F.countDistinct("page_id").cast("int").alias("pages"))
+    """Warnings by kind, on pages that get an unknown element, some an image without a text, some a formula that can't be read."""
+    k = F.col("page_id")
+    odd = F.concat(
+        F.when(k % 2 == 0, "<blink>a</blink>").otherwise("<marquee>b</marquee>"),
+        F.when(k % 3 == 0, F.concat(F.lit('<img src="p'), k % 5, F.lit('.png">'))).otherwise('<img alt="" src="q.png"><img alt="a word" src="r.png">'),
+        F.when(k % 5 == 0, "<p><math><msup><mi>y</mi></msup></math></p>").otherwise("<p><math><mi>y</mi></math></p>"),
+    )
+    pages = read_table(spark, sf_dir, "pages", spread=True).select("page_id", F.concat(odd, F.lit("<hr>"), "html").alias("html"))
+    found = structure.exploded(structure.page_structure(pages), "warnings")
+    return found.groupBy("code", "detail").agg(F.countDistinct("page_id").alias("pages"))
 
 
-@query()
+@query(f"""
+    SELECT regexp_extract(url, '//([^/]+)', 1) AS host, CAST(floor(page_id / 25) AS BIGINT) AS part, '0.1.0' AS version, count(*) AS pages, CAST(sum(len(regexp_extract_all(html, '<img[ >]'))) AS BIGINT) AS images,
+        {", ".join(f"CAST(sum({_count(tag)}) AS BIGINT) AS {name}" for name, tag in (("h1", "h1"), ("lists", "ul"), ("items", "li"), ("links", "a"), ("articles", "article")))}, 0 AS warnings
+    FROM pages GROUP BY 1, 2""")
 def page_reports(spark, sf_dir):
-    """A nested report of each page's site: counters, elements by type, warnings."""
-    pages = read_table(spark, sf_dir, "pages", spread=True).select(F.regexp_extract("url", "//([^/]+)", 1).alias("doc_id"), F.col("page_id").alias("page"), "html")
-    built = structure.page_structure(pages)
-    counts = built.select("doc_id", "page", F.size("words").alias("words"), "images")
-    nodes = structure.exploded(built, "nodes").groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("elements"))
-    out = report.document_report(counts, structure.exploded(built, "warnings"), nodes)
-    return out.select("doc_id", F.to_json("report").alias("report"))
+    """A nested report of each document, of up to 25 pages of a site: what it says of its pages, elements and warnings. Pages are parsed once."""
+    pages = read_table(spark, sf_dir, "pages", spread=True)
+    keyed = pages.select(F.struct(F.regexp_extract("url", "//([^/]+)", 1).alias("host"), F.floor(F.col("page_id") / 25).alias("part")).alias("doc_id"), F.col("page_id").alias("page"), "html")
+    made = report.reports_of(structure.page_structure(keyed), ["words", "images"])
+    by = lambda t: F.coalesce(F.col("report.structure.by_type")[t], F.lit(0)).cast("bigint")
+    kinds = {"h1": "H1", "lists": "L", "items": "LI", "links": "Link", "articles": "Art"}
+    total = F.aggregate("report.pages", F.lit(0).cast("bigint"), lambda acc, p: acc + p["images"])
+    return made.select("doc_id.host", "doc_id.part", F.col("report.version").alias("version"), F.size("report.pages").cast("bigint").alias("pages"), total.alias("images"), *(by(t).alias(c) for c, t in kinds.items()), F.size("report.warnings").alias("warnings"))
 
 
 # Words of documents
@@ -205,16 +247,17 @@ def fuzzy_words(spark, sf_dir):
 
 
 @query(f"""
-    WITH w AS {_word_rows("item_id", "benchmark")}, n AS (SELECT item_id, n, {NORM.format("text")} AS norm FROM w),
-    run AS (SELECT a.item_id, a.n, a.norm || ' ' || b.norm || ' ' || c.norm AS k FROM n a JOIN n b ON a.item_id = b.item_id AND b.n = a.n + 1 JOIN n c ON a.item_id = c.item_id AND c.n = a.n + 2),
-    label AS (SELECT item_id, k FROM run WHERE n = 1)
-    SELECT item_id, 0 AS label_ord, min(run.n) AS word_ord FROM label JOIN run USING (item_id, k) GROUP BY item_id HAVING count(*) = 1""")
+    WITH w AS (SELECT doc_id, [{NORM.format("x")} for x in l] AS l FROM (SELECT doc_id, {WORDS} AS l FROM documents) WHERE len(l) >= 90),
+    label AS (SELECT doc_id, l, 0 AS label_ord, 2 AS a, 4 AS z FROM w UNION ALL SELECT doc_id, l, 1, 3, 12 FROM w UNION ALL SELECT doc_id, l, 2, 6, 85 FROM w),
+    hit AS (SELECT doc_id, label_ord, i - 1 AS word_ord FROM (SELECT *, unnest(range(1, len(l) - (z - a) + 1)) AS i FROM label) WHERE l[i] = l[a] AND l[i:i + z - a] = l[a:z])
+    SELECT doc_id, label_ord, min(word_ord) AS word_ord FROM hit GROUP BY doc_id, label_ord HAVING count(*) = 1""")
 def labels_on_page(spark, sf_dir):
-    """Words 2 to 4 of each item as a label that is sought in the item; found if it is there once."""
-    w = _words(read_table(spark, sf_dir, "benchmark"), "item_id").select("item_id", F.col("n").alias("word_ord"), text.normalize(F.col("text")).alias("norm"))
-    own = F.transform(F.array_sort(F.collect_list(F.struct("word_ord", "norm"))), lambda x: x["norm"])
-    labels = w.where("word_ord between 1 and 3").groupBy("item_id").agg(own.alias("norms")).where("size(norms) = 3").withColumn("label_ord", F.lit(0))
-    return forms.labels_on_page(labels, w, ["item_id"])
+    """Words 2 to 4, 3 to 12 and 6 to 85 of each document as labels that are sought in it; found if they are there once."""
+    norms = text.normalize_all(F.filter(F.split("text", f"[{text.SPACE}]+"), lambda x: x != ""))
+    docs = read_table(spark, sf_dir, "documents", spread=True).select("doc_id", norms.alias("l")).where("size(l) >= 90")
+    cut = F.array(*(F.struct(F.lit(k).alias("label_ord"), F.slice("l", a, z - a + 1).alias("norms")) for k, (a, z) in enumerate(((2, 4), (3, 12), (6, 85)))))
+    labels = docs.select("doc_id", F.inline(cut))
+    return forms.labels_on_page(labels, docs.select("doc_id", F.posexplode("l").alias("word_ord", "norm")), ["doc_id"]).withColumn("word_ord", F.col("word_ord").cast("bigint"))
 
 
 @query("""
@@ -439,13 +482,18 @@ def field_names(spark, sf_dir):
     return tagtree.full_names(fields).join(tagtree.inherited(fields, "ft").select("doc_id", "node_id", "inherited_ft"), ["doc_id", "node_id"])
 
 
-TSV = ("(1, 'level\tpage\tblock\tpar\tline\tword\tleft\ttop\twidth\theight\tconf\ttext\n1\t1\t0\t0\t0\t0\t0\t0\t600\t800\t-1\t\n5\t1\t1\t1\t1\t1\t10\t20\t30\t12\t96\tHello\n5\t1\t1\t1\t1\t2\t50\t20\t40\t12\t91\t \n5\t1\t1\t1\t1\t3\t100\t22\t36\t14\t90\t\"quoted\"')", "page, tsv")
-
-
-@query("SELECT * FROM (VALUES (1, 0, 'Hello', 5.0, 10.0, 20.0, 16.0, 6.0), (1, 1, '\"quoted\"', 50.0, 11.0, 68.0, 18.0, 7.0)) AS t(page, word_ord, text, x0, y0, x1, y1, size)")
+@query(f"""
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY n) - 1 AS word_ord, text, (n % 9) * 40 / 2e0 AS x0, (n // 9) * 20 / 2e0 AS y0, ((n % 9) * 40 + 3 * length(text)) / 2e0 AS x1, ((n // 9) * 20 + 12 + n % 3) / 2e0 AS y1, (12 + n % 3) / 2e0 AS size
+    FROM {_word_rows("item_id", "benchmark")} WHERE n % 4 <> 3""")
 def tsv_words(spark, sf_dir):
-    tsv = spark.createDataFrame([(1, TSV[0][5:-2])], "page int, tsv string")
-    return words.words_from_tsv(tsv, "tsv", 0.5, "page").select("page", "word_ord", "text", *(F.col(f"box.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")), "size")
+    """Each item's words written as the TSV of a recogniser, at half a point a pixel, every fourth as a blank, with rows of other levels between them; read back."""
+    n, word = F.col("n"), F.col("text")
+    row = F.concat_ws("\t", F.lit("5\t1\t1\t1\t1"), n + 1, n % 9 * 40, F.floor(n / 9) * 20, 3 * F.length(word), 12 + n % 3, F.lit("90"), F.when(n % 4 == 3, " ").otherwise(word))
+    other = F.when(n % 9 == 0, F.concat(F.lit("4\t1\t1\t1\t1\t0\t0\t0\t400\t20\t-1\t\n"))).otherwise("")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat(other, row).alias("row")))), lambda x: x["row"]), "\n")
+    tsv = _words(read_table(spark, sf_dir, "benchmark"), "item_id").groupBy("item_id").agg(F.concat(F.lit("level\tpage\tblock\tpar\tline\tword\tleft\ttop\twidth\theight\tconf\ttext\n"), lines).alias("tsv"))
+    out = words.words_from_tsv(tsv, "tsv", 0.5, "item_id")
+    return out.select("item_id", F.col("word_ord").cast("bigint").alias("word_ord"), "text", *(F.col(f"box.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")), "size")
 
 
 REPLIES = ("""(1, '{"stop_reason":"tool_use","content":[{"type":"text","text":"ok"},{"type":"tool_use","name":"report_findings","input":{"findings":[{"kind":"table","severity":"error","element":"TD","detail":"no header"},{"kind":"odd","severity":"fatal"},{"kind":"link","severity":"warning","element":"Link","detail":"x"}]}}]}'), (2, '{"stop_reason":"max_tokens","content":[{"type":"tool_use","name":"report_findings","input":{"findings":[{"kind":"form"}]}}]}'), (3, '{"content":[{"type":"text","text":"none"}]}'), (4, '{"stop_reason":"tool_use","content":[{"type":"tool_use","name":"report_findings","input":{"findings":[]}}]}')""", "page, reply")
@@ -467,25 +515,37 @@ def finding_failures(spark, sf_dir):
     return review.findings(_values(spark, REPLIES).select("page", F.parse_json("reply").alias("reply")), "page")[1]
 
 
-IMAGES = ("(1, 0, 0.0, 0.0, 50.0, 50.0), (1, 1, 50.4, 0.3, 100.0, 50.2), (1, 2, 200.0, 10.0, 260.0, 60.0), (1, 3, 0.0, 100.0, 90.0, 101.0), (1, 4, 120.0, 5.0, 180.0, 40.0), (1, 5, 0.0, 120.0, 300.0, 390.0)", "page, op_ord, x0, y0, x1, y1")
-
-
-@query("SELECT * FROM (VALUES (1, 0, '0,1'), (1, 1, '4'), (1, 2, '2')) AS t(page, image, ops)")
+@query("""
+    WITH g AS (SELECT page, r, c, 20 + c * 70 + (r * 3 + c) % 4 AS x0, 30 + r * 90 + (c * 5 + r) % 7 AS y0 FROM range(1, 30) AS p(page), range(0, 4) AS a(r), range(0, 4) AS b(c) WHERE (page + r * 2 + c * 3) % 5 > 0)
+    SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY r, x0) - 1 AS INT) AS image, CASE WHEN (page + r + c) % 3 = 0 THEN (r * 4 + c) * 2 || ',' || ((r * 4 + c) * 2 + 1) ELSE CAST((r * 4 + c) * 2 AS VARCHAR) END AS ops FROM g""")
 def reading_rows(spark, sf_dir):
-    """Page images in reading order: tiles merged, hairlines and a full-page scan left out."""
-    b = _values(spark, IMAGES).select("page", "op_ord", F.struct(*(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1"))).alias("box"), F.lit(306.0).alias("page_width"), F.lit(396.0).alias("page_height"), F.lit(False).alias("has_text"))
-    return geometry.image_groups(b, ["page"], "has_text").select("page", "image", "ops")
+    """Pictures in uneven rows, a third of them in two tiles, with hairlines and a picture of the whole page: in reading order, tiles merged, the others left out."""
+    cells = "range(1, 30) p(page), range(0, 4) a(r), range(0, 4) b(c)"
+    at = "20 + c * 70 + (r * 3 + c) % 4 AS x0, 30 + r * 90 + (c * 5 + r) % 7 AS y0"
+    left = f"SELECT page, (r * 4 + c) * 2 AS op_ord, x0, y0, x0 + CASE WHEN (page + r + c) % 3 = 0 THEN 25 ELSE 50 END AS x1, y0 + 40 AS y1 FROM (SELECT page, r, c, {at} FROM {cells} WHERE (page + r * 2 + c * 3) % 5 > 0)"
+    right = f"SELECT page, (r * 4 + c) * 2 + 1, x0 + 25.5, y0 + 0.25, x0 + 50, y0 + 40 FROM (SELECT page, r, c, {at} FROM {cells} WHERE (page + r * 2 + c * 3) % 5 > 0 AND (page + r + c) % 3 = 0)"
+    odd = "SELECT page, 900, 0, 0, 306, 390 FROM range(1, 30) p(page) UNION ALL SELECT page, 901, 10, 20, 300, 21 FROM range(1, 30) p(page)"
+    b = spark.sql(f"{left} UNION ALL {right} UNION ALL {odd}")
+    b = b.select(F.col("page").cast("bigint").alias("page"), F.col("op_ord").cast("int").alias("op_ord"), F.struct(*(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1"))).alias("box"), F.lit(306.0).alias("page_width"), F.lit(396.0).alias("page_height"), F.lit(False).alias("has_text"))
+    return geometry.image_groups(b, ["page"], "has_text").select("page", F.col("image").cast("int").alias("image"), "ops")
 
 
-@query("SELECT * FROM (VALUES (1, 3, 1, 1, 4, 3), (2, 0, NULL, NULL, NULL, NULL)) AS t(page, differing, x0, y0, x1, y1)")
+@query("""
+    WITH p AS (SELECT page, x, y, (x * 7 + y * 13 + page) % 251 AS a, 20 + page % 5 AS w FROM range(1, 41) AS p(page), range(0, 24) AS i(x), range(0, 16) AS j(y) WHERE x < 20 + page % 5),
+    d AS (SELECT *, (x * y + page) % 37 = 0 AND page % 4 > 0 AND NOT (x >= 3 AND x < 10 AND y >= 2 AND y < 9) AS differ FROM p)
+    SELECT page, CAST(count(*) FILTER (WHERE differ) AS INT) AS differing, CAST(min(x) FILTER (WHERE differ) AS INT) AS x0, CAST(min(y) FILTER (WHERE differ) AS INT) AS y0, CAST(max(x) FILTER (WHERE differ) AS INT) + 1 AS x1, CAST(max(y) FILTER (WHERE differ) AS INT) + 1 AS y1
+    FROM d GROUP BY page""")
 def pixel_differences(spark, sf_dir):
-    """Rasters of 6 x 5 that differ in three places on page 1; on page 2 only inside a changed box."""
-    a, b, c = bytearray(30), bytearray(30), bytearray(30)
-    for x, y in ((1, 1), (3, 1), (2, 2)):
-        b[6 * y + x] = 9
-    c[0] = 9
-    rows = [(1, 6, 5, bytes(a), bytes(b), []), (2, 6, 5, bytes(a), bytes(c), [(0.0, 0.0, 1.0, 1.0)])]
-    pairs = spark.createDataFrame(rows, "page int, w int, h int, before binary, after binary, changed array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    """Drawn rasters with some pixels changed: how many differ outside the box from (5, 4) to (8, 7) and two pixels around it, and where."""
+    import numpy as np
+
+    rows = []
+    for page in range(1, 41):
+        y, x = np.mgrid[0:16, 0 : 20 + page % 5]
+        before = (x * 7 + y * 13 + page) % 251
+        after = np.where(((x * y + page) % 37 == 0) & (page % 4 > 0), before + 1, before)
+        rows.append((page, x.shape[1], 16, bytearray(before.astype(np.uint8).tobytes()), bytearray(after.astype(np.uint8).tobytes()), [(5.0, 4.0, 8.0, 7.0)]))
+    pairs = spark.createDataFrame(rows, "page long, w int, h int, before binary, after binary, changed array<struct<x0:double,y0:double,x1:double,y1:double>>")
     return verify.compare_pixels(pairs, "page")
 
 
@@ -536,11 +596,16 @@ def control_widgets(spark, sf_dir):
     return forms.controls_to_widgets(_values(spark, CONTROLS), widgets, "doc").select("doc", "control_ord", F.col("widget_ord").cast("string").alias("widget"))
 
 
-BASES = ("(1, 0, 'a.b'), (1, 1, 'x'), (1, 2, 'a-b'), (1, 3, 'x'), (1, 4, 'x'), (2, 0, 'x')", "doc, o, base")
+BASES = (", ".join(f"({d}, {o}, '{b}')" for d, names in enumerate((("a.b", "x", "a-b", "x", "x"), ("x", "x-2", "x", "x"), ("y", "y-3", "y", "y", "y-2", "y"), ("q.1-2", "q.1", "q-1", "q.1"), ("z",))) for o, b in enumerate(names)), "doc, o, base")
 
 
-@query(f"SELECT doc, o, b || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS name FROM (SELECT doc, o, replace(base, '.', '-') AS b, row_number() OVER (PARTITION BY doc, replace(base, '.', '-') ORDER BY o) AS k FROM {_from(BASES)})")
+@query(f"""
+    WITH RECURSIVE b AS (SELECT doc, o, replace(base, '.', '-') AS b FROM {_from(BASES)}),
+    t AS (SELECT doc, o, [b] AS taken FROM b WHERE o = 0
+        UNION ALL SELECT b.doc, b.o, list_append(taken, list_filter([CASE WHEN k = 1 THEN b.b ELSE b.b || '-' || k END for k in range(1, len(taken) + 2)], lambda x: NOT list_contains(taken, x))[1]) FROM t JOIN b ON b.doc = t.doc AND b.o = t.o + 1)
+    SELECT doc, o, taken[-1] AS name FROM t""")
 def unique_names(spark, sf_dir):
+    """Names of fields made for HTML names, each new in its document, names with numbers of their own included."""
     return forms.unique_names(_values(spark, BASES), "base", "o", "doc").select("doc", "o", "name")
 
 
@@ -569,40 +634,65 @@ def word_shares(spark, sf_dir):
     return out.select("page", "word_ord", F.col("box.x0").alias("x0"), F.col("box.x1").alias("x1"))
 
 
-FORMULAS = (
-    ("<msup><mi>x</mi><mn>2</mn></msup>", "x squared"),
-    ("<mfrac><mrow><mi>a</mi><mo>+</mo><mn>1</mn></mrow><mi>b</mi></mfrac>", "fraction a + 1 over b end fraction"),
-    ("<msqrt><mi>x</mi></msqrt>", "square root of x end root"),
-    ("<mroot><mi>x</mi><mn>3</mn></mroot>", "root with index 3 of x end root"),
-    ("<msubsup><mi>M</mi><mn>2</mn><mi>G</mi></msubsup>", "M sub 2 to the power G"),
-    ("<mover><mi>x</mi><mo>→</mo></mover>", "x vector"),
-    ("<munder><mo>lim</mo><mrow><mi>n</mi><mo>→</mo><mn>0</mn></mrow></munder>", "lim under n → 0 end under"),
-    ("<msup><mi>x</mi></msup>", ""),
-)
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{s}')" for k, (_, s) in enumerate(FORMULAS)) + ") AS t(k, spoken)")
+SYMBOLS = ("('x', 'y', 'k'), ('2', '3', 'n'), ('α', '+', '→'), ('u', '2', '0'), ('w', '~', '3')", "a, b, c")
+_DEEP = "<mrow><mi>{b}</mi><mo>+</mo><mi>{c}</mi></mrow>"
+#: Markup by rule, and its words as SQL.
+FORMULAS = {
+    "power": ("<msup><mi>{a}</mi><mn>{b}</mn></msup>", "a || CASE b WHEN '2' THEN ' squared' WHEN '3' THEN ' cubed' ELSE ' to the power ' || b END"),
+    "deep power": (f"<msup><mi>{{a}}</mi>{_DEEP}</msup>", "a || ' to the power ' || b || ' + ' || c || ' end power'"),
+    "fraction": ("<mfrac><mi>{a}</mi><mi>{b}</mi></mfrac>", "a || ' over ' || b"),
+    "deep fraction": (f"<mfrac><mi>{{a}}</mi>{_DEEP}</mfrac>", "'fraction ' || a || ' over ' || b || ' + ' || c || ' end fraction'"),
+    "root": ("<msqrt><mi>{a}</mi><mi>{b}</mi></msqrt>", "'square root of ' || a || ' ' || b || ' end root'"),
+    "indexed root": ("<mroot><mi>{a}</mi><mn>{b}</mn></mroot>", "'root with index ' || b || ' of ' || a || ' end root'"),
+    "index": (f"<msub><mi>{{a}}</mi>{_DEEP}</msub>", "a || ' sub ' || b || ' + ' || c || ' end sub'"),
+    "both": ("<msubsup><mi>{a}</mi><mn>{c}</mn><mi>{b}</mi></msubsup>", "a || ' sub ' || c || CASE b WHEN '2' THEN ' squared' WHEN '3' THEN ' cubed' ELSE ' to the power ' || b END"),
+    "accent": ("<mover><mi>{a}</mi><mo>{c}</mo></mover>", "a || CASE c WHEN '→' THEN ' vector' ELSE ' over ' || c END"),
+    "limits": ("<munderover><mo>∑</mo><mi>{b}</mi><mi>{c}</mi></munderover>", "'∑ from ' || b || ' to ' || c"),
+    "under": (f"<munder><mo>{{a}}</mo>{_DEEP}</munder>", "a || ' under ' || b || ' + ' || c || ' end under'"),
+    "table": ("<mtable><mtr><mtd><mi>{a}</mi></mtd><mtd><mi>{b}</mi></mtd></mtr><mtr><mtd><mi>{c}</mi></mtd></mtr></mtable>", "'table row 1 ' || a || ', ' || b || ', row 2 ' || c || ' end table'"),
+    "fenced": ("<mfenced open='[' close=']'><mi>{a}</mi><mi>{b}</mi></mfenced>", "'[ ' || a || ' , ' || b || ' ]'"),
+    "wrong": ("<msup><mi>{a}</mi></msup>", "''"),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS form, a, {sql} AS spoken FROM {_from(SYMBOLS)}" for k, (_, sql) in FORMULAS.items()))
 def math_speech(spark, sf_dir):
-    rows = spark.createDataFrame([(k, f"<math>{m}</math>") for k, (m, _) in enumerate(FORMULAS)], "k int, html string")
-    return rows.select("k", speak_math("html").alias("spoken"))
+    """Formulas of each form over symbols, in words."""
+    rows = _values(spark, SYMBOLS)
+    markup = lambda m: F.replace(F.replace(F.replace(F.lit(f"<math>{m}</math>"), F.lit("{a}"), "a"), F.lit("{b}"), "b"), F.lit("{c}"), "c")
+    every = F.array(*(F.struct(F.lit(k).alias("form"), markup(m).alias("html")) for k, (m, _) in FORMULAS.items()))
+    return rows.select("a", F.inline(every)).select("form", "a", speak_math("html").alias("spoken"))
 
 
-@query("""SELECT * FROM (VALUES (1, 0, 'q', ''), (1, 1, 'cm', '1 0 0 1 5 6'), (1, 2, 'Tj', '(a(b)\\) c)'), (1, 3, 'BI', ''), (1, 4, 'Q', ''), (2, 0, 'BDC', '/P << /MCID 7 >>'), (2, 1, 'EMC', '')) AS t(page, op_ord, op, args)""")
+@query(f"""
+    SELECT item_id, n AS op_ord, CASE n % 4 WHEN 0 THEN 'Tj' WHEN 1 THEN 'Td' WHEN 2 THEN 'q' ELSE 'BDC' END AS op,
+        CASE n % 4 WHEN 0 THEN '(' || text || ')' WHEN 1 THEN n || ' -' || n || '.5' WHEN 2 THEN '' ELSE '/P << /MCID ' || n || ' >>' END AS args
+    FROM (SELECT item_id, n, regexp_replace(text, '[^A-Za-z0-9]', 'z', 'g') AS text FROM {_word_rows("item_id", "benchmark")})""")
 def content_operators(spark, sf_dir):
-    """Operators of two content streams, with their operands."""
-    streams = [(1, bytearray(b"q % note (\n1 0 0 1 5 6 cm (a(b)\\) c) Tj BI /W 1 ID \x00 EI\x01 EI Q")), (2, bytearray(b"/P<</MCID 7>>BDC EMC"))]
-    out = content.operator_rows(spark.createDataFrame(streams, "page int, content binary"), "content", "page")
-    return out.select("page", "op_ord", "op", F.array_join("args", " ").alias("args"))
+    """Each item written as a content stream, a word an operator of one of four kinds, with comments and uneven space; its operators and operands."""
+    n, word = F.col("n"), F.regexp_replace("text", "[^A-Za-z0-9]", "z")
+    op = F.when(n % 4 == 0, F.concat(F.lit("("), word, F.lit(")Tj"))).when(n % 4 == 1, F.concat(n, F.lit("  -"), n, F.lit(".5 Td % (not a string\n"))).when(n % 4 == 2, F.lit("q")).otherwise(F.concat(F.lit("/P<</MCID "), n, F.lit(">>BDC")))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", op.alias("op")))), lambda x: x["op"]), "\n")
+    streams = _words(read_table(spark, sf_dir, "benchmark"), "item_id").groupBy("item_id").agg(F.encode(lines, "UTF-8").alias("content"))
+    out = content.operator_rows(streams, "content", "item_id")
+    return out.select("item_id", F.col("op_ord").cast("bigint").alias("op_ord"), "op", F.array_join("args", " ").alias("args"))
 
 
-@query("SELECT * FROM (VALUES (0, '8'), (1, NULL), (2, '7')) AS t(link_ord, annotation)")
+@query("""
+    WITH l AS (SELECT page, k, 'u' || (k * 3 + page) % 5 AS href, (page + k) % 3 AS how FROM range(1, 31) AS p(page), range(0, 6) AS t(k))
+    SELECT page, k AS link_ord, CASE WHEN how = 0 THEN CAST(100 + k AS VARCHAR) WHEN how = 1 THEN CAST(200 + k AS VARCHAR) END AS annotation FROM l""")
 def link_annotations(spark, sf_dir):
-    """Links with the page's annotations: by place first, then by address, each annotation once."""
-    box = "struct<x0:double,y0:double,x1:double,y1:double>"
-    a = spark.createDataFrame([(1, 0, "u", [(0.0, 0.0, 10.0, 10.0)]), (1, 1, "v", []), (1, 2, "u", [])], f"page int, link_ord long, href string, boxes array<{box}>")
-    b = spark.createDataFrame([(1, 7, "u", (50.0, 0.0, 60.0, 10.0)), (1, 8, "x", (0.0, 0.0, 9.0, 10.0))], f"page int, annot_ord long, uri string, box {box}")
-    out = geometry.links_to_annotations(a, b, ["page"])
-    return out.select(F.col("link_ord").cast("int").alias("link_ord"), F.col("annot_ord").cast("string").alias("annotation"))
+    """Links with the page's annotations: one that lies under the words, one elsewhere with an address of its own, or none."""
+    box = lambda x0, y0, x1, y1: F.struct(*(e.cast("double").alias(c) for c, e in zip(("x0", "y0", "x1", "y1"), (x0, y0, x1, y1))))
+    links = spark.range(1, 31).withColumnRenamed("id", "page").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    links = links.withColumns({"how": (F.col("page") + F.col("k")) % 3, "href": F.concat(F.lit("u"), F.col("page"), F.lit("-"), F.col("k"))})
+    top = F.col("k") * 20
+    at = box(F.lit(10), top, F.lit(60), top + 10)
+    a = links.select("page", F.col("k").cast("long").alias("link_ord"), "href", F.array(at).alias("boxes"))
+    under = links.where("how = 0").select("page", (F.col("k") + 100).cast("long").alias("annot_ord"), F.lit("other").alias("uri"), box(F.lit(9), top - 1, F.lit(61), top + 11).alias("box"))
+    away = links.where("how = 1").select("page", (F.col("k") + 200).cast("long").alias("annot_ord"), F.col("href").alias("uri"), box(F.lit(200), top, F.lit(260), top + 10).alias("box"))
+    out = geometry.links_to_annotations(a, under.union(away), ["page"])
+    return out.select("page", F.col("link_ord").cast("bigint").alias("link_ord"), F.col("annot_ord").cast("string").alias("annotation"))
 
 
 @query()
