@@ -9,7 +9,8 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -188,6 +189,28 @@ def align_arrays(left_norm: pd.Series, left_text: pd.Series, right_norm: pd.Seri
     return pd.DataFrame({"match": [m for m, _ in rows], "complete": [c for _, c in rows]})
 
 
+def run_hashes(words: list[str], size: int) -> np.ndarray:
+    """Distinct 64-bit hashes of all runs of ``size`` words."""
+    if len(words) < size:
+        return np.zeros(0, np.int64)
+    h = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    n = len(words) - size + 1
+    mixed = np.zeros(n, np.uint64)
+    for k in range(size):
+        mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + h[k : k + n]
+    return np.unique(mixed).view(np.int64)
+
+
+def word_runs(words: Column, size: int) -> Column:
+    """array<long>: ``run_hashes`` of the word array of a row."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def hashes(rows: pd.Series) -> pd.Series:
+        return pd.Series([run_hashes(list(r), size) for r in rows])
+
+    return hashes(words)
+
+
 def align_words(left: DataFrame, right: DataFrame, keys: list[str], budget: int = BUDGET) -> DataFrame:
     """(keys, word_ord, tok_ord, complete): every word of ``left`` with its match in ``right`` (tok_ord, -1 without one).
 

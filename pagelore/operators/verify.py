@@ -22,11 +22,10 @@ def text_failures(before: DataFrame, after: DataFrame, added: DataFrame, *keys:
     lacks, as a multiset. overlay_missing: characters of the added text that ``after``'s other words lack; those are compared by
     character, since words without a space between them run together.
     """
-    b = before.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("b"))
-    a = after.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("a"))
-    both = b.join(a, [*keys, "word"], "full").na.fill(0, ["a", "b"])
-    lost = both.where("b > a").groupBy(*keys).agg(F.sum(F.col("b") - F.col("a")).cast("long").alias("missing"))
-    spare = both.where("a > b").select(*keys, F.explode(F.split("word", "")).alias("c"), (F.col("a") - F.col("b")).alias("n")).groupBy(*keys, "c").agg(F.sum("n").alias("spare"))
+    signed = before.select(*keys, "word", F.lit(1).alias("n")).union(after.select(*keys, "word", F.lit(-1).alias("n")))
+    both = signed.groupBy(*keys, "word").agg(F.sum("n").alias("n")).where("n <> 0")  # one exchange, of what is left after sums on either side of it
+    lost = both.where("n > 0").groupBy(*keys).agg(F.sum("n").alias("missing"))
+    spare = both.where("n < 0").select(*keys, F.explode(F.split("word", "")).alias("c"), (-F.col("n")).alias("n")).groupBy(*keys, "c").agg(F.sum("n").alias("spare"))
     want = added.select(*keys, F.explode(F.split(F.regexp_replace("text", r"\s", ""), "")).alias("c")).where("c <> ''").groupBy(*keys, "c").agg(F.count(F.lit(1)).alias("want"))
     short = want.join(spare, [*keys, "c"], "left").withColumn("spare", F.coalesce("spare", F.lit(0))).where("want > spare")
     gone = short.groupBy(*keys).agg(F.sum(F.col("want") - F.col("spare")).cast("long").alias("overlay_missing"))

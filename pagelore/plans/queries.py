@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import attributes, text
 from ..functions.register import speak_math
-from ..operators import align, audit, content, forms, geometry, raster, report, review, structure, tagtree, verify, words
+from ..operators import align, audit, content, forms, geometry, raster, report, review, structure, tagging, tagtree, verify, words
 from ..sources.readers import checked_pages, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -247,16 +247,16 @@ def fuzzy_words(spark, sf_dir):
 
 
 @query(f"""
-    WITH w AS (SELECT doc_id, [{NORM.format("x")} for x in l] AS l FROM (SELECT doc_id, {WORDS} AS l FROM documents) WHERE len(l) >= 90),
-    label AS (SELECT doc_id, l, 0 AS label_ord, 2 AS a, 4 AS z FROM w UNION ALL SELECT doc_id, l, 1, 3, 12 FROM w UNION ALL SELECT doc_id, l, 2, 6, 85 FROM w),
+    WITH w AS (SELECT doc_id, [{NORM.format("x")} for x in l] AS l FROM (SELECT doc_id, {WORDS} AS l FROM documents)),
+    label AS (SELECT * FROM (SELECT doc_id, l, 0 AS label_ord, 2 AS a, 4 AS z FROM w UNION ALL SELECT doc_id, l, 1, 3, 12 FROM w UNION ALL SELECT doc_id, l, 2, 6, 85 FROM w) WHERE len(l) >= z),
     hit AS (SELECT doc_id, label_ord, i - 1 AS word_ord FROM (SELECT *, unnest(range(1, len(l) - (z - a) + 1)) AS i FROM label) WHERE l[i] = l[a] AND l[i:i + z - a] = l[a:z])
     SELECT doc_id, label_ord, min(word_ord) AS word_ord FROM hit GROUP BY doc_id, label_ord HAVING count(*) = 1""")
 def labels_on_page(spark, sf_dir):
-    """Words 2 to 4, 3 to 12 and 6 to 85 of each document as labels that are sought in it; found if they are there once."""
+    """Words 2 to 4, 3 to 12 and 6 to 85 of each document that has them as labels that are sought in it; found if they are there once."""
     norms = text.normalize_all(F.filter(F.split("text", f"[{text.SPACE}]+"), lambda x: x != ""))
-    docs = read_table(spark, sf_dir, "documents", spread=True).select("doc_id", norms.alias("l")).where("size(l) >= 90")
-    cut = F.array(*(F.struct(F.lit(k).alias("label_ord"), F.slice("l", a, z - a + 1).alias("norms")) for k, (a, z) in enumerate(((2, 4), (3, 12), (6, 85)))))
-    labels = docs.select("doc_id", F.inline(cut))
+    docs = read_table(spark, sf_dir, "documents", spread=True).select("doc_id", norms.alias("l"))
+    cut = F.array(*(F.struct(F.lit(k).alias("label_ord"), F.when(F.size("l") >= z, F.slice("l", a, z - a + 1)).alias("norms")) for k, (a, z) in enumerate(((2, 4), (3, 12), (6, 85)))))
+    labels = docs.select("doc_id", F.inline(cut)).where("norms is not null")
     return forms.labels_on_page(labels, docs.select("doc_id", F.posexplode("l").alias("word_ord", "norm")), ["doc_id"]).withColumn("word_ord", F.col("word_ord").cast("bigint"))
 
 
@@ -283,8 +283,7 @@ def benchmark_alignment(spark, sf_dir):
         return df.select(*keys, text.word_array(F.col("text")).alias("text")).withColumn("norm", text.normalize_all(F.col("text")))
 
     def grams(df: DataFrame, k: str) -> DataFrame:
-        run = F.transform(F.sequence(F.lit(1), F.size("norm") - 7), lambda i: F.xxhash64(F.slice("norm", i, 8)))
-        return df.where("size(norm) >= 8").select(k, F.explode(F.array_distinct(run)).alias("g"))
+        return df.select(k, F.explode(align.word_runs(F.col("norm"), 8)).alias("g"))
 
     items, docs = read_table(spark, sf_dir, "benchmark").select("item_id", "text"), read_table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
     shared = grams(listed(docs, "doc_id"), "doc_id").join(grams(listed(items, "item_id"), "item_id"), "g").select("item_id", "doc_id").distinct()
@@ -722,3 +721,46 @@ def page_counters(spark, sf_dir):
     w = _words(read_table(spark, sf_dir, "documents", spread=True), "doc_id").withColumn("norm", norm).join(distinct, "norm", "left")
     marked = w.select("doc_id", "text", "norm", F.coalesce("matched", F.lit(False)).alias("matched"), (F.col("n") < 3).alias("furniture"))
     return words.page_report(marked, marked.toDF(*marked.columns), "doc_id").withColumn("unmapped", F.col("unmapped").cast("int"))
+
+
+@query(f"""
+    WITH w AS (SELECT *, {NORM.format("text")} AS norm, count(*) OVER (PARTITION BY item_id) AS len FROM {_word_rows("item_id", "benchmark")})
+    SELECT item_id, len + 2 AS words, count(*) FILTER (WHERE n < len - 1 AND norm <> '') AS matched, 1 AS added_from_html, 1 AS furniture, 2 AS lost, max(CASE WHEN n = len - 1 THEN text END) || ' qqxlost' AS lost_words,
+        len AS placed, sum(CASE WHEN n < len - 1 AND norm <> '' THEN 20e0 + n % 10 * 50 ELSE 0 END) AS x, 'P' AS types
+    FROM w GROUP BY item_id, len""")
+def page_tagging(spark, sf_dir):
+    """Each item drawn ten words a line, with one more word and the page's number at the foot, and its HTML, which lacks the last word and has another at the beginning."""
+    items = read_table(spark, sf_dir, "benchmark").select("item_id", F.filter(F.split("text", f"[{text.SPACE}]+"), lambda x: x != "").alias("l"))
+    box = lambda x, y: F.struct(x.alias("x0"), y.alias("y0"), (x + 40.0).alias("x1"), (y + 10.0).alias("y1"))
+    word = lambda t, x, y: F.struct(t.alias("text"), box(x, y).alias("box"), (y + 8.0).alias("baseline"), F.lit(10.0).alias("size"))
+    lines = F.transform("l", lambda t, n: word(t, n % 10 * 50 + F.lit(20.0), F.floor(n / 10) * 15 + F.lit(100.0)))
+    foot = F.array(word(F.lit("qqxlost"), F.lit(20.0), F.lit(600.0)), word(F.lit("1"), F.lit(300.0), F.lit(780.0)))
+    body = F.array_join(F.slice("l", F.lit(1), F.greatest(F.lit(0), F.size("l") - 1)), " ")
+    pages = items.select("item_id", F.lit(1).alias("page"), F.concat(F.lit("<p>qqxadded "), text.escape_xml(body), F.lit("</p>")).alias("html"), F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), F.concat(lines, foot).alias("words"))
+    out = tagging.tag_pages(pages, "item_id")
+    on_page = F.filter("placed", lambda p: p["tok_ord"].isNotNull())
+    counters = [F.col(f"report.{c}").alias(c) for c in ("words", "matched", "added_from_html", "furniture", "lost")]
+    lost = F.array_join(F.flatten(F.transform("lost", lambda r: r["words"])), " ")
+    x = F.aggregate(on_page, F.lit(0.0), lambda acc, p: acc + p["box"]["x0"])
+    return out.select("item_id", *counters, lost.alias("lost_words"), F.size("placed").cast("bigint").alias("placed"), x.alias("x"), F.array_join(F.transform("nodes", lambda n: n["type"]), ",").alias("types"))
+
+
+FIELD_NAMES = ("(1, 0, 'own', 'y', 1), (1, 1, 'own', 'n', 1), (1, 2, 'a.b', NULL, 1), (1, 3, 'a.b', NULL, 1), (1, 4, 'late', NULL, 1), (1, 5, 'none', NULL, 1), (1, 6, '', NULL, 1), (2, 7, 'late', NULL, 1)", "page, control_ord, name, value, k")
+FIELDS_THERE = ("(1, 10, 'own', 'n'), (1, 11, 'own', 'y'), (1, 12, 'a-b', ''), (1, 13, 'a-b-2', ''), (1, 14, 'a-b-2', ''), (2, 15, 'late', ''), (2, 16, 'late', '')", "page, widget_ord, name, state")
+
+
+@query(f"""
+    WITH c AS (SELECT * FROM {_from(FIELD_NAMES)}), w AS (SELECT * FROM {_from(FIELDS_THERE)}),
+    t AS (SELECT c.page, control_ord, c.name, value, CASE WHEN c.name LIKE '%.%' THEN replace(c.name, '.', '-') || CASE WHEN row_number() OVER (PARTITION BY c.page, c.name, value ORDER BY control_ord) > 1 THEN '-2' ELSE '' END ELSE c.name END AS wanted FROM c),
+    m AS (SELECT t.page, control_ord, any_value(t.name) AS name, string_agg(CAST(widget_ord AS VARCHAR), ',' ORDER BY widget_ord) AS widgets FROM t LEFT JOIN w ON w.page = t.page AND w.name = t.wanted AND (t.value IS NULL OR w.state = t.value) GROUP BY t.page, control_ord)
+    SELECT page, control_ord, coalesce(widgets, '') AS widgets, CASE WHEN widgets IS NULL THEN CASE WHEN name = '' THEN 'field_without_name' WHEN name IN (SELECT name FROM w) THEN 'field_on_other_page' ELSE 'field_not_in_pdf' END END AS code FROM m""")
+def control_names(spark, sf_dir):
+    """Controls with all widgets of their name and value, or of the next variant of the name; why one has none."""
+    controls = _values(spark, FIELD_NAMES).groupBy("page").agg(F.collect_list(F.struct("control_ord", "name", "value")).alias("controls"))
+    states = F.when(F.col("state") == "", F.array().cast("array<string>")).otherwise(F.array("state"))
+    there = _values(spark, FIELDS_THERE)
+    widgets = there.groupBy("page").agg(F.collect_list(F.struct("widget_ord", "name", states.alias("on_states"))).alias("widgets"))
+    named = there.groupBy(F.lit(1).alias("doc")).agg(F.collect_set(F.struct("page", "name")).alias("n"))
+    others = controls.select("page", F.lit(1).alias("doc")).join(named, "doc").select("page", F.transform(F.filter("n", lambda x: x["page"] != F.col("page")), lambda x: x["name"]).alias("other_names"))
+    out = forms.match_controls(controls.join(widgets, "page").join(others, "page", "left"), "page")
+    return out.select("page", "control_ord", F.array_join("widget_ords", ",").alias("widgets"), "code")

@@ -127,3 +127,10 @@ def test_flow_and_segments():
     assert seg == {1: 1, 2: 1, 3: 1, 4: 1, 5: 2} and kept == {1, 2, 3}
     seg, kept = placement.segments([[1], [2]], {1: [1, 2], 2: [2, 3]}, set(), [0] * 3, set())
     assert seg == {} and kept == set()
+
+
+def test_words_that_read_the_same(spark):
+    rows = [("it’s", "it's", True, True), ("a–b", "a-b", True, True), ("“x”", '"x"', True, True), ("ﬁn", "fin", True, True), ("Fin", "fin", False, True), ("a-b", "ab", False, False), ("ⅳ", "iv", True, True)]
+    got = spark.createDataFrame(rows, "a string, b string, same boolean, marks boolean")
+    got = got.select("same", "marks", text.same_text(F.col("a"), F.col("b")).alias("s"), (text.marks(F.col("a")) == text.marks(F.col("b"))).alias("m")).collect()
+    assert [(r.s, r.m) for r in got] == [(r.same, r.marks) for r in got]
