@@ -20,6 +20,7 @@ import re
 import sys
 import types
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,28 +151,37 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
     """Best-fit decreasing over lengths with counts: (pattern, bins of that pattern)."""
     bins: dict[int, list[tuple[Pattern, int]]] = {}
+    rooms: list[int] = []  # those of bins, sorted
+
+    def put(room: int, pattern: Pattern, times: int) -> None:
+        if room not in bins:
+            bins[room] = []
+            insort(rooms, room)
+        bins[room].append((pattern, times))
+
     for length in np.flatnonzero(counts)[::-1].tolist():
         left = int(counts[length])
         while left:
-            room = min((r for r in bins if r >= length), default=None)
-            if room is None:
-                bins.setdefault(capacity, []).append(((), -(-left // (capacity // length))))
+            at = bisect_left(rooms, length)
+            if at == len(rooms):
+                put(capacity, (), -(-left // (capacity // length)))
                 continue
+            room = rooms[at]
             pattern, times = bins[room].pop()
             if not bins[room]:
-                del bins[room]
+                del bins[room], rooms[at]
             fits = room // length  # the bin stays the fullest that fits as long as it fits
             whole = min(times, left // fits)
             if whole:
-                bins.setdefault(room - fits * length, []).append(((*pattern, (length, fits)), whole))
+                put(room - fits * length, (*pattern, (length, fits)), whole)
                 left -= whole * fits
             if whole < times and left:  # one more, in part
                 part = min(fits, left)
-                bins.setdefault(room - part * length, []).append(((*pattern, (length, part)), 1))
+                put(room - part * length, (*pattern, (length, part)), 1)
                 left -= part
                 whole += 1
             if whole < times and pattern:
-                bins.setdefault(room, []).append((pattern, times - whole))
+                put(room, pattern, times - whole)
     return [(p, n) for group in bins.values() for p, n in group if p]
 
 
