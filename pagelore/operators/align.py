@@ -189,6 +189,28 @@ def align_arrays(left_norm: pd.Series, left_text: pd.Series, right_norm: pd.Seri
     return pd.DataFrame({"match": [m for m, _ in rows], "complete": [c for _, c in rows]})
 
 
+def near_words(words: DataFrame, column: str) -> DataFrame:
+    """(a, b), a < b: pairs of distinct words that are ``similar``.
+
+    Two words within d edits agree on one of the d + 1 segments of the longer one, moved by d places at most. So words are joined by
+    (length of the longer, segment, its text), not by length alone, and what meets is compared exactly.
+    """
+    from ..functions.text import similar as near
+
+    w = words.select(F.col(column).alias("w")).where(f"length({column}) between 4 and {LONGEST}").distinct().withColumn("n", F.length("w"))
+    start = lambda i: F.floor(i * F.col("L") / (F.floor(F.col("L") / 4) + 1))
+    parts = lambda df: df.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("L") / 4)))).withColumns({"p": start(F.col("i")), "z": start(F.col("i") + 1)})
+    piece = lambda at: F.substring("w", (at + 1).cast("int"), (F.col("z") - F.col("p")).cast("int"))
+    long = parts(w.withColumn("L", F.col("n"))).select(F.col("w").alias("b"), "L", "i", piece(F.col("p")).alias("s"))
+    lengths = F.filter(F.sequence("n", F.least(F.lit(LONGEST), F.ceil(F.col("n") * 4 / 3).cast("int") + 1)), lambda x: x - F.col("n") <= F.floor(x / 4))
+    short = parts(w.withColumn("L", F.explode(lengths)))
+    d, last = F.floor(F.col("L") / 4), F.col("n") - (F.col("z") - F.col("p"))
+    first, end = F.greatest(F.lit(0), F.col("p") - d), F.least(last, F.col("p") + d)
+    moved = short.withColumn("at", F.explode(F.when(first <= end, F.sequence(first, end)))).select(F.col("w").alias("a"), "L", "i", piece(F.col("at")).alias("s")).distinct()
+    met = long.join(moved, ["L", "i", "s"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met.where(near(F.col("a"), F.col("b")))
+
+
 def run_hashes(words: list[str], size: int) -> np.ndarray:
     """Distinct 64-bit hashes of all runs of ``size`` words."""
     if len(words) < size:

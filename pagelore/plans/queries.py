@@ -238,12 +238,10 @@ VOCABULARY = f"(SELECT DISTINCT replace({NORM.format('text')}, 'ß', 's') AS w F
     WHERE a.w < b.w AND least(length(a.w), length(b.w)) >= 4 AND abs(length(a.w) - length(b.w)) <= greatest(length(a.w), length(b.w)) // 4
       AND levenshtein(a.w, b.w) <= greatest(length(a.w), length(b.w)) // 4 AND length(b.w) < 64""")
 def fuzzy_words(spark, sf_dir):
-    """Pairs of the benchmark's words within a quarter of their length; only words of near lengths are joined. DuckDB counts edits in
-    bytes, so the one letter that stays outside ASCII is written as one."""
-    w = _words(read_table(spark, sf_dir, "benchmark"), "item_id").select(F.replace(text.normalize(F.col("text")), F.lit("ß"), F.lit("s")).alias("w")).distinct().where("length(w) >= 4")
-    a = w.select(F.col("w").alias("a"), F.explode(F.sequence(F.floor(F.length("w") * 3 / 4), F.ceil(F.length("w") * 4 / 3).cast("bigint") + 1)).alias("n"))
-    b = w.select(F.col("w").alias("b"), F.length("w").cast("bigint").alias("n"))
-    return a.join(b, "n").where((F.col("a") < F.col("b")) & text.similar(F.col("a"), F.col("b"))).select("a", "b")
+    """Pairs of the benchmark's words within a quarter of their length, joined by segments. DuckDB counts edits in bytes, so the one
+    letter that stays outside ASCII is written as one."""
+    w = _words(read_table(spark, sf_dir, "benchmark"), "item_id").select(F.replace(text.normalize(F.col("text")), F.lit("ß"), F.lit("s")).alias("w"))
+    return align.near_words(w, "w")
 
 
 @query(f"""
