@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import re
 import shutil
@@ -10,9 +11,11 @@ import tempfile
 import time
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_used: set[str] = set()
 
 
 def folder(spark: SparkSession) -> str:
@@ -30,13 +33,31 @@ def folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` computed once, written and read again. Any executor can be lost afterwards without computing it again."""
+    """``df`` computed once, written and read again. Any executor can be lost afterwards without computing it again.
+
+    The session's tables go when the driver ends, or earlier by ``clear``.
+    """
     spark = df.sparkSession
-    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    at = folder(spark)
+    if at not in _used:
+        _used.add(at)
+        atexit.register(_delete, *_jvm_path(spark, at))
+    path = f"{at}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _jvm_path(spark: SparkSession, path: str) -> tuple:
+    """The path and its file system, which outlive the session."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _delete(files, at) -> None:
+    with contextlib.suppress(Py4JError):  # the JVM may be gone by then
+        files.delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Have Spark delete the files of shuffles that no table is still computed from, which it does when the driver's garbage is collected."""
     gc.collect()
@@ -47,6 +68,5 @@ def release(spark: SparkSession) -> None:
 
 def clear(spark: SparkSession) -> None:
     """Delete the session's tables. Call it once results that were built on them are written."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(folder(spark))
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    files, at = _jvm_path(spark, folder(spark))
+    files.delete(at, True)
