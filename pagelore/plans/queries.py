@@ -692,18 +692,25 @@ def link_annotations(spark, sf_dir):
     return out.select("page", F.col("link_ord").cast("bigint").alias("link_ord"), F.col("annot_ord").cast("string").alias("annotation"))
 
 
-@query()
+@query("""
+    WITH p AS (SELECT page, 58 + page % 6 AS t, 72 + page % 9 AS l, 200 + page % 40 AS r, 104 + page % 3 AS s, 13 + page % 5 AS w FROM range(1, 61) AS p(page))
+    SELECT page, 0 AS control_ord, CASE WHEN page % 4 > 0 THEN greatest(l, 75) END * 1e0 AS x0, CASE WHEN page % 4 > 0 THEN t - 20 END * 1e0 AS y0, CASE WHEN page % 4 > 0 THEN r END * 1e0 AS x1, CASE WHEN page % 4 > 0 THEN t - 1 END * 1e0 AS y1 FROM p
+    UNION ALL SELECT page, 1, 50e0, s * 1e0, 50e0 + w, s + w * 1e0 FROM p UNION ALL SELECT page, 2, NULL, NULL, NULL, NULL FROM p""")
 def raster_fields(spark, sf_dir):
-    """Blanks found on a drawn page: an underline beside a label, a check box left of one."""
+    """Blanks found on drawn pages: an underline beside a label (on three pages of four), a check box left of one, and none for a third."""
     import numpy as np
 
-    p = np.full((200, 300), 255, np.uint8)
-    p[60, 80:220] = 0
-    p[[104, 118], 50:65] = 0
-    p[104:119, [50, 64]] = 0
     box = "struct<x0:double,y0:double,x1:double,y1:double>"
-    rows = [(1, 300, 200, bytearray(p.tobytes()), [], [(0, "text", (10.0, 44.0, 70.0, 60.0)), (1, "checkbox", (75.0, 103.0, 130.0, 120.0)), (2, "text", (10.0, 150.0, 60.0, 166.0))])]
-    pages = spark.createDataFrame(rows, f"page int, w int, h int, gray binary, words array<{box}>, controls array<struct<control_ord:int,type:string,label:{box}>>")
+    rows = []
+    for page in range(1, 61):
+        p = np.full((200, 300), 255, np.uint8)
+        if page % 4:
+            p[58 + page % 6, 72 + page % 9 : 201 + page % 40] = 0
+        s, w = 104 + page % 3, 13 + page % 5
+        p[[s, s + w], 50 : 51 + w] = 0
+        p[s : s + w + 1, [50, 50 + w]] = 0
+        rows.append((page, 300, 200, bytearray(p.tobytes()), [], [(0, "text", (10.0, 44.0, 70.0, 60.0)), (1, "checkbox", (75.0, 103.0, 130.0, 120.0)), (2, "text", (10.0, 150.0, 60.0, 166.0))]))
+    pages = spark.createDataFrame(rows, f"page long, w int, h int, gray binary, words array<{box}>, controls array<struct<control_ord:int,type:string,label:{box}>>")
     return raster.place_fields(pages, "page")
 
 
