@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import per_row
+
 WHITE = "\0\t\n\f\r "
 _TOKEN = re.compile(rb"[\0\t\n\f\r ]+|%[^\r\n]*|\(|<<|>>|<[^>]*>?|[\[\]{}]|/[^\0\t\n\f\r ()<>\[\]{}/%]*|[^\0\t\n\f\r ()<>\[\]{}/%]+|[)>]".replace(b"\\0", b"\\x00"), re.S)
 _NUMBER = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)\Z")
@@ -220,3 +222,49 @@ def leftover_ids(streams: DataFrame, content: str, *keys: str) -> DataFrame:
 
 def _without_strings(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else without_strings(x))
+
+
+def _text(content: bytes | None) -> str:
+    return bytes(content or b"").decode("latin-1")
+
+
+def marked_texts(streams: DataFrame, *keys: str) -> DataFrame:
+    """(keys, mcid, text): what each marked-content sequence of a stream says.
+
+    streams: content BINARY and fonts array<struct<name, cmap string, width int>>, each font's character map and bytes of a code. Joined to
+    structure nodes by page and mcid it is their text. A null stream says nothing.
+    """
+
+    def texts(content, fonts):
+        maps = {f["name"]: character_map(f["cmap"] or "") for f in fonts or []}
+        return sorted(marked_strings(_text(content), maps, {f["name"]: f["width"] or 1 for f in fonts or []}).items())
+
+    return per_row(streams, list(keys), ["content", "fonts"], texts, "mcid int, text string")
+
+
+def drawn_images(streams: DataFrame, *keys: str) -> DataFrame:
+    """(keys, op_ord, box, own_mark): where each image of a stream is drawn, and whether it may have a mark of its own.
+
+    streams: content BINARY, images array<string> (names that are images), transform array<double> (the page's, six numbers).
+    """
+
+    def boxes(content, images, transform):
+        found = image_boxes(_text(content), set(images or []), tuple(transform or (1, 0, 0, 1, 0, 0)))
+        return [(k, dict(zip(("x0", "y0", "x1", "y1"), map(float, box))), bool(own)) for k, box, own in found]
+
+    return per_row(streams, list(keys), ["content", "images", "transform"], boxes, "op_ord int, box struct<x0:double,y0:double,x1:double,y1:double>, own_mark boolean")
+
+
+def without_marks(streams: DataFrame, *keys: str) -> DataFrame:
+    """(keys, content): streams without marked content; what optional content decides stays."""
+    return per_row(streams, list(keys), ["content"], lambda content: [(None if content is None else unmarked(_text(content)).encode("latin-1"),)], "content binary")
+
+
+def decoded_strings(streams: DataFrame, *keys: str) -> DataFrame:
+    """(keys, op_ord, arg, bytes): the string operands of a stream as bytes; null if one is malformed."""
+
+    def strings(content):
+        every = [(k, a, string_bytes(t)) for k, o in enumerate(operators(_text(content))) for a, t in enumerate(o.args) if t[:1] in ("(", "<") and t[:2] != "<<"]
+        return [(k, a, None if s is None else s.encode("latin-1")) for k, a, s in every]
+
+    return per_row(streams, list(keys), ["content"], strings, "op_ord int, arg int, bytes binary")

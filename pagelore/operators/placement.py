@@ -5,6 +5,10 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame
+
+from .rows import per_row
+
 
 def _plain(s: str) -> str:
     return "".join(unicodedata.normalize("NFKC", s).split())
@@ -120,3 +124,47 @@ def segments(runs: list[list[int]], codes: dict[int, list[int]], alone: set[int]
         segment[c] = n
         before, waiting = (mine, obj), []
     return segment, set(codes)
+
+
+def flow_words(pages: DataFrame, *keys: str, wide: float = 0.5) -> DataFrame:
+    """(keys, word_ord, box, baseline, size): a place for every word of a page; those without one follow the word before.
+
+    pages: width, height, words array<struct<text, space, new_line, box, baseline, size>> in reading order, box null where there is
+    none. A character is ``wide`` of its size. New lines count only on a page where no word has a place.
+    """
+
+    def places(width, height, words):
+        words = words or []
+        flat = [{"text": w["text"], "space": w["space"], **({"box": tuple(w["box"][c] for c in ("x0", "y0", "x1", "y1")), "baseline": w["baseline"], "size": w["size"]} if w["box"] else {})} for w in words]
+        breaks = {k for k, w in enumerate(words) if k and w["new_line"]} if not any("box" in w for w in flat) else set()
+        out = flow(flat, (0.0, 0.0, width, height), lambda s: wide * len(s), breaks)
+        return [(k, dict(zip(("x0", "y0", "x1", "y1"), map(float, w["box"]))), float(w["baseline"]), float(w["size"])) for k, w in enumerate(out)]
+
+    return per_row(pages, list(keys), ["width", "height", "words"], places, "word_ord int, box struct<x0:double,y0:double,x1:double,y1:double>, baseline double, size double")
+
+
+def drawn_parts(tokens: DataFrame, *keys: str) -> DataFrame:
+    """(keys, word_ord, first, end): the characters of a drawn word that each HTML word is; no rows if they can't be told apart.
+
+    tokens: drawn string, words array<struct<word_ord, text>> (its own and unmatched ones beside them), low and high, its own.
+    """
+
+    def parts(drawn, words, low, high):
+        return spread(list(drawn or ""), {w["word_ord"]: w["text"] for w in words or []}, low, high) or []
+
+    return per_row(tokens, list(keys), ["drawn", "words", "low", "high"], parts, "word_ord int, first int, end int")
+
+
+def code_segments(pages: DataFrame, *keys: str) -> DataFrame:
+    """(keys, code, segment): the marked-content sequence that each character code of a page goes into.
+
+    pages: runs array<array<int>> of word ids, codes map<int, array<int>> of words that own some (from 1), alone array<int>, objects
+    array<int> (the text object of each code) and inked array<int>.
+    """
+
+    def owned(runs, codes, alone, objects, inked):
+        codes = dict(codes or [])
+        found, _ = segments(runs or [], codes, set(alone or []), objects or [], set(inked or []))
+        return sorted(found.items())
+
+    return per_row(pages, list(keys), ["runs", "codes", "alone", "objects", "inked"], owned, "code int, segment int")

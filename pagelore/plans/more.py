@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import audit, forms, geometry, report, review, structure, tagtree, words
+from ..operators import audit, content, forms, geometry, placement, report, review, structure, tagtree, words
 from ..sources.readers import read_table
 from .queries import SPACE, WORDS, _from, _values, _word_rows, _words, query
 
@@ -279,3 +279,99 @@ def capped_trees(spark, sf_dir):
     turns = read_table(spark, sf_dir, "conversations")
     tree = turns.select("conv_id", F.lit("P").alias("type"), F.substring("text", 1, 20).alias("text"), F.array(F.col("turn")).alias("path"))
     return tagtree.capped(tree, "conv_id", elements=3).groupBy("conv_id").agg(F.count(F.lit(1)).alias("kept"), F.bool_or("truncated").alias("truncated"))
+
+
+# Content streams and places
+
+_CMAP = "1 beginbfrange <{0}> <{1}> <0041> endbfrange"
+
+
+@query(f"SELECT item_id, n // 3 AS mcid, string_agg(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '' ORDER BY n) AS text FROM {_word_rows('item_id', 'benchmark')} GROUP BY item_id, n // 3")
+def marked_content(spark, sf_dir):
+    """Each item as a stream of marked content, three words a sequence, in codes of two bytes that a character map reads: the texts again."""
+    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
+    w = _words(read_table(spark, sf_dir, "benchmark"), "item_id").select("item_id", "n", letters.alias("l"))
+    w = w.withColumn("last", F.lead("n").over(_by("item_id", "n")).isNull())
+    shift = F.array_join(F.transform(F.filter(F.split("l", ""), lambda c: c != ""), lambda c: F.lower(F.lpad(F.hex(F.ascii(c) - 65 + 4660), 4, "0"))), "")
+    begin = F.when(F.col("n") % 3 == 0, F.concat(F.lit("/P <</MCID "), F.floor(F.col("n") / 3), F.lit(">> BDC BT /F1 9 Tf "))).otherwise("")
+    op = F.concat(begin, F.lit("<"), shift, F.lit("> Tj"))
+    end = F.when((F.col("n") % 3 == 2) | F.col("last"), " ET EMC").otherwise("")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat(op, end).alias("s")))), lambda x: x["s"]), "\n")
+    streams = w.groupBy("item_id").agg(F.encode(lines, "UTF-8").alias("content"))
+    fonts = F.array(F.struct(F.lit("F1").alias("name"), F.lit(_CMAP.format("1234", "124d")).alias("cmap"), F.lit(2).alias("width")))
+    found = content.marked_texts(streams.withColumn("fonts", fonts), "item_id")
+    every = w.select("item_id", F.floor(F.col("n") / 3).cast("int").alias("mcid")).distinct()
+    return every.join(found, ["item_id", "mcid"], "left").select("item_id", F.col("mcid").cast("bigint").alias("mcid"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query("""
+    SELECT page, k AS image, 10e0 + page + 5 * k AS x0, 20e0 * k AS y0, 10e0 + page + 5 * k + 30 AS x1, 20e0 * k + 15 AS y1, k <> 1 AS own_mark FROM range(0, 40) AS p(page), range(0, 3) AS t(k)""")
+def drawn_images(spark, sf_dir):
+    """Three images of each page, drawn through nested transformations, the second inside marked content."""
+    one = lambda k, a="", z="": F.concat(F.lit(f"q 1 0 0 1 {5 * k} {20 * k} cm {a} q 30 0 0 15 0 0 cm /Im{k} Do Q {z} Q\n"))
+    body = F.concat(F.lit("q 1 0 0 1 10 0 cm 1 0 0 1 "), F.col("page"), F.lit(" 0 cm\n"), one(0), one(1, "/P <</MCID 1>> BDC", "EMC"), one(2), F.lit("/Fm0 Do Q"))
+    streams = spark.range(40).withColumnRenamed("id", "page").select("page", F.encode(body, "UTF-8").alias("content"), F.array(*map(F.lit, ("Im0", "Im1", "Im2"))).alias("images"), F.lit(None).cast("array<double>").alias("transform"))
+    found = content.drawn_images(streams, "page")
+    return found.select("page", (F.row_number().over(_by("page", "op_ord")) - 1).cast("bigint").alias("image"), *(F.col(f"box.{c}").alias(c) for c in BOXES), "own_mark")
+
+
+@query(f"""
+    SELECT item_id, string_agg(CASE n % 3 WHEN 0 THEN 'q' WHEN 1 THEN '/OC /x BDC' ELSE 'EMC' END, ' ' ORDER BY n) AS content
+    FROM (SELECT item_id, unnest(range(0, 3 * (1 + len(l) // 20))) AS n FROM (SELECT item_id, {WORDS} AS l FROM benchmark)) GROUP BY item_id""")
+def unmarked_content(spark, sf_dir):
+    """Streams with marks of two kinds: those that a structure owns go, optional content stays."""
+    items = read_table(spark, sf_dir, "benchmark").select("item_id", (1 + F.floor(F.size(F.filter(F.split("text", f"[{text.SPACE}]+"), lambda x: x != "")) / 20)).cast("int").alias("k"))
+    body = F.repeat(F.lit("/P <</MCID 3>> BDC q EMC /T MP /OC /x BDC EMC\n"), F.col("k"))
+    out = content.without_marks(items.select("item_id", F.encode(body, "UTF-8").alias("content")), "item_id")
+    return out.select("item_id", F.trim(F.regexp_replace(F.decode("content", "UTF-8"), r"\s+", " ")).alias("content"))
+
+
+@query("""
+    SELECT k, 0 AS arg, CASE k % 4 WHEN 0 THEN 'a' || k || '(b)' WHEN 1 THEN chr(65 + CAST(k AS INT) % 20) || '~' WHEN 2 THEN 'x' || chr(10) || 'y' ELSE chr(40) || chr(65) END AS s FROM range(0, 40) AS t(k)""")
+def string_operands(spark, sf_dir):
+    """Strings of a stream as bytes: nested brackets, hexadecimal of odd length, line ends, escapes."""
+    k = F.col("k")
+    literal = F.concat(F.lit("(a"), k, F.lit("(b))"))
+    hexa = F.concat(F.lit("< "), F.hex(65 + k % 20), F.lit(" 7 E>"))
+    op = F.when(k % 4 == 0, literal).when(k % 4 == 1, hexa).when(k % 4 == 2, F.lit("(x\r\ny)")).otherwise(F.lit("(\\(\\101)"))
+    streams = spark.range(40).withColumnRenamed("id", "k").select("k", F.encode(F.concat(op, F.lit(" Tj")), "UTF-8").alias("content"))
+    return content.decoded_strings(streams, "k").select("k", "arg", F.decode("bytes", "ISO-8859-1").alias("s"))
+
+
+@query(f"""
+    WITH w AS (SELECT item_id, n, length(text) AS c FROM {_word_rows("item_id", "benchmark")}),
+    a AS (SELECT *, sum(c * 5e0 + 5) OVER (PARTITION BY item_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM w)
+    SELECT item_id, n AS word_ord, 10 + coalesce(before, 0) AS x0, 10 + coalesce(before, 0) + c * 5e0 AS x1, 20e0 AS baseline FROM a""")
+def flowing_words(spark, sf_dir):
+    """Words without a place on a very wide page: one after the other, five points a character and five a space."""
+    w = _words(read_table(spark, sf_dir, "benchmark"), "item_id")
+    none = F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>")
+    word = F.struct("n", "text", F.lit(True).alias("space"), F.lit(False).alias("new_line"), none.alias("box"), F.lit(None).cast("double").alias("baseline"), F.lit(None).cast("double").alias("size"))
+    pages = w.groupBy("item_id").agg(F.array_sort(F.collect_list(word)).alias("words")).withColumns({"width": F.lit(1e6), "height": F.lit(792.0)})
+    out = placement.flow_words(pages, "item_id")
+    return out.select("item_id", F.col("word_ord").cast("bigint").alias("word_ord"), F.col("box.x0").alias("x0"), F.col("box.x1").alias("x1"), "baseline")
+
+
+@query(f"""
+    WITH w AS (SELECT item_id, n, text, lead(text) OVER (PARTITION BY item_id ORDER BY n) AS after FROM {_word_rows("item_id", "benchmark")})
+    SELECT item_id, n AS token, k AS word_ord, CASE k WHEN 0 THEN 0 ELSE length(text) + 1 END AS first, CASE k WHEN 0 THEN length(text) ELSE length(text) + 1 + length(after) END AS "end" FROM w, range(0, 2) AS t(k) WHERE n % 2 = 0 AND after IS NOT NULL""")
+def shared_tokens(spark, sf_dir):
+    """Two words drawn as one, with a dash between them: each one's characters of it."""
+    w = _words(read_table(spark, sf_dir, "benchmark"), "item_id")
+    both = w.withColumn("after", F.lead("text").over(_by("item_id", "n"))).where("n % 2 = 0 and after is not null")
+    words_ = F.array(F.struct(F.lit(0).alias("word_ord"), "text"), F.struct(F.lit(1).alias("word_ord"), F.col("after").alias("text")))
+    tokens = both.select("item_id", F.col("n").alias("token"), F.concat("text", F.lit("—"), "after").alias("drawn"), words_.alias("words"), F.lit(0).alias("low"), F.lit(1).alias("high"))
+    return placement.drawn_parts(tokens, "item_id", "token")
+
+
+@query("""
+    SELECT page, c AS code, CASE WHEN page % 3 = 0 THEN 1 + (c - 1) // 4 WHEN c <= 8 THEN 1 ELSE 2 END AS segment FROM range(1, 25) AS p(page), range(1, 13) AS t(c) WHERE page % 3 < 2 AND (c - 1) % 4 < 3 OR page % 3 = 1 AND c = 4""")
+def code_owners(spark, sf_dir):
+    """Codes of three words of a page, three each with a blank after them: words that own theirs alone, words of two runs, words that all claim one code."""
+    rows = []
+    for page in range(1, 25):
+        codes = {w: [4 * w + c for c in (1, 2, 3)] + ([12] if page % 3 == 2 else []) for w in range(3)}
+        inked = [c for c in range(1, 13) if (c - 1) % 4 < 3] + [8]
+        rows.append((page, [[0, 1], [2]], codes, [0, 1, 2] if page % 3 == 0 else [], [0] * 12, [c for c in inked if c != 8] if page % 3 else inked))
+    pages = spark.createDataFrame(rows, "page long, runs array<array<int>>, codes map<int,array<int>>, alone array<int>, objects array<int>, inked array<int>")
+    return placement.code_segments(pages, "page").select("page", F.col("code").cast("bigint").alias("code"), F.col("segment").cast("bigint").alias("segment"))
