@@ -46,17 +46,20 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", size: int = 5, shar
         odd = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
         def compute(texts: Iterator[str | None]) -> list[pa.Array]:
-            sets, fps = [], []
+            names, fps, buckets = [], [], []
             for t in texts:
-                sets.append(shingles(t, size))
+                x = shingles(t, size)
+                names.append(xxhash.xxh64_intdigest(x.tobytes()) if len(x) else 0)
                 fps.append(fingerprint(shingle_hashes(t or "", fingerprint_size)))
-            names = [xxhash.xxh64_intdigest(x.tobytes()) if len(x) else 0 for x in sets]
-            return [pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array([bands(x, odd) if len(x) else [] for x in sets], pa.list_(pa.int64()))]
+                buckets.append(bands(x, odd) if len(x) else [])
+            return [pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(buckets, pa.list_(pa.int64()))]
 
         return compute
 
-    marked = written(with_columns(docs, text_col, make, "__set long, fp long, __bands array<long>"))
-    nodes = written(marked.where("size(__bands) > 0").select(F.col("__set").alias("node"), "fp", "__bands").dropDuplicates(["node"]))
+    marked = written(with_columns(docs, text_col, make, "__set long, fp long, __bands array<long>").withColumn("__row", F.monotonically_increasing_id()))
+    # of equal sets one row, the first, stands for all
+    nodes = marked.where("size(__bands) > 0").groupBy(F.col("__set").alias("node")).agg(F.min(F.struct("__row", "fp", "__bands")).alias("r"))
+    nodes = written(nodes.select("node", "r.__row", "r.fp", "r.__bands"))
     # of the sets with one fingerprint the least stands for all
     reps = written(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
     near = components(links(reps, distance, groups))
@@ -92,11 +95,12 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", size: int = 5, shar
                 moved = np.flatnonzero(label != np.arange(len(n)))
                 yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], names=["a", "b"])
 
-    texts = marked.join(rows.select(F.col("node").alias("__set")).distinct(), "__set", "left_semi").dropDuplicates(["__set"])
-    held = texts.select(F.col("__set").alias("node"), F.col(text_col).cast("string")).mapInArrow(sets, "node long, x binary")
+    chosen = nodes.join(rows.select("node").distinct(), "node").select("node", "__row")
+    texts = marked.select("__row", F.col(text_col).cast("string").alias("text")).join(chosen, "__row")
+    held = written(texts.select("node", "text").mapInArrow(sets, "node long, x binary"))
     runs = split_runs(rows, "bucket", "node", block).select("run", "side", "node").join(held, "node")
     linked = runs.select("run", "side", "node", "x").repartition("run").sortWithinPartitions("run").mapInArrow(verify, "a long, b long")
     found = components(linked).select(F.col("node").alias("__set"), F.col("root").alias("__root"))
     sizes = marked.groupBy("__set").agg(F.count(F.lit(1)).alias("n"))
     of = written(sizes.join(found, "__set", "left").select("__set", F.coalesce("__root", "__set").alias("__group"), "n"))
-    return spread_join(marked.drop("__bands"), of, "__set")
+    return spread_join(marked.drop("__bands", "__row"), of, "__set")

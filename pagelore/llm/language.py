@@ -139,7 +139,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
 
             for t in batch:
                 held.append(t if t and any(map(str.isalpha, t)) else None)
-                if len(held) == 256:
+                if len(held) == 64:
                     flush()
             if held:
                 flush()

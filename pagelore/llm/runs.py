@@ -84,11 +84,11 @@ def spread_join(rows: DataFrame, of: DataFrame, key: str, how: str = "inner", bl
     are fewer such keys than ``hot_keys``, so their list is broadcast whatever the size of the tables. Rows are dealt by their place in
     ``rows``, so that has to be a table (or narrow steps on one): a task that is run again deals them the same way.
     """
-    total = of.agg(F.sum("n")).first()[0] or 0
+    total, most = (x or 0 for x in of.agg(F.sum("n"), F.max("n")).first())
     block = max(block, total // hot_keys)
-    hot = of.where(F.col("n") > block).select(F.col(key).alias("__key"), F.ceil(F.col("n") / block).cast("int").alias("__parts"))
-    if hot.isEmpty():
+    if most <= block:
         return rows.join(of.drop("n"), key, how)
+    hot = of.where(F.col("n") > block).select(F.col(key).alias("__key"), F.ceil(F.col("n") / block).cast("int").alias("__parts"))
     hot, parts = F.broadcast(written(hot)), F.coalesce("__parts", F.lit(1))
     left = rows.withColumn("__row", F.monotonically_increasing_id()).join(hot, F.col(key).eqNullSafe(F.col("__key")), "left").withColumn("__part", F.pmod(F.xxhash64("__row", F.lit("part")), parts).cast("int")).drop("__key", "__parts", "__row")
     right = of.drop("n").join(hot, F.col(key).eqNullSafe(F.col("__key")), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__key", "__parts")

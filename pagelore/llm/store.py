@@ -10,12 +10,16 @@ import shutil
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _used: set[str] = set()
+#: By folder: tables of the stages so far, and, inside a stage, its own.
+_staged: dict[str, list[str]] = {}
+_open: list[list[str]] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -44,6 +48,8 @@ def written(df: DataFrame) -> DataFrame:
         atexit.register(_delete, *_jvm_path(spark, at))
     path = f"{at}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,6 +64,26 @@ def _delete(files, at) -> None:
         files.delete(at, True)
 
 
+@contextlib.contextmanager
+def stage(docs: DataFrame) -> Iterator[None]:
+    """A stage whose input is ``docs``. The tables of stages before it are deleted when it begins, but those that ``docs`` still reads stay.
+
+    So a stage's result has to be written, or handed on to the next stage, before another one begins.
+    """
+    spark = docs.sparkSession
+    at, read = folder(spark), docs.inputFiles()
+    for path in _staged.pop(at, []):
+        if any(path.rsplit("/", 1)[1] in f for f in read):
+            _staged.setdefault(at, []).append(path)
+        else:
+            _delete(*_jvm_path(spark, path))
+    _open.append([])
+    try:
+        yield
+    finally:
+        _staged.setdefault(at, []).extend(_open.pop())
+
+
 def release(spark: SparkSession) -> None:
     """Have Spark delete the files of shuffles that no table is still computed from, which it does when the driver's garbage is collected."""
     gc.collect()
