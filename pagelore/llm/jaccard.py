@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .fingerprints import fingerprint, links, shingle_hashes
 from .graph import components
-from .runs import join_labels, split_runs, spread_join, whole_runs, with_columns
+from .runs import fresh, join_labels, split_runs, spread_join, whole_runs, with_columns
 from .store import written
 
 BANDS, ROWS = 24, 4
@@ -56,16 +56,17 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", size: int = 5, shar
 
         return compute
 
-    marked = written(with_columns(docs, text_col, make, "__set long, fp long, __bands array<long>").withColumn("__row", F.monotonically_increasing_id()))
+    in_bands, row = fresh(docs.columns, "bands", "row")
+    marked = written(with_columns(docs, text_col, make, f"__set long, fp long, `{in_bands}` array<long>").withColumn(row, F.monotonically_increasing_id()))
     # of equal sets one row, the first, stands for all
-    nodes = marked.where("size(__bands) > 0").groupBy(F.col("__set").alias("node")).agg(F.min(F.struct("__row", "fp", "__bands")).alias("r"))
-    nodes = written(nodes.select("node", "r.__row", "r.fp", "r.__bands"))
+    some = marked.where(F.size(in_bands) > 0).select(F.col("__set").alias("node"), F.struct(F.col(row).alias("row"), "fp", F.col(in_bands).alias("bands")).alias("r"))
+    nodes = written(some.groupBy("node").agg(F.min("r").alias("r")).select("node", "r.row", "r.fp", "r.bands"))
     # of the sets with one fingerprint the least stands for all
     reps = written(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
     near = components(links(reps, distance, groups))
     near = reps.join(near, reps.rep == near.node, "left").select("fp", F.coalesce("root", "rep").alias("bucket"))
     same = nodes.join(near, "fp").select("node", F.xxhash64("bucket", F.lit("simhash")).alias("bucket"))
-    dealt = written(nodes.select("node", F.explode("__bands").alias("bucket")).union(same))
+    dealt = written(nodes.select("node", F.explode("bands").alias("bucket")).union(same))
     members = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("of")).where("n > 1")
     rows = written(dealt.join(members.groupBy("n", "of").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket"))
 
@@ -95,12 +96,12 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", size: int = 5, shar
                 moved = np.flatnonzero(label != np.arange(len(n)))
                 yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], names=["a", "b"])
 
-    chosen = nodes.join(rows.select("node").distinct(), "node").select("node", "__row")
-    texts = marked.select("__row", F.col(text_col).cast("string").alias("text")).join(chosen, "__row")
+    chosen = nodes.join(rows.select("node").distinct(), "node").select("node", "row")
+    texts = marked.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text")).join(chosen, "row")
     held = written(texts.select("node", "text").mapInArrow(sets, "node long, x binary"))
     runs = split_runs(rows, "bucket", "node", block).select("run", "side", "node").join(held, "node")
     linked = runs.select("run", "side", "node", "x").repartition("run").sortWithinPartitions("run").mapInArrow(verify, "a long, b long")
     found = components(linked).select(F.col("node").alias("__set"), F.col("root").alias("__root"))
     sizes = marked.groupBy("__set").agg(F.count(F.lit(1)).alias("n"))
     of = written(sizes.join(found, "__set", "left").select("__set", F.coalesce("__root", "__set").alias("__group"), "n"))
-    return spread_join(marked.drop("__bands", "__row"), of, "__set")
+    return spread_join(marked.drop(in_bands, row), of, "__set")

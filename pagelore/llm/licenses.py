@@ -14,6 +14,7 @@ A retrieved template counts if the window, with half a template on either side,
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -152,10 +153,14 @@ class Index:
         """Without matches that lie, by at least CONTAINED of their words, in a match of another template with more of its shingles there (of equal ones: with more containment, then the first template)."""
         out, weight = [], lambda m: (m[4] * len(self.sets[m[1]]), m[4], -m[1])
         for _, group in groupby(found, key=lambda m: m[0]):
-            group = list(group)
+            group = sorted(group, key=lambda m: m[2])
+            starts, longest = [m[2] for m in group], max(m[3] - m[2] for m in group)
+            kept = []
             for m in group:
-                if not any(o[1] != m[1] and min(o[3], m[3]) - max(o[2], m[2]) >= CONTAINED * (m[3] - m[2]) and weight(o) > weight(m) for o in group):
-                    out.append(m)
+                near = group[bisect_left(starts, m[2] - longest) : bisect_left(starts, m[3])]
+                if not any(o[1] != m[1] and min(o[3], m[3]) - max(o[2], m[2]) >= CONTAINED * (m[3] - m[2]) and weight(o) > weight(m) for o in near):
+                    kept.append(m)
+            out += sorted(kept, key=lambda m: (m[1], m[2]))
         return out
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runs import read, texts
+from .runs import fresh, read, texts
 from .store import written
 
 CAPACITY = 2048
@@ -312,8 +312,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     length are told apart by chance, so which of them goes where isn't defined; the number of sequences is. No pieces give no rows.
     """
     pieces = pieces.drop("sequence_id", "offset")
-    lead = "_" * (1 + max(len(c) for c in pieces.columns))  # no column begins like that
-    dealt, bucket, n, begin, rank = (lead + x for x in ("dealt", "bucket", "n", "begin", "rank"))
+    dealt, bucket, n, begin, rank = fresh(pieces.columns, "dealt", "bucket", "n", "begin", "rank")
     # dealt by chance and written, so that neither a common id nor repeated rows gather, and every later reading sees the same
     pieces = written(pieces.withColumn(dealt, F.floor(F.rand() * (1 << 52))))
     buckets = max(64, pieces.count() // 50_000)

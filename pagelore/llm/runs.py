@@ -77,6 +77,12 @@ def split_runs(rows: DataFrame, key: str, by: str, block: int, sizes: DataFrame
     return dealt.withColumns({"run": run, "side": side}).drop("__parts", "__own", "__other")
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names with so many underscores before them that no column begins like that."""
+    lead = "_" * (1 + max(map(len, columns), default=0))
+    return [lead + n for n in names]
+
+
 def spread_join(rows: DataFrame, of: DataFrame, key: str, how: str = "inner", block: int = 256, hot_keys: int = 4096) -> DataFrame:
     """``rows`` joined to ``of`` by ``key``, without its column ``n``: how many rows (about) have each key; keys are unique there.
 
@@ -88,11 +94,13 @@ def spread_join(rows: DataFrame, of: DataFrame, key: str, how: str = "inner", bl
     block = max(block, total // hot_keys)
     if most <= block:
         return rows.join(of.drop("n"), key, how)
-    hot = of.where(F.col("n") > block).select(F.col(key).alias("__key"), F.ceil(F.col("n") / block).cast("int").alias("__parts"))
-    hot, parts = F.broadcast(written(hot)), F.coalesce("__parts", F.lit(1))
-    left = rows.withColumn("__row", F.monotonically_increasing_id()).join(hot, F.col(key).eqNullSafe(F.col("__key")), "left").withColumn("__part", F.pmod(F.xxhash64("__row", F.lit("part")), parts).cast("int")).drop("__key", "__parts", "__row")
-    right = of.drop("n").join(hot, F.col(key).eqNullSafe(F.col("__key")), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__key", "__parts")
-    return left.join(right, [key, "__part"], how).drop("__part")
+    place, name, count, part = fresh([*rows.columns, *of.columns], "place", "key", "parts", "part")
+    hot = F.broadcast(written(of.where(F.col("n") > block).select(F.col(key).alias(name), F.ceil(F.col("n") / block).cast("int").alias(count))))
+    parts, same = F.coalesce(count, F.lit(1)), F.col(key).eqNullSafe(F.col(name))
+    left = rows.withColumn(place, F.monotonically_increasing_id()).join(hot, same, "left")
+    left = left.withColumn(part, F.pmod(F.xxhash64(place, F.lit("part")), parts).cast("int")).drop(name, count, place)
+    right = of.drop("n").join(hot, same, "left").withColumn(part, F.explode(F.sequence(F.lit(0), parts - 1))).drop(name, count)
+    return left.join(right, [key, part], how).drop(part)
 
 
 def join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:

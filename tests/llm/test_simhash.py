@@ -52,3 +52,15 @@ def test_components_of_a_long_path(spark):
 
 def test_empty(empty):
     assert S.near_duplicates(empty).count() == 0
+
+
+def test_any_column_names_and_many_copies(spark):
+    """A third of all rows is one text; columns are named like those that are used inside."""
+    rows = [(i, "the same few words in a row of six", 1, 2, 3, 4) for i in range(2000)] + [(5000 + i, f"text {i} with words {i * 7} of its {i * 3} own", 5, 6, 7, 8) for i in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, __row int, __key int, __part int, __bands int")
+    got = S.grouped(table)
+    assert got.count() == 2200 and {"__row", "__key", "__part", "__bands"} <= set(got.columns)
+    assert got.where("__row = 1 and __key = 2 and __part = 3 and __bands = 4").count() == 2000 and got.select("__group").distinct().count() == 201
+    for share in (0.8, None):
+        got = S.near_duplicates(table, share=share)
+        assert got.count() == 2200 and got.where("component_id = 0").count() == 2000
