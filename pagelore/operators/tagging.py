@@ -11,7 +11,7 @@ import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -198,3 +198,43 @@ def tag_pages(pages: DataFrame, *keys: str, lang: str | None = None, shift: str
     rest = (F.col("html"), F.col("width").cast("double"), F.col("height").cast("double"), F.col("words"), fields, F.col(lang) if lang else F.lit("en"), F.col(shift).cast("int") if shift else F.lit(0))
     names = ("__html", "__width", "__height", "__words", "__fields", "__lang", "__shift")
     return pages.select(*(f.name for f in kept), *(c.alias(n) for c, n in zip(rest, names))).mapInArrow(run, T.StructType([*kept, *made]))
+
+
+def elements(tagged: DataFrame, *keys: str) -> DataFrame:
+    """(keys, page, element, parent, ord, type, elem_id, alt, lang, href): a page's elements in reading order, numbered from 1.
+
+    Nodes of the HTML and, after the top-level block that each follows, the runs of lost words as paragraphs. parent is 0 for those at
+    the top.
+    """
+    own = F.transform("nodes", lambda n: F.struct(n["block"].alias("block"), F.lit(0).alias("kind"), n["node_id"].cast("int").alias("n"), n["parent_id"].cast("int").alias("up"), n["type"].alias("type"), *(n[c].alias(c) for c in ("elem_id", "alt", "lang", "href"))))
+    none = F.lit(None).cast("string")
+    left = F.transform("lost", lambda r: F.struct(r["after_block"].alias("block"), F.lit(1).alias("kind"), r["run"].alias("n"), F.lit(0).alias("up"), F.lit("P").alias("type"), *(none.alias(c) for c in ("elem_id", "alt", "lang", "href"))))
+    ordered = tagged.select(*keys, "page", F.array_sort(F.concat(own, left)).alias("e"))
+    # where each node is now; parents are looked up before the array becomes rows
+    numbers = F.map_from_entries(F.filter(F.transform("e", lambda y, i: F.when(y["kind"] == 0, F.struct(y["n"].alias("key"), (i + 1).alias("value")))), lambda x: x.isNotNull()))
+    placed = F.transform("e", lambda y, i: y.withField("element", i + 1).withField("parent", F.coalesce(F.try_element_at("m", y["up"]), F.lit(0))))
+    rows = ordered.withColumn("m", numbers).select(*keys, "page", F.explode(placed).alias("x"))
+    return rows.select(*keys, "page", *(F.col(f"x.{c}").alias(c) for c in ("element", "parent")), F.col("x.kind").alias("lost"), *(F.col(f"x.{c}").alias(c) for c in ("n", "type", "elem_id", "alt", "lang", "href")))
+
+
+def marked_content(tagged: DataFrame, *keys: str) -> DataFrame:
+    """(keys, page, mcid, element, text, box): what each element draws itself, numbered from 0 on its page in the order of its elements.
+
+    Sorted by page and mcid this is the parent tree. Elements without words have no number.
+    """
+    words = tagged.select(*keys, "page", F.inline("placed")).groupBy(*keys, "page", F.lit(0).alias("lost"), F.col("node_id").cast("int").alias("n"))
+    listed = F.array_sort(F.collect_list(F.struct("word_ord", "text", "box")))
+    own = words.agg(listed.alias("w")).select(*keys, "page", "lost", "n", F.transform("w", lambda x: x["text"]).alias("words"), F.transform("w", lambda x: x["box"]).alias("boxes"))
+    left = tagged.select(*keys, "page", F.inline("lost")).select(*keys, "page", F.lit(1).alias("lost"), F.col("run").alias("n"), "words", "boxes")
+    found = elements(tagged, *keys).select(*keys, "page", "element", "lost", "n").join(own.unionByName(left), [*keys, "page", "lost", "n"])
+    side = lambda c, f: f(F.transform("boxes", lambda b: b[c])).alias(c)
+    box = F.struct(side("x0", F.array_min), side("y0", F.array_min), side("x1", F.array_max), side("y1", F.array_max))
+    mcid = F.row_number().over(Window.partitionBy(*keys, "page").orderBy("element")) - 1
+    return found.select(*keys, "page", mcid.alias("mcid"), "element", F.array_join("words", " ").alias("text"), box.alias("box"))
+
+
+def id_tree(tagged: DataFrame, *keys: str) -> DataFrame:
+    """(keys, ord, elem_id, page, element): elements with an id, in the order of their ids' code points, from 0; of equal ids the first element."""
+    named = elements(tagged, *keys).where("elem_id is not null").groupBy(*keys, "elem_id").agg(F.min(F.struct("page", "element")).alias("e"))
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy("elem_id")) - 1
+    return named.select(*keys, at.alias("ord"), "elem_id", "e.page", "e.element")

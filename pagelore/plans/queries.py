@@ -728,12 +728,7 @@ def page_counters(spark, sf_dir):
     return words.page_report(marked, marked.toDF(*marked.columns), "doc_id").withColumn("unmapped", F.col("unmapped").cast("int"))
 
 
-@query(f"""
-    WITH w AS (SELECT *, {NORM.format("text")} AS norm, count(*) OVER (PARTITION BY item_id) AS len FROM {_word_rows("item_id", "benchmark")})
-    SELECT item_id, len + 2 AS words, count(*) FILTER (WHERE n < len - 1 AND norm <> '') AS matched, 1 AS added_from_html, 1 AS furniture, 2 AS lost, max(CASE WHEN n = len - 1 THEN text END) || ' qqxlost' AS lost_words,
-        len AS placed, sum(CASE WHEN n < len - 1 AND norm <> '' THEN 20e0 + n % 10 * 50 ELSE 0 END) AS x, 'P' AS types
-    FROM w GROUP BY item_id, len""")
-def page_tagging(spark, sf_dir):
+def _tagged(spark, sf_dir):
     """Each item drawn ten words a line, with one more word and the page's number at the foot, and its HTML, which lacks the last word and has another at the beginning."""
     items = read_table(spark, sf_dir, "benchmark").select("item_id", F.filter(F.split("text", f"[{text.SPACE}]+"), lambda x: x != "").alias("l"))
     box = lambda x, y: F.struct(x.alias("x0"), y.alias("y0"), (x + 40.0).alias("x1"), (y + 10.0).alias("y1"))
@@ -742,7 +737,17 @@ def page_tagging(spark, sf_dir):
     foot = F.array(word(F.lit("qqxlost"), F.lit(20.0), F.lit(600.0)), word(F.lit("1"), F.lit(300.0), F.lit(780.0)))
     body = F.array_join(F.slice("l", F.lit(1), F.greatest(F.lit(0), F.size("l") - 1)), " ")
     pages = items.select("item_id", F.lit(1).alias("page"), F.concat(F.lit("<p>qqxadded "), text.escape_xml(body), F.lit("</p>")).alias("html"), F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), F.concat(lines, foot).alias("words"))
-    out = tagging.tag_pages(pages, "item_id")
+    return tagging.tag_pages(pages, "item_id")
+
+
+@query(f"""
+    WITH w AS (SELECT *, {NORM.format("text")} AS norm, count(*) OVER (PARTITION BY item_id) AS len FROM {_word_rows("item_id", "benchmark")})
+    SELECT item_id, len + 2 AS words, count(*) FILTER (WHERE n < len - 1 AND norm <> '') AS matched, 1 AS added_from_html, 1 AS furniture, 2 AS lost, max(CASE WHEN n = len - 1 THEN text END) || ' qqxlost' AS lost_words,
+        len AS placed, sum(CASE WHEN n < len - 1 AND norm <> '' THEN 20e0 + n % 10 * 50 ELSE 0 END) AS x, 'P' AS types
+    FROM w GROUP BY item_id, len""")
+def page_tagging(spark, sf_dir):
+    """Counters of pages that were put on their drawn words, places of the words, and what was lost."""
+    out = _tagged(spark, sf_dir)
     on_page = F.filter("placed", lambda p: p["tok_ord"].isNotNull())
     counters = [F.col(f"report.{c}").alias(c) for c in ("words", "matched", "added_from_html", "furniture", "lost")]
     lost = F.array_join(F.flatten(F.transform("lost", lambda r: r["words"])), " ")
@@ -769,3 +774,29 @@ def control_names(spark, sf_dir):
     others = controls.select("page", F.lit(1).alias("doc")).join(named, "doc").select("page", F.transform(F.filter("n", lambda x: x["page"] != F.col("page")), lambda x: x["name"]).alias("other_names"))
     out = forms.match_controls(controls.join(widgets, "page").join(others, "page", "left"), "page")
     return out.select("page", "control_ord", F.array_join("widget_ords", ",").alias("widgets"), "code")
+
+
+@query(f"""
+    WITH l AS (SELECT item_id, {WORDS} AS l FROM benchmark)
+    SELECT item_id, 0 AS mcid, 1 AS element, 'P' AS type, 0 AS lost, trim('qqxadded ' || array_to_string(l[1:len(l) - 1], ' ')) AS text FROM l
+    UNION ALL SELECT item_id, 1, 2, 'P', 1, l[-1] || ' qqxlost' FROM l""")
+def tagged_elements(spark, sf_dir):
+    """Elements of the same pages with their marked content: the HTML's paragraph, and one of what it lacks."""
+    out = _tagged(spark, sf_dir)
+    drawn = tagging.marked_content(out, "item_id")
+    return tagging.elements(out, "item_id").join(drawn, ["item_id", "page", "element"]).select("item_id", "mcid", "element", "type", "lost", "text")
+
+
+@query("""
+    WITH i AS (SELECT page_id // 5 AS doc, page_id AS page, k, 'p' || page_id || '-' || chr(97 + CAST((page_id * 7 + k * 5) % 26 AS INT)) || k AS elem_id FROM pages, range(0, 3) AS t(k) WHERE page_id % 4 > 0)
+    SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY elem_id COLLATE C) - 1 AS ord, elem_id, page, 2 + k AS element FROM i""")
+def id_order(spark, sf_dir):
+    """Ids of documents of five pages in the order that a reader looks them up."""
+    page = F.col("page_id")
+    one = lambda k: F.concat(F.lit("<h2 id='"), F.chr(97 + (page * 7 + k * 5) % 26), F.lit(f"{k}'>x</h2>"))
+    html = F.when(page % 4 > 0, F.concat(F.lit("<p>a</p>"), one(0), one(1), one(2))).otherwise("<p>a</p>")
+    links = F.concat(html, *(F.concat(F.lit("<p><a href='#"), F.chr(97 + (page * 7 + k * 5) % 26), F.lit(f"{k}'>y</a></p>")) for k in range(3)))
+    words = F.array().cast("array<struct<text:string,box:struct<x0:double,y0:double,x1:double,y1:double>,baseline:double,size:double>>")
+    pages = read_table(spark, sf_dir, "pages", spread=True).select(F.floor(page / 5).alias("doc"), page.cast("int").alias("page"), F.when(page % 4 > 0, links).otherwise(html).alias("html"), F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), words.alias("words"))
+    out = tagging.id_tree(tagging.tag_pages(pages, "doc"), "doc")
+    return out.select("doc", F.col("ord").cast("bigint").alias("ord"), "elem_id", F.col("page").cast("bigint").alias("page"), F.col("element").cast("bigint").alias("element"))

@@ -72,3 +72,15 @@ def test_controls_take_widgets_once():
     found = forms.taken_widgets(controls, widgets, {"far"})
     assert [x[1] for x in found] == [[0, 1], [2], [3], [4], [], [], [], []]
     assert [x[2] for x in found] == [None, None, None, None, "field_on_other_page", "field_without_name", "field_on_other_page", "field_not_in_pdf"]
+
+
+def test_elements_and_their_parents(spark):
+    words = "array<struct<text:string,box:struct<x0:double,y0:double,x1:double,y1:double>,baseline:double,size:double>>"
+    html = "<h1>Fees</h1><ul><li>cat five</li><li>dog ten</li></ul><p id=end>end</p>"
+    page = drawn("Fees stray words • cat five • dog ten end last")
+    out = tagging.tag_pages(spark.createDataFrame([(1, 1, html, 612.0, 792.0, page)], f"doc int, page int, html string, width double, height double, words {words}"), "doc")
+    rows = tagging.elements(out, "doc").orderBy("element").collect()
+    assert [(r.element, r.parent, r.type, r.lost) for r in rows] == [(1, 0, "H1", 0), (2, 0, "P", 1), (3, 0, "L", 0), (4, 3, "LI", 0), (5, 4, "Lbl", 0), (6, 4, "LBody", 0), (7, 3, "LI", 0), (8, 7, "Lbl", 0), (9, 7, "LBody", 0), (10, 0, "P", 0), (11, 0, "P", 1)]
+    drawn_by = {r.element: (r.mcid, r.text) for r in tagging.marked_content(out, "doc").collect()}
+    assert drawn_by[2] == (1, "stray words") and drawn_by[9][1] == "dog ten" and drawn_by[11][1] == "last" and sorted(m for m, _ in drawn_by.values()) == list(range(len(drawn_by)))
+    assert tagging.id_tree(out, "doc").count() == 0  # nothing links to an id
