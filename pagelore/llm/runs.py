@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .store import written
+from .store import small_batches, written
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table; one in fewer splits than there are cores (a small file is often one row group) is dealt over all of them. Its rows are the same either way."""
+    small_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

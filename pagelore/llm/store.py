@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _own: dict[str, str] = {}
 _used: set[str] = set()
 #: By folder: tables of the stages so far, and, inside a stage, its own.
@@ -22,8 +23,15 @@ _staged: dict[str, list[str]] = {}
 _open: list[list[str]] = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 2,048 rows in place of Spark's default of 10,000, as rows are whole texts here; another setting of the session's stays."""
+    if spark.conf.get(_ROWS, "10000") == "10000":
+        spark.conf.set(_ROWS, "2048")
+
+
 def folder(spark: SparkSession) -> str:
     """Where tables go: the folder that the session names. Only a session on one machine may leave it unset, as in tests; it gets a temporary folder that goes at exit."""
+    small_batches(spark)
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if not shared:

@@ -32,9 +32,20 @@ def test_a_cluster_needs_a_shared_folder():
 
     class Conf:
         get = staticmethod(lambda *a: None)
+        set = staticmethod(lambda *a: None)
 
     class Session:
         conf, sparkContext = Conf(), Context()
 
     with pytest.raises(ValueError):
         store.folder(Session())
+
+
+def test_the_session_decides_on_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    for given, after in (("10000", "2048"), ("500", "500")):
+        spark.conf.set(key, given)
+        store.small_batches(spark)
+        assert spark.conf.get(key) == after
+    spark.conf.set(key, before)
