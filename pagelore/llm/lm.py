@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runs import read, texts, whole_runs
-from .store import release, written
+from .store import written, written_alone
 
 WORD = re.compile(r"[^\W_]+")
 BACKOFF = 0.4
@@ -206,10 +206,11 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 made = grams.scores(np.concatenate(totals) if totals else np.zeros(0, np.int64), documents, tokens)
                 yield pa.RecordBatch.from_arrays([row["doc_ids"][0].values, pa.array(grams.lengths, pa.int64()), pa.array(made, pa.float64())], names=["doc_id", "n_tokens", "score"])
 
-    exploded = table.mapInArrow(explode, "batch long, p long, m int, keys binary, counts binary")
-    totals = written(exploded.repartition(tasks(parts // 8), "p").sortWithinPartitions("p").mapInArrow(total, "batch long, p long, m int, totals binary"))
-    del exploded
-    release(docs.sparkSession)  # the exploded n-grams' files
+    def totals_of(exploded: DataFrame) -> DataFrame:
+        return exploded.repartition(tasks(parts // 8), "p").sortWithinPartitions("p").mapInArrow(total, "batch long, p long, m int, totals binary")
+
+    # no name here holds the exploded n-grams, so their files can go
+    totals = written_alone(totals_of(table.mapInArrow(explode, "batch long, p long, m int, keys binary, counts binary")))
     nothing = lambda kind: F.lit(None).cast(kind)
     whole = table.select("batch", F.lit(-1).cast("long").alias("p"), nothing("int").alias("m"), nothing("binary").alias("totals"), "doc_ids", "lengths", "words", "tokens")
     back = totals.select("batch", "p", "m", "totals", nothing("array<long>").alias("doc_ids"), nothing("array<long>").alias("lengths"), nothing("binary").alias("words"), nothing("binary").alias("tokens"))

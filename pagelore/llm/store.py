@@ -92,12 +92,30 @@ def stage(docs: DataFrame) -> Iterator[None]:
         _staged.setdefault(at, []).extend(_open.pop())
 
 
-def release(spark: SparkSession) -> None:
-    """Have Spark delete the files of shuffles that no table is still computed from, which it does when the driver's garbage is collected."""
-    gc.collect()
-    time.sleep(1)  # meanwhile the JVM is told which tables Python has let go
-    for _ in range(2):
+def _shuffles(spark: SparkSession) -> set[int]:
+    """Shuffles whose files are kept."""
+    ids = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().keysIterator()
+    out = set()
+    while ids.hasNext():
+        out.add(ids.next())
+    return out
+
+
+def written_alone(df: DataFrame, most: float = 10.0) -> DataFrame:
+    """``written``, after which the files of the shuffles that it took are deleted, where they would crowd the disks.
+
+    Spark deletes them once the driver's garbage is collected, so that is asked for until they are gone, for ``most`` seconds at most.
+    """
+    spark = df.sparkSession
+    before = _shuffles(spark)
+    out = written(df)
+    del df
+    own, end = _shuffles(spark) - before, time.time() + most
+    while own & _shuffles(spark) and time.time() < end:
+        gc.collect()
         spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+    return out
 
 
 def clear(spark: SparkSession) -> None:
