@@ -28,10 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     text that links with no other. An empty table stays empty.
     """
     with stage(docs):
-        marked = written(simhash.grouped(docs))
-        stay = marked.where("doc_id is not null").groupBy("__group").agg(F.min(F.struct("doc_id", "__set")).alias("s")).select("s.*")
-        left = marked.where("doc_id is not null").dropDuplicates(["doc_id", "__set"]).join(stay, ["doc_id", "__set"], "left_semi")
-        return left.select(docs.columns).union(marked.where("doc_id is null").select(docs.columns))
+        return simhash.representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

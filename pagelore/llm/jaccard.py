@@ -4,6 +4,8 @@ Texts with one set of shingles are one node. Candidates are the components of Si
 for pairs with more differing bits, ``BANDS`` MinHash bands of ``ROWS`` values each: at a similarity of 0.8 a pair shares no band
 with probability 3e-6. Of buckets with the same members one is kept; in it, the exact similarity decides. Each bucket gives a
 spanning forest of its links, and one of over ``block`` sets is compared in pairs of blocks.
+
+Texts don't travel to be compared: the candidates' shingles are made where the texts lie (``runs.sifted``), and all else works on rows of numbers.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .fingerprints import fingerprint, links, shingle_hashes
 from .graph import components
-from .runs import fresh, join_labels, split_runs, spread_join, whole_runs, with_columns
-from .store import written
+from .runs import fresh, join_labels, sifted, split_runs, spread_join, whole_runs, with_columns
+from .store import dropped, written, written_alone
 
 BANDS, ROWS = 24, 4
 
@@ -41,6 +43,24 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", size: int = 5, shar
     Columns of those names are replaced. Texts without words, null ones too, are one set that links with nothing else. Repeated rows
     stay; ids play no part; an empty table gives no rows.
     """
+    marked, of, row = _marked(docs, text_col, size, share, block, fingerprint_size, distance, groups)
+    return spread_join(marked.drop(row), of, "__set")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of ``near_duplicates`` one with the smallest id, and all with a null id. Only the rows' numbers are grouped; texts travel once, to those that stay."""
+    marked, of, row = _marked(docs, text_col)
+    name = fresh([*marked.columns, *of.columns], "id")[0]
+    numbered = written(spread_join(marked.select(row, F.col(id_col).alias(name), "__set"), of, "__set").drop("__set"))
+    known = F.col(name).isNotNull()
+    least = numbered.where(known).groupBy("__group").agg(F.min(F.struct(name, row)).alias(name)).select(f"`{name}`.`{row}`")
+    stay = written_alone(least.union(numbered.where(~known).select(row)))
+    dropped(numbered, of)
+    return marked.join(stay, row, "left_semi").select(*(f"`{c}`" for c in docs.columns))
+
+
+def _marked(docs: DataFrame, text_col: str, size: int = 5, share: float = 0.8, block: int = 512, fingerprint_size: int = 4, distance: int = 4, groups: int = 7) -> tuple[DataFrame, DataFrame, str]:
+    """``docs`` with fp, __set and a number for each row, as a table; __set, __group and n, the rows of each set; the name of the rows' number."""
 
     def make():
         odd = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -66,13 +86,13 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", size: int = 5, shar
     near = components(links(reps, distance, groups))
     near = reps.join(near, reps.rep == near.node, "left").select("fp", F.coalesce("root", "rep").alias("bucket"))
     same = nodes.join(near, "fp").select("node", F.xxhash64("bucket", F.lit("simhash")).alias("bucket"))
-    dealt = written(nodes.select("node", F.explode("bands").alias("bucket")).union(same))
+    dealt = written_alone(nodes.select("node", F.explode("bands").alias("bucket")).union(same))
     members = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("of")).where("n > 1")
     rows = written(dealt.join(members.groupBy("n", "of").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x.as_py(), size).tobytes() for x in b.column(1)], pa.binary())], names=["node", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([shingles(x.as_py(), size).tobytes() for x in b.column(2)], pa.binary())], names=["node", "row", "x"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "run"):
@@ -96,12 +116,14 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", size: int = 5, shar
                 moved = np.flatnonzero(label != np.arange(len(n)))
                 yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], names=["a", "b"])
 
-    chosen = nodes.join(rows.select("node").distinct(), "node").select("node", "row")
-    texts = marked.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text")).join(chosen, "row")
-    held = written(texts.select("node", "text").mapInArrow(sets, "node long, x binary"))
-    runs = split_runs(rows, "bucket", "node", block).select("run", "side", "node").join(held, "node")
+    chosen = written(nodes.join(rows.select("node").distinct(), "node").select("node", "row"))
+    dropped(reps, dealt)
+    texts = marked.select(F.col("__set").alias("node"), F.col(row).alias("row"), F.col(text_col).cast("string").alias("text"))
+    held = sifted(texts, chosen, "row").mapInArrow(sets, "node long, row long, x binary")
+    runs = split_runs(rows, "bucket", "node", block).select("run", "side", "node").join(chosen, "node").join(held, ["node", "row"])
     linked = runs.select("run", "side", "node", "x").repartition("run").sortWithinPartitions("run").mapInArrow(verify, "a long, b long")
     found = components(linked).select(F.col("node").alias("__set"), F.col("root").alias("__root"))
     sizes = marked.groupBy("__set").agg(F.count(F.lit(1)).alias("n"))
-    of = written(sizes.join(found, "__set", "left").select("__set", F.coalesce("__root", "__set").alias("__group"), "n"))
-    return spread_join(marked.drop(in_bands, row), of, "__set")
+    of = written_alone(sizes.join(found, "__set", "left").select("__set", F.coalesce("__root", "__set").alias("__group"), "n"))
+    dropped(nodes, rows, chosen)
+    return marked.drop(in_bands), of, row

@@ -104,6 +104,22 @@ def spread_join(rows: DataFrame, of: DataFrame, key: str, how: str = "inner", bl
     return left.join(right, [key, part], how).drop(part)
 
 
+def sifted(rows: DataFrame, of: DataFrame, key: str, most: int = 1 << 26) -> DataFrame:
+    """The rows whose ``key`` is in ``of``, and by chance a few others: what an exact join with ``of`` would drop stays where it lies.
+
+    A bitmap of the keys' hashes, 16 bits a key and ``most`` bits at most, is broadcast; beyond that more others pass, but none is lost.
+    ``of`` has to be a table.
+    """
+    bits = max(1 << 15, min(most, 1 << (16 * of.count() - 1).bit_length()))
+    place, bucket, bitmap = fresh([*rows.columns, *of.columns], "place", "bucket", "bitmap")
+    hashed = F.pmod(F.xxhash64(key, F.lit("sifted")), F.lit(bits)) + 1  # Spark's bitmaps count from 1
+    number, at = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    maps = of.select(hashed.alias(place)).groupBy(number.alias(bucket)).agg(F.bitmap_construct_agg(at).alias(bitmap))
+    out = rows.withColumn(place, hashed).withColumn(bucket, number).join(F.broadcast(maps), bucket)
+    byte = F.conv(F.hex(F.substring(bitmap, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return out.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(rows.columns)
+
+
 def join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Union of linked indices: each index's label is the smallest index of its set. ``label`` holds such labels already."""
     while True:

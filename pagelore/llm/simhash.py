@@ -46,6 +46,11 @@ def grouped(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return jaccard.near_duplicates(docs, text_col)
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when of the texts so linked one stays: that with the smallest id. Rows with a null id all stay."""
+    return jaccard.representatives(docs, id_col, text_col)
+
+
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(read(spark, sf_dir, "documents"), share=None)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -118,6 +118,13 @@ def written_alone(df: DataFrame, most: float = 10.0) -> DataFrame:
     return out
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` returned and that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _delete(*_jvm_path(df.sparkSession, path))
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the session's tables. Call it once results that were built on them are written."""
     files, at = _jvm_path(spark, folder(spark))
