@@ -189,3 +189,19 @@ def test_language_comes_from_the_nearest_node_above(spark):
     built = structure.page_structure(spark.createDataFrame([(1, html)], "k int, html string"))
     found = structure.nearest_language(structure.exploded(built, "nodes"), "en", "k").orderBy("node_id").collect()
     assert [(r.type, r.language) for r in found] == [("Sect", "it"), ("P", "it"), ("P", "pt"), ("Link", "pt"), ("P", "en")]
+
+
+def test_elements_that_end_others_in_a_table_stay_before_it():
+    for parts in ("<p>a <p>word ", "<li>a <li>word ", "<a href=x>a <a href=y>word ", "<h3>a <h3>word ", "<p>a <div>word ", "<button>a <button>word "):
+        for inside in ("", "<tr>", "<tbody>", "<tr><td>x</td>"):
+            _, words = Page(f"<table>{inside}{parts}", "en").rows()
+            assert [w["text"] for w in words if w["text"] != "x"] == ["a", "word"], (inside, parts)
+
+
+def test_a_table_in_a_row_ends_the_one_before():
+    nodes, words = Page("<table><tr><td>one</td><table><tr><td>two</td></table> after <table><td><table><td>inner</table>outer</table>", "en").rows()
+    assert [w["text"] for w in words] == ["one", "two", "after", "inner", "outer"]
+    depths = [n["depth"] for n in nodes if n["type"] == "Table"]
+    assert len(depths) == 4 and depths[:3] == [depths[0]] * 3 < [depths[3]] * 3
+    for start in ("<table><tr><table><p>", "<table><tr><table><ul><table>"):
+        assert [w["text"] for w in Page(f"{start}word ", "en").rows()[1]] == ["word"]
