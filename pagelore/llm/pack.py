@@ -16,12 +16,14 @@ packed is never cut.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import sys
 import types
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,27 +44,46 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-#: The tokenizer's own parts of a text of Latin-1 characters in lower case, and its white space.
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+#: How the tokenizer makes its parts; any other one is given whole texts.
+_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: Latin-1 in lower case, and the kinds of its characters there: white space, letters, numbers, others.
+_LOWER = bytes(range(256)).decode("latin-1").lower().encode("latin-1")
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+_SPACES = re.compile(b"[\t-\r \x85\xa0]")
+_KINDS = bytes(_SPACE if _SPACES.match(c.encode("latin-1")) else _LETTER if c.isalpha() else _NUMBER if re.match("[0-9\xb2\xb3\xb9\xbc-\xbe]", c) else _OTHER for c in map(chr, _LOWER))
 
 
 class Chunks(dict):
     """Parts of texts to the bytes of their token ids; a text's ids are those of its parts.
 
-    In Latin-1 the parts are the tokenizer's own (nothing there changes under NFC, and letters have one lower case). Any other
-    text, or one that may hold a special token, is taken in chunks between spaces: the tokenizer drops white space, and nothing
-    it does reaches across it. Only short parts are kept, up to a bounded number: when ``most`` are reached they become the old
-    ones, of which those still in use come back.
+    In Latin-1 the parts are the tokenizer's own (nothing there changes under NFC, and letters have one lower case). They are cut and
+    told apart for a block of texts at once, so Python sees each different part of a block once, and those that are new go to
+    the tokenizer in one call. Any other text, or one that may hold a special token, is taken in chunks between spaces: the tokenizer
+    drops white space, and nothing it does reaches across it. Only short parts are kept, up to a bounded number: when ``most`` are
+    reached they become the old ones, of which those still in use come back.
     """
 
-    def __init__(self, path: str, most: int = 230_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
+    def __init__(self, path: str, most: int = 230_000, block: int = 1 << 21):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.most, self.block, self.old = Tokenizer.from_file(path), most, block, {}
+        made = [x and json.loads(x.__getstate__()) for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
+        self.known = made == [_NORMAL, {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}]
+        if self.known:  # for parts, which have been normalized and split
+            self.bare = Tokenizer.from_file(path)
+            self.bare.normalizer = None
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocab, suffix = self.bare.get_vocab(), getattr(self.bare.model, "end_of_word_suffix", None)
+            self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a part
+            if suffix:
+                self.last[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
 
     @classmethod
     def of_worker(cls, path: str) -> Chunks:
         """The Python worker's own, which its later tasks use again."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         kept = sys.modules.setdefault("_pagelore_chunks", types.ModuleType("_pagelore_chunks")).__dict__
         if path not in kept:
             kept[path] = cls(path)
@@ -77,31 +98,115 @@ class Chunks(dict):
             self[part] = ids
         return ids
 
-    def learn(self, parts: list[str]) -> None:
-        """The ids of parts without white space, from one call."""
-        got = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
-        ids = np.array(got.ids, "<u4")
-        ends = np.searchsorted(np.array(got.word_ids), np.arange(len(parts) + 1))
-        for part, a, b in zip(parts, ends[:-1].tolist(), ends[1:].tolist()):
-            self[part] = ids[a:b].tobytes()
-
-    def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+    def _turn(self) -> None:
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-        try:
-            text.encode("latin-1")
-            plain = "<|" not in text
-        except UnicodeEncodeError:
-            plain = False
-        if not plain:
-            return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
-        parts = _PARTS.findall(text.lower())
-        if new := [p for p in set(parts) if p not in self and p not in self.old and len(p) <= 40]:
-            self.learn(new)
-        return b"".join(map(self.__getitem__, parts))
+
+    def learn(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of new parts, from one call."""
+        text = b" ".join(parts).decode("latin-1")
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(parts):  # the ids don't tell
+            got = self.bare.encode(text, add_special_tokens=False)
+            ids = np.array(got.ids, "<u4")
+            ends = np.searchsorted(np.array(got.word_ids), np.arange(1, len(parts) + 1))
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        out = [data[a:b] for a, b in zip([0, *ends], ends)]
+        self.update((part, x) for part, x in zip(parts, out) if len(part) <= 40)
+        return out
+
+    def _of_parts(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of different parts."""
+        out = list(map(self.get, parts))
+        new = []
+        for i in [i for i, x in enumerate(out) if x is None]:
+            if (x := self.old.get(parts[i])) is None:
+                new.append(i)
+            else:
+                out[i] = self[parts[i]] = x
+        for i, x in zip(new, self.learn([parts[i] for i in new]) if new else ()):
+            out[i] = x
+        return out
+
+    def _of_block(self, raw: list[bytes]) -> list[bytes]:
+        """The ids of texts in Latin-1."""
+        self._turn()
+        joined = (b" ".join(raw) + b"    ").translate(_LOWER)
+        chars, kinds = np.frombuffer(joined, np.uint8), np.frombuffer(joined.translate(_KINDS), np.uint8)
+        first = kinds == _NUMBER  # a part begins there
+        first[0] = True
+        first[1:] |= kinds[1:] != kinds[:-1]
+        quotes = np.flatnonzero(chars == ord("'"))
+        quotes = quotes[first[quotes] & (kinds[quotes + 1] == _LETTER)]
+        a, b = chars[quotes + 1], chars[quotes + 2]
+        one = np.isin(a, list(b"stmd"))
+        two = ((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
+        for at, n in ((quotes[one], 1), (quotes[two], 2)):  # the quote takes these letters, and those after them are a part
+            first[at + 1] = False
+            first[at + 1 + n] |= kinds[at + 1 + n] == _LETTER
+        held = kinds != _SPACE
+        first &= held
+        begins = np.cumsum([0, *(len(x) + 1 for x in raw)])[:-1]
+        ends = np.cumsum(np.add.reduceat(first, begins, dtype=np.int64))  # parts up to each text's end
+        if not ends[-1]:
+            return [b""] * len(raw)
+        body = chars[held]
+        offsets = np.append(np.flatnonzero(first[held]), len(body)).astype(np.int64)
+        parts = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(body)]).dictionary_encode()
+        ids = pa.array(self._of_parts(parts.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(parts.indices)
+        _, offsets, data = ids.buffers()
+        ends = np.frombuffer(offsets, np.int64)[ids.offset :][ends].tolist()
+        data = memoryview(data)
+        return [bytes(data[a:b]) for a, b in zip([0, *ends], ends)]
+
+    def _cuts(self, raw: bytes) -> Iterator[bytes]:
+        """A text in pieces of about a block, cut at white space."""
+        at = 0
+        while at < len(raw):
+            space = _SPACES.search(raw, at + self.block)
+            end = space.start() if space else len(raw)
+            yield raw[at:end]
+            at = end
+
+    def many(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text; those of about a block are held."""
+        out: list[bytes | None] = []
+        raw: list[bytes] = []
+        size = 0
+
+        def done() -> Iterator[bytes]:
+            made = iter(self._of_block(raw) if raw else ())
+            return (next(made) if x is None else x for x in out)
+
+        for text in texts:
+            latin = None
+            if text and self.known:
+                try:
+                    latin = text.encode("latin-1")
+                except UnicodeEncodeError:
+                    pass
+            if not text:
+                out.append(b"")
+            elif not self.known:
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+            elif latin is None or b"<|" in latin:
+                self._turn()
+                out.append(b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))))
+            elif len(latin) > self.block:
+                out.append(b"".join(self._of_block([x])[0] for x in self._cuts(latin)))
+            else:
+                out.append(None)
+                raw.append(latin)
+            size += len(text or "")
+            if size >= self.block or len(out) >= 4096:
+                yield from done()
+                out, raw, size = [], [], 0
+        yield from done()
+
+    def ids(self, text: str | None) -> bytes:
+        return next(self.many([text]))
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, tokenizer: str | None = None, ids: bool = True) -> DataFrame:
@@ -116,8 +221,8 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             rows: list[list] = [[], [], [], [], [], []]
             held = 0
-            for doc, text in zip(b.column(0), texts(b.column(1))):
-                data = memoryview(chunks.ids(text) + end)
+            for doc, found in zip(b.column(0), chunks.many(texts(b.column(1)))):
+                data = memoryview(found + end)
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     held += 1
