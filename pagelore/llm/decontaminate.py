@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runs import read, texts
+from .runs import in_arrow, read, texts
 
 WORD = re.compile(r"[^\W_]+")
 #: (most words of an item, words of a window, stride): up to eight words, windows of just the item's length begin at every word;
@@ -56,7 +56,7 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int], text_col:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["word", "n"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n")).collect()  # at most a row for each benchmark word
+    rows = in_arrow(docs.select(F.col(text_col).cast("string").alias("text")), run, "word long, n long").groupBy("word").agg(F.sum("n")).collect()  # at most a row for each benchmark word
     df = np.zeros(len(vocabulary) + 1, np.int64)
     for k, n in rows:
         df[k] = n
@@ -92,7 +92,7 @@ def latent_space(passages: DataFrame, size: int, rank: int, seed: int = 7) -> np
 
         out = np.zeros((width, height))
         kind = "j long, x array<double>"
-        for j, x in passages.mapInArrow(run, kind).repartition("j").mapInArrow(add, kind).collect():  # ``width`` rows
+        for j, x in in_arrow(in_arrow(passages, run, kind).repartition("j"), add, kind).collect():  # ``width`` rows
             out[j] = x
         return out
 
@@ -339,7 +339,7 @@ def _leaks(docs: DataFrame, items: list[tuple[int, list[str]]], id_col: str, tex
         if held:
             yield out()
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return in_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, schema)
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runs import join_labels, pairs, split_runs, texts, whole_runs
+from .runs import in_arrow, join_labels, pairs, split_runs, texts, whole_runs
 
 SEED = 42
 
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.fromiter((fingerprint(shingle_hashes(t, size)) if t else 0 for t in texts(b.column(1))), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return in_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, fp long")
 
 
 def popcounts(fp: np.ndarray) -> np.ndarray:
@@ -117,6 +117,6 @@ def links(reps: DataFrame, distance: int = 4, groups: int = 7, block: int = 1 <<
             at = np.flatnonzero(label != np.arange(len(label)))
             yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(rep[label[at]])], names=["a", "b"])
 
-    dealt = reps.select("fp", "rep").where("rep is not null").mapInArrow(deal, "cell long, fp long, rep long")
+    dealt = in_arrow(reps.select("fp", "rep").where("rep is not null"), deal, "cell long, fp long, rep long")
     runs = split_runs(dealt, "cell", "fp", block).drop("cell")
-    return runs.repartition("run").sortWithinPartitions("run").mapInArrow(verify, "a long, b long")
+    return in_arrow(runs.repartition("run").sortWithinPartitions("run"), verify, "a long, b long")

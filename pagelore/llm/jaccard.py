@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .fingerprints import fingerprint, links, shingle_hashes
 from .graph import components
-from .runs import fresh, join_labels, sifted, split_runs, spread_join, whole_runs, with_columns
+from .runs import fresh, in_arrow, join_labels, sifted, split_runs, spread_join, whole_runs, with_columns
 from .store import dropped, written, written_alone
 
 BANDS, ROWS = 24, 4
@@ -119,9 +119,9 @@ def _marked(docs: DataFrame, text_col: str, size: int = 5, share: float = 0.8, b
     chosen = written(nodes.join(rows.select("node").distinct(), "node").select("node", "row"))
     dropped(reps, dealt)
     texts = marked.select(F.col("__set").alias("node"), F.col(row).alias("row"), F.col(text_col).cast("string").alias("text"))
-    held = sifted(texts, chosen, "row").mapInArrow(sets, "node long, row long, x binary")
+    held = in_arrow(sifted(texts, chosen, "row"), sets, "node long, row long, x binary")
     runs = split_runs(rows, "bucket", "node", block).select("run", "side", "node").join(chosen, "node").join(held, ["node", "row"])
-    linked = runs.select("run", "side", "node", "x").repartition("run").sortWithinPartitions("run").mapInArrow(verify, "a long, b long")
+    linked = in_arrow(runs.select("run", "side", "node", "x").repartition("run").sortWithinPartitions("run"), verify, "a long, b long")
     found = components(linked).select(F.col("node").alias("__set"), F.col("root").alias("__root"))
     sizes = marked.groupBy("__set").agg(F.count(F.lit(1)).alias("n"))
     of = written_alone(sizes.join(found, "__set", "left").select("__set", F.coalesce("__root", "__set").alias("__group"), "n"))

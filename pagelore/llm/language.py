@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runs import read, texts, with_columns
+from .runs import in_arrow, read, texts, with_columns
 
 DIMS, ORDERS, BLOCK = 8192, (2, 3), 1 << 20
 #: A text is rejected under this share of the cosine that all but a few (LOW of them) of its language's sampled texts reach.
@@ -75,7 +75,7 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", clust
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["bin", "n"])
 
-    seen = dict(rows.select("text").mapInArrow(frequencies, "bin long, n long").groupBy("bin").agg(F.sum("n")).collect())  # at most DIMS + 1 rows
+    seen = dict(in_arrow(rows.select("text"), frequencies, "bin long, n long").groupBy("bin").agg(F.sum("n")).collect())  # at most DIMS + 1 rows
     rows = rows.withColumn("h", F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 40)))
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h")).collect()}  # a row for each language: less than the model has
     if not sizes:
@@ -94,7 +94,7 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", clust
 
     chosen = rows.join(F.broadcast(under), "lang").where("h < under").groupBy("lang", "h").agg(F.min("text").alias("text"))
     got: dict[str, list[tuple[int, bytes]]] = {}
-    for lang, h, v in chosen.select("text", "lang", "h").mapInArrow(counted, "lang string, h long, v binary").collect():  # about 2 * most for each language
+    for lang, h, v in in_arrow(chosen.select("text", "lang", "h"), counted, "lang string, h long, v binary").collect():  # about 2 * most for each language
         got.setdefault(lang, []).append((h, v))
     model = Model(idf=idf)
     centroids = []

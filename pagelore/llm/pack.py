@@ -19,8 +19,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import sys
-import types
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
@@ -30,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runs import fresh, read, texts
+from .runs import fresh, in_arrow, read, texts, worker_keeps
 from .store import written
 
 CAPACITY = 2048
@@ -82,12 +80,11 @@ class Chunks(dict):
 
     @classmethod
     def of_worker(cls, path: str) -> Chunks:
-        """The Python worker's own, which its later tasks use again."""
+        """The Python worker's own, which its later tasks use again until one of another kind comes."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        kept = sys.modules.setdefault("_pagelore_chunks", types.ModuleType("_pagelore_chunks")).__dict__
-        if path not in kept:
-            kept[path] = cls(path)
-        return kept[path]
+        if path not in (own := worker_keeps()):
+            own[path] = cls(path)
+        return own[path]
 
     def __missing__(self, part: str) -> bytes:
         if part in self.old:
@@ -239,7 +236,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds)][: 5 + ids], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + ids])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return in_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, schema, path)
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -445,7 +442,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), *map(pa.array, where.values())], names=[*(b.schema.field(i).name for i in kept), *where])
 
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
-    return ranked.mapInArrow(place, schema)
+    return in_arrow(ranked, place, schema)
 
 
 def op1_pack(spark, sf_dir: str) -> DataFrame:

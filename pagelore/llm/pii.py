@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runs import read, texts, with_columns
+from .runs import in_arrow, read, texts, with_columns
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "id")
@@ -228,7 +228,7 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["code", "n"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n")).collect()  # at most CODES rows
+    rows = in_arrow(docs.select(F.col(text_col).cast("string").alias("text")), count, "code long, n long").groupBy("code").agg(F.sum("n")).collect()  # at most CODES rows
     counts = np.zeros(CODES)
     for c, n in rows:
         counts[c] = n

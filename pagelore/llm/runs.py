@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +26,30 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def worker_keeps() -> dict:
+    """What the Python worker keeps from task to task, by name."""
+    return sys.modules.setdefault("_pagelore_kept", types.ModuleType("_pagelore_kept")).__dict__.setdefault("own", {})
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, keep: str | None = None) -> DataFrame:
+    """``df.mapInArrow``, in workers that hold no more than the task needs: a worker serves many tasks of all stages, and what one leaves would stay in memory for the others.
+
+    Before the task, all that ``worker_keeps`` goes but what has the name ``keep``; after it, memory that is free goes back to the system.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in worker_keeps().keys() - {keep}:
+            del worker_keeps()[name]
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(task, schema)
+
+
 def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """The rows again, in tables that never cut a run of equal keys; a run that goes past its batch is carried over."""
     held: list[pa.RecordBatch] = []
@@ -158,4 +186,4 @@ def with_columns(docs: DataFrame, text_col: str, make: Callable[[], Callable[[It
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(fields))), *(x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(made, kinds))], names=names)
 
     into = docs.select(*(F.col(f"`{f.name}`") for f in fields), F.col(text_col).cast("string").alias("__text"))
-    return into.mapInArrow(run, T.StructType([*fields, *added]))
+    return in_arrow(into, run, T.StructType([*fields, *added]))

@@ -1,4 +1,7 @@
+import gc
+
 import corpus_pipeline as C
+from pagelore.llm import pack, runs
 
 
 def test_decontamination_removes_rows_not_ids(spark, tmp_path):
@@ -28,3 +31,25 @@ def test_tables_of_earlier_stages_go(spark, docs, tmp_path):
         assert store._staged[store.folder(spark)] == own[:1]  # what the input reads stays
     with store.stage(spark.read.parquet(f"{tmp_path}/b")):
         assert store.folder(spark) not in store._staged
+
+
+def test_workers_drop_what_packing_keeps(spark, docs):
+    """A worker that packed serves other stages without the tokenizer and its parts."""
+
+    def held():
+        return lambda texts: [[sum(isinstance(x, pack.Chunks) for x in gc.get_objects())] * len(list(texts))]
+
+    pack.token_pieces(docs.repartition(16)).count()
+    assert {r.held for r in runs.with_columns(docs.repartition(16), "text", held, "held long").select("held").collect()} == {0}
+
+
+def test_workers_keep_the_tokenizer_from_task_to_task():
+    class Rows:
+        mapInArrow = staticmethod(lambda task, schema: task)
+
+    seen = []
+    task = lambda keep: list(runs.in_arrow(Rows, lambda b: seen.append(dict(runs.worker_keeps())) or b, "", keep)([]))
+    runs.worker_keeps().update(a=1, b=2)
+    for keep in ("a", "a", None):
+        task(keep)
+    assert seen == [{"a": 1}, {"a": 1}, {}]
