@@ -63,7 +63,7 @@ class Chunks(dict):
     reached they become the old ones, of which those still in use come back.
     """
 
-    def __init__(self, path: str, most: int = 230_000, block: int = 1 << 21):
+    def __init__(self, path: str, most: int = 230_000, block: int = 1 << 20):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most, self.block, self.old = Tokenizer.from_file(path), most, block, {}

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 _own: dict[str, str] = {}
 _used: set[str] = set()
 #: By folder: tables of the stages so far, and, inside a stage, its own.
@@ -76,9 +76,13 @@ def _delete(files, at) -> None:
 def stage(docs: DataFrame) -> Iterator[None]:
     """A stage whose input is ``docs``. The tables of stages before it are deleted when it begins, but those that ``docs`` still reads stay.
 
-    So a stage's result has to be written, or handed on to the next stage, before another one begins.
+    So a stage's result has to be written, or handed on to the next stage, before another one begins. From the first stage on, the
+    session's Arrow batches are of 2 MB in place of Spark's default of 64, as a worker's and its executor's copies of one are held
+    at once; another setting of the session's stays.
     """
     spark = docs.sparkSession
+    if spark.conf.get(_BYTES, "67108864b") == "67108864b":
+        spark.conf.set(_BYTES, "2m")
     at, read = folder(spark), docs.inputFiles()
     for path in _staged.pop(at, []):
         if any(path.rsplit("/", 1)[1] in f for f in read):

@@ -1,7 +1,7 @@
 import gc
 
 import corpus_pipeline as C
-from pagelore.llm import pack, runs
+from pagelore.llm import pack, runs, store
 
 
 def test_decontamination_removes_rows_not_ids(spark, tmp_path):
@@ -53,3 +53,28 @@ def test_workers_keep_the_tokenizer_from_task_to_task():
     for keep in ("a", "a", None):
         task(keep)
     assert seen == [{"a": 1}, {"a": 1}, {}]
+
+
+def test_batches_of_long_texts_are_small(spark):
+    """40 texts of 200 KB come in batches of about 2 MB, and each is whole."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(0, 40, 1, 1).selectExpr("id as doc_id", "repeat('word ', 40000 + cast(id as int)) as text")
+
+    def make():
+        def compute(texts):
+            sizes = list(map(len, texts))
+            return [sizes, [len(sizes)] * len(sizes)]
+
+        return compute
+
+    try:
+        spark.conf.set(key, "67108864b")
+        with store.stage(docs.where("false")):
+            out = runs.with_columns(docs, "text", make, "size long, n long").select("doc_id", "size", "n").collect()
+        assert [(r.doc_id, r.size) for r in out] == [(i, 5 * (40000 + i)) for i in range(40)] and max(r.n for r in out) <= 12
+        spark.conf.set(key, "7m")
+        with store.stage(docs.where("false")):
+            assert spark.conf.get(key) == "7m"
+    finally:
+        spark.conf.set(key, before)
